@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .idpacking import op5_token_ids
 from .sharding import op7_sharding
 from .urlfilter import OP9_SQL, op9_url_filter
 
 
 def queries():
-    return {"op7_sharding": op7_sharding, "op9_url_filter": op9_url_filter}
+    return {"op5_token_ids": op5_token_ids, "op7_sharding": op7_sharding, "op9_url_filter": op9_url_filter}
 
 
 def oracle_sql():
