@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from .gif import op6_gif
 from .idpacking import op5_token_ids
+from .langid import op1_language
 from .pii import op10_pii
 from .sharding import op7_sharding
 from .urlfilter import OP9_SQL, op9_url_filter
 
 
 def queries():
-    return {"op5_token_ids": op5_token_ids, "op6_gif": op6_gif, "op7_sharding": op7_sharding, "op9_url_filter": op9_url_filter, "op10_pii": op10_pii}
+    return {"op1_language": op1_language, "op5_token_ids": op5_token_ids, "op6_gif": op6_gif, "op7_sharding": op7_sharding, "op9_url_filter": op9_url_filter, "op10_pii": op10_pii}
 
 
 def oracle_sql():
