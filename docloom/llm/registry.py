@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP3_SQL, op3_decontamination
 from .gif import op6_gif
 from .idpacking import op5_token_ids
 from .langid import op1_language
@@ -14,9 +15,9 @@ from .urlfilter import OP9_SQL, op9_url_filter
 
 
 def queries():
-    return {"op1_language": op1_language, "op2_paragraphs": op2_paragraphs, "op4_near_duplicates": op4_near_duplicates, "op5_token_ids": op5_token_ids, "op6_gif": op6_gif, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_url_filter": op9_url_filter, "op10_pii": op10_pii}
+    return {"op1_language": op1_language, "op2_paragraphs": op2_paragraphs, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op5_token_ids": op5_token_ids, "op6_gif": op6_gif, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_url_filter": op9_url_filter, "op10_pii": op10_pii}
 
 
 def oracle_sql():
-    return {"op9_url_filter": OP9_SQL}
+    return {"op3_decontamination": OP3_SQL, "op9_url_filter": OP9_SQL}
 
