@@ -16,6 +16,7 @@ id is reached without unpacking what stands before it.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,8 @@ from .textarrays import chunks, code_points, span_hashes
 
 #: Ids after which a block ends with the text at hand.
 BLOCK_IDS = 1 << 17
-#: Distinct text pieces whose ids a Python worker keeps before it starts anew.
-KEPT_PIECES = 1_000_000
+#: Distinct text pieces whose ids a Python worker keeps before it forgets the rare ones.
+KEPT_PIECES = 600_000
 BLOCK_SCHEMA = "block long, width int, doc_ids array<long>, offsets array<long>, payload binary"
 
 
@@ -74,12 +75,22 @@ class PieceEncoder:
         self.id_bytes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
         # White space as the library sees it: without four control characters that Python counts too.
         self.space = np.fromiter((chr(i).isspace() and not 0x1C <= i <= 0x1F for i in range(0x110000)), bool, 0x110000)
-        self.forget()
-
-    def forget(self) -> None:
         self.slots: dict[int, int] = {}
+        self.seen = np.zeros(0, np.int32)
         self.flat, self.at = np.zeros(0, np.uint16 if self.width <= 16 else np.uint32), np.zeros(1, np.int64)
 
+    def forget(self) -> None:
+        """Keeps the pieces that more than one run of texts had, or none if they are too many."""
+        kept = np.flatnonzero(self.seen > 1)
+        kept = kept if len(kept) <= KEPT_PIECES // 2 else kept[:0]
+        n = self.at[kept + 1] - self.at[kept]
+        at = np.concatenate(([0], np.cumsum(n)))
+        self.flat = self.flat[np.arange(at[-1]) + np.repeat(self.at[kept] - at[:-1], n)]
+        self.at = at
+        names = np.fromiter(self.slots, np.uint64, len(self.slots))
+        self.slots = {h: i for i, h in enumerate(names[kept].tolist())}
+        self.seen = np.ones(len(kept), np.int32)
+
     def learn(self, pieces: list[str]) -> None:
         """Appends the ids of new pieces."""
         runs = []
@@ -114,6 +125,8 @@ class PieceEncoder:
         known = len(self.slots)
         slot = np.fromiter((self.slots.setdefault(h, len(self.slots)) for h in distinct.tolist()), np.int64, len(distinct))
         new = np.flatnonzero(slot >= known)
+        self.seen = np.concatenate((self.seen, np.zeros(len(new), np.int32)))
+        self.seen[slot] += 1
         if len(new):
             a, b = first[where[new]], end[where[new]]
             self.learn([points[i:j].tobytes().decode("utf-32-le") for i, j in zip(a.tolist(), b.tolist(), strict=True)])
@@ -125,6 +138,12 @@ class PieceEncoder:
         return ids, ends[counts_at]
 
 
+@functools.lru_cache(1)
+def encoder_of(path: str) -> PieceEncoder:
+    """The encoder of a Python worker, which keeps its pieces from task to task."""
+    return PieceEncoder(path)
+
+
 def _texts(batches: Iterator[pd.DataFrame], limit: int):
     """Runs of (ids, texts) of about ``limit`` characters."""
     for batch in batches:
@@ -142,14 +161,14 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0) -> D
     """
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         number, total, held, keys, sizes = 0, 0, [], [], []
 
         def block() -> pd.DataFrame:
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
             return pd.DataFrame({"block": [number], "width": [encoder.width], "doc_ids": [keys], "offsets": [offsets], "payload": [pack(np.concatenate(held), encoder.width)]})
 
-        for doc_ids, texts in _texts(batches, 2_000_000):
+        for doc_ids, texts in _texts(batches, 1_000_000):
             ids, at = encoder(texts)
             for i, key in enumerate(doc_ids):
                 own = ids[at[i] : at[i + 1]]
