@@ -29,6 +29,8 @@ THRESHOLD = 0.8
 RADIUS = 23
 #: Positions that the fingerprint's counters hold.
 LONGEST_ITEM = 30_000
+#: Shingles of a text that are handled in one row.
+SEGMENT = 1024
 #: All changes of at most two bits in a block.
 _FLIPS = [sum(1 << i for i in bits) for n in range(3) for bits in combinations(range(8), n)]
 
@@ -100,10 +102,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     hint = F.broadcast if few else lambda df: df
 
     starts = index.select("m", F.explode("own.x").alias("x")).distinct()
-    places = shingled(documents(docs), "doc_id").select("doc_id", "s", F.posexplode_outer("s").alias("p", "x"))
-    hits = places.join(hint(starts), "x")
-    begin = F.expr("greatest(0, least(p, size(s) - m))")
-    windows = hits.select("doc_id", "m", begin.alias("word"), F.expr("slice(s, greatest(0, least(p, size(s) - m)) + 1, m)").alias("win"))
+    # Long texts go in segments with the longest item's length on both sides, so that no row holds much.
+    cut = f"transform(sequence(0, greatest(size(s) - 1, 0), {SEGMENT}), i -> struct(i, greatest(0, i - {longest}) AS off, slice(s, greatest(0, i - {longest}) + 1, least(i, {longest}) + {SEGMENT + longest}) AS seg))"
+    segments = shingled(documents(docs), "doc_id").select("doc_id", F.size("s").alias("n"), F.explode_outer(F.expr(cut)).alias("c")).select("doc_id", "n", "c.*")
+    places = segments.select("doc_id", "n", "i", "off", "seg", F.posexplode_outer(F.expr(f"slice(seg, i - off + 1, {SEGMENT})")).alias("p", "x"))
+    hits = places.join(hint(starts), "x").withColumn("word", F.expr("greatest(0, least(i + p, n - m))"))
+    windows = hits.select("doc_id", "m", "word", F.expr("slice(seg, word - off + 1, m)").alias("win"))
     windows = _with_fingerprint(windows, "win", "print")
     probes = windows.select("*", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.expr(f"cast((print >>> {8 * b}) & 255 as int)").alias("value")) for b in range(8)])).alias("probe"))
     probes = probes.select("doc_id", "m", "word", "win", "print", "probe.block", "probe.value")
