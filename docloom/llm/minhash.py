@@ -79,13 +79,15 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
     columns = ", ".join(f"{k} long" for k in KEYS)
     signs = stored(docs.mapInPandas(signed, f"doc_id long, text_hash long, node long, {columns}"), "signatures")
-    nodes = signs.where("node <> 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), *[F.min(k).alias(k) for k in KEYS])
+    one = F.struct("doc_id", "text_hash")
+    first = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), one)), F.min(one))
+    nodes = signs.where("node <> 0").groupBy("node").agg(first.alias("first"), *[F.min(k).alias(k) for k in KEYS])
     nodes = stored(nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), *KEYS), "nodes")
     held: dict[str, DataFrame] = {}
 
     def bind(met: DataFrame) -> None:
         wanted = stored(nodes.select("node", "doc_id", "text_hash").join(met, "node", "left_semi"), "met")
-        held["texts"] = stored(docs.join(small(wanted), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
+        held["texts"] = stored(docs.join(small(wanted), docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])).select("node", "text").dropDuplicates(["node"]), "texts")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

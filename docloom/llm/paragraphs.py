@@ -79,7 +79,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold:
 
     def bind(met: DataFrame) -> None:
         wanted = nodes.select("node", "first.*").join(met, "node", "left_semi")
-        wanted = small(stored(wanted.select("node", "doc_id", "text_hash", "start", "end"), "met"))
+        wanted = stored(wanted.select("node", "doc_id", "text_hash", "start", "end"), "met")
         cut = F.substring(F.col("text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
         held["texts"] = stored(docs.join(wanted, ["doc_id", "text_hash"]).select("node", cut.alias("text")).dropDuplicates(["node"]), "texts")
 
