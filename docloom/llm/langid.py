@@ -217,7 +217,7 @@ def predict(model: Model, texts: list, switch: float = SWITCH) -> list[tuple[str
         total = share.sum(1)
         best = share.argmax(1)
         edge = np.flatnonzero(np.concatenate(([True], (np.diff(label) != 0) | (np.diff(text) != 0)))) if len(label) else np.zeros(0, np.int64)
-        last = np.append(edge[1:], len(label)) - 1
+        last = np.append(edge[1:], len(label))[: len(edge)] - 1
         ends = begin[last] + letters[last] if len(label) else last
         spans: list[list[str]] = [[] for _ in range(b - a)]
         for i, lang, x, y in zip(text[edge].tolist(), label[edge].tolist(), begin[edge].tolist(), ends.tolist(), strict=True):
