@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import documents, small, stored, table
-from .neardup import KEYS, SIMILARITY, classes, pairs_with_texts, signatures, similarity, weighted_shingles
+from .neardup import KEYS, SIMILARITY, classes, compared, signatures, weighted_shingles
 from .textarrays import chunks, words
 
 #: Document frequencies count down to this share of all documents.
@@ -89,17 +89,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         wanted = stored(nodes.select("node", "doc_id", "text_hash").join(met, "node", "left_semi"), "met")
         held["texts"] = stored(docs.join(small(wanted), docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])).select("node", "text").dropDuplicates(["node"]), "texts")
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            left, right = batch["text_a"].tolist(), batch["text_b"].tolist()
-            for a, b in chunks([x + y for x, y in zip(left, right, strict=True)]):
-                near = similarity(weighted_shingles(left[a:b], idf.value), weighted_shingles(right[a:b], idf.value)) >= threshold
-                yield batch.iloc[a:b].loc[near, ["a", "b"]]
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return pairs_with_texts(pairs, held["texts"]).mapInPandas(compared, "a long, b long")
-
-    labels = classes(nodes, verified, bind)
+    check = compared(lambda: idf.value, threshold)
+    labels = classes(nodes, lambda pairs: check(pairs, held["texts"]), bind)
     own = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     named = stored(own.join(least, "label").select("node", "class_id"), "classes")

@@ -1,30 +1,36 @@
 """What the near-duplicate operators share: signatures, banding, verified links and classes.
 
 Rows with equal shingles are one node (a 64-bit hash of the shingles). Nodes that share a band's key meet
-in a bucket. A bucket's members are compared with a pivot, not with each other; then, bucket by bucket,
-members that are still in different components are compared, until every pair of a bucket is in one
-component or has been compared. Every link is verified exactly. Classes are connected components of links.
+in a bucket, where they are compared with a pivot and not with each other. Then
+
+* a small bucket is closed: its members that are still in different components are compared;
+* a large bucket is dealt anew: two similar members that aren't similar to the pivot share a shingle that
+  the pivot lacks, so its members meet again in a bucket for each such shingle, with pivots of their own.
+  (Without one, the smaller of two similar texts would have to be smaller than the pivot and both lack the
+  same parts of it; such a pair still meets in the buckets of its other bands.)
+
+So the comparisons grow with the members of a bucket, not with their pairs. Every link is verified exactly;
+classes are the connected components of links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import small, stored
-from .textarrays import mix, shingles
+from .textarrays import chunks, mix, shingles
 
 SIMILARITY = 0.8
 #: 8 bands of 3 samples: at similarity 0.8 a pair shares a band with probability 0.997, at 0.3 with 0.2.
 BANDS, BAND_ROWS = 8, 3
 KEYS = [f"k{i}" for i in range(BANDS)]
-#: Members up to which a bucket is closed by comparing all that are in different components, at once.
+#: Members up to which a bucket is closed by comparing all that are in different components.
 SMALL_BUCKET = 32
-#: Rounds with one more pivot for each larger bucket, before it is closed like a small one.
-PIVOT_ROUNDS = 4
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,17 +125,20 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, at: np.ndarray, weighted
     return node.astype(np.int64), keys.astype(np.int64)
 
 
-def similarity(a: tuple, b: tuple) -> np.ndarray:
-    """Weighted Jaccard similarity, sum of minima over sum of maxima, of texts pair by pair; 0 without shingles."""
+def compare(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity, rest) of texts pair by pair: weighted Jaccard, sum of minima over sum of maxima, 0 without
+    shingles; and which of the shingles of ``a`` its partner lacks."""
     n = len(a[2]) - 1
     pair = np.concatenate([np.repeat(np.arange(n), np.diff(x[2])) for x in (a, b)])
     hashes, weights = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
     order = np.lexsort((hashes, pair))
-    pair, hashes, weights = pair[order], hashes[order], weights[order]
-    both = np.flatnonzero((pair[1:] == pair[:-1]) & (hashes[1:] == hashes[:-1])) if len(pair) else np.zeros(0, np.int64)
-    common = np.bincount(pair[both], np.minimum(weights[both], weights[both + 1]), minlength=n)
+    by, hashes, ordered = pair[order], hashes[order], weights[order]
+    both = np.flatnonzero((by[1:] == by[:-1]) & (hashes[1:] == hashes[:-1])) if len(by) else np.zeros(0, np.int64)
+    common = np.bincount(by[both], np.minimum(ordered[both], ordered[both + 1]), minlength=n)
     total = np.bincount(pair, weights, minlength=n)
-    return common / np.maximum(total - common, 1)
+    rest = np.ones(len(a[0]), bool)
+    rest[order[both]] = False  # lexsort is stable: of two equals the first is a's
+    return common / np.maximum(total - common, 1), rest
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -153,53 +162,60 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` after the components that ``links`` (a, b) join have become one."""
+    if labels is None:
+        return components(links)
+    known = labels.select(F.col("node").alias("n"), "label")
+    ends = links.join(known.withColumnsRenamed({"n": "a", "label": "la"}), "a", "left").join(known.withColumnsRenamed({"n": "b", "label": "lb"}), "b", "left")
+    ends = stored(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "label-links")
+    joined = components(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")), "label-components")
+    new = ends.select(F.col("a").alias("node"), F.col("la").alias("label")).unionByName(ends.select(F.col("b").alias("node"), F.col("lb").alias("label")))
+    every = labels.unionByName(new).distinct()
+    joined = joined.withColumnsRenamed({"node": "old", "label": "new"})
+    return stored(every.join(joined, every["label"] == joined["old"], "left").select("node", F.coalesce("new", "label").alias("label")).distinct(), "labels")
+
+
 def classes(nodes: DataFrame, verified: Callable[[DataFrame], DataFrame], bind: Callable[[DataFrame], None]) -> DataFrame:
     """(node, label) of the nodes that are linked with another: the components of all verified links.
 
     ``nodes`` has node and the band keys; ``bind`` is told once which nodes are in a bucket with others;
-    ``verified`` gets distinct pairs (a, b) of nodes and returns those that are similar.
+    ``verified`` gets distinct pairs (a, b, large) of nodes and returns a, b, near and, where large, rest: the
+    shingles of a that b lacks.
     """
     members = nodes.select("node", F.explode(F.array(*KEYS)).alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(members.join(shared, "key"), "bucket-members")
-    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = stored(members.join(degree, "node").select("key", "node", "degree"), "bucket-degrees")
-    bind(members.select("node").distinct())
-    pivots = members.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top"), F.count("*").alias("n")).select("key", F.col("top.node").alias("pivot"))
-    pairs = members.join(pivots, "key").where("node <> pivot")
-    links = stored(verified(stored(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")), "links")
-    members = stored(members.join(pivots, "key").where("node <> pivot").select("key", "node", "degree"), "bucket-rest")  # a pivot has met all
-    for number in range(1, 1000):
-        labels = components(links)
-        members = members.join(labels, "node", "left").select("key", "node", "degree", F.coalesce("label", "node").alias("label"))
-        spread = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        members = stored(members.join(spread.select("key", "n"), "key"), "bucket-open")
-        if members.isEmpty():
-            return labels
-        at_once = F.lit(True) if number > PIVOT_ROUNDS else F.col("n") <= SMALL_BUCKET
-        closing, large = members.where(at_once), members.where(~at_once)
-        # All that are in different components. In a large bucket the members of its largest component stay on one side.
-        size = closing.groupBy("key", "label").agg(F.count("*").alias("size"))
-        largest = size.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top")).select("key", F.col("top.label").alias("main"))
-        sided = closing.join(largest, "key")
-        rest = sided.where("label <> main").select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        pairs = sided.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"), "main").join(rest, "key")
-        pairs = pairs.where("label_a <> label_b AND (label_a = main OR a < b)").select("a", "b")
-        if number <= PIVOT_ROUNDS:
-            # One more pivot for each large bucket, from its smallest component.
-            size = large.groupBy("key", "label").agg(F.count("*").alias("size"), F.max(F.struct("degree", "node")).alias("top"))
-            pivots = size.groupBy("key").agg(F.min(F.struct("size", "top.node", "label")).alias("low"))
-            pivots = pivots.select("key", F.col("low.node").alias("b"), F.col("low.label").alias("label_b"))
-            met = large.join(pivots, "key")
-            pairs = pairs.unionByName(met.where("label <> label_b").select(F.col("node").alias("a"), "b"))
-            members = stored(met.where("node <> b").select("key", "node", "degree"), "bucket-rest")
-        else:
-            members = large.select("key", "node", "degree")
-        new = stored(verified(stored(pairs.distinct(), "pairs")), "links")
-        if new.isEmpty() and members.isEmpty():
+    labels = None
+    first = True
+    while True:
+        shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        met = members.join(shared, "key")
+        met = stored(met.select("key", "node", "n", F.sum("n").over(Window.partitionBy("node")).alias("degree")), "bucket-members")
+        if first:
+            bind(met.select("node").distinct())
+            first = False
+        elif met.isEmpty():
             return labels
-        links = links.unionByName(new)
-    raise AssertionError("buckets stay open")
+        pivots = met.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
+        met = met.join(pivots, "key").where("node <> pivot").withColumn("large", F.col("n") > SMALL_BUCKET)
+        if labels is not None:  # what is in one component needs no comparison, but for what it lacks in a large bucket
+            named = labels.select(F.col("node").alias("n_"), F.col("label").alias("own")), labels.select(F.col("node").alias("p_"), F.col("label").alias("other"))
+            met = met.join(named[0], F.col("node") == F.col("n_"), "left").join(named[1], F.col("pivot") == F.col("p_"), "left")
+            met = met.where("large OR coalesce(own, node) <> coalesce(other, pivot)").select("key", "node", "n", "pivot", "large")
+        met = stored(met.select("key", "node", "pivot", "large"), "bucket-pivots")
+        pairs = met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("large").alias("large"))
+        found = stored(verified(stored(pairs, "pairs")), "compared")
+        links = found.where("near").select("a", "b")
+        labels = merged(labels, links) if labels is None or not links.isEmpty() else labels
+        # Small buckets: the pivot has met all; the others meet those of other components.
+        own = met.where("NOT large").join(labels.withColumnRenamed("label", "l"), "node", "left").select("key", "node", F.coalesce("l", "node").alias("l"))
+        open_ = own.groupBy("key").agg(F.min("l").alias("low"), F.max("l").alias("high")).where("low <> high").select("key")
+        own = stored(own.join(open_, "key"), "bucket-open")
+        pairs = own.select("key", F.col("node").alias("a"), F.col("l").alias("la")).join(own.select("key", F.col("node").alias("b"), F.col("l").alias("lb")), "key")
+        pairs = stored(pairs.where("a < b AND la <> lb").select("a", "b", F.lit(False).alias("large")).distinct(), "pairs")
+        links = stored(verified(pairs), "compared").where("near").select("a", "b")
+        labels = labels if links.isEmpty() else merged(labels, links)
+        # Large buckets: one bucket for each shingle that the pivot lacks.
+        members = found.where("large").select(F.col("a").alias("node"), "b", F.explode("rest").alias("h")).select("node", F.xxhash64("b", "h").alias("key")).distinct()
 
 
 def pairs_with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -207,3 +223,19 @@ def pairs_with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(small(pairs), "a")
     right = texts.join(small(stored(pairs.select(F.col("b").alias("node")).distinct(), "pivots")), "node", "left_semi")
     return left.join(right.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+
+
+def compared(idf, threshold: float):
+    """For pairs with texts: whether they are similar and, of large buckets, which shingles b lacks. ``idf`` gives the weights."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            left, right = batch["text_a"].tolist(), batch["text_b"].tolist()
+            for i, j in chunks([x + y for x, y in zip(left, right, strict=True)]):
+                a, b = weighted_shingles(left[i:j], idf()), weighted_shingles(right[i:j], idf())
+                near, lacks = compare(a, b)
+                part = batch.iloc[i:j][["a", "b", "large"]]
+                rest = [a[0][x:y][lacks[x:y]].astype(np.int64) if large else None for x, y, large in zip(a[2][:-1], a[2][1:], part["large"], strict=True)]
+                yield part.assign(near=near >= threshold, rest=rest)
+
+    return lambda pairs, texts: pairs_with_texts(pairs, texts).mapInPandas(rows, "a long, b long, large boolean, near boolean, rest array<long>")

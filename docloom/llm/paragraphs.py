@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import documents, small, stored, table
-from .neardup import KEYS, SIMILARITY, classes, pairs_with_texts, signatures, similarity, weighted_shingles
+from .neardup import KEYS, SIMILARITY, classes, compared, signatures, weighted_shingles
 from .textarrays import chunks, words
 
 #: Shorter lines (headings, list items, licence lines) repeat in clean text too.
@@ -83,14 +83,8 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold:
         cut = F.substring(F.col("text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
         held["texts"] = stored(docs.join(wanted, ["doc_id", "text_hash"]).select("node", cut.alias("text")).dropDuplicates(["node"]), "texts")
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            left, right = batch["text_a"].tolist(), batch["text_b"].tolist()
-            for a, b in chunks([x + y for x, y in zip(left, right, strict=True)]):
-                near = similarity(weighted_shingles(left[a:b], None), weighted_shingles(right[a:b], None)) >= threshold
-                yield batch.iloc[a:b].loc[near, ["a", "b"]]
-
-    labels = classes(nodes.select("node", *KEYS), lambda pairs: pairs_with_texts(pairs, held["texts"]).mapInPandas(compared, "a long, b long"), bind)
+    check = compared(lambda: None, threshold)
+    labels = classes(nodes.select("node", *KEYS), lambda pairs: check(pairs, held["texts"]), bind)
     own = nodes.select("node", "n", F.struct("first.doc_id", "first.paragraph").alias("first")).join(labels, "node", "left")
     own = own.withColumn("label", F.coalesce("label", "node"))
     groups = own.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
