@@ -4,7 +4,6 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
-import pytest
 from docloom.llm import minhash, neardup, paragraphs
 from docloom.llm.decontaminate import contaminated
 from docloom.llm.registry import oracle_sql, queries
@@ -96,14 +95,13 @@ def test_large_groups_are_one_class(spark, monkeypatch):
     assert [got[200 + i] for i in range(5)] == [200 + i for i in range(5)]
 
 
-@pytest.mark.parametrize("rounds", [0, 4])
-def test_no_link_of_a_bucket_is_lost(spark, monkeypatch, rounds):
+def test_no_link_of_a_bucket_is_lost(spark, monkeypatch):
     """Numbers within 2 are similar; all are in one bucket, and no pivot is similar to all."""
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 3)
-    monkeypatch.setattr(neardup, "PIVOT_ROUNDS", rounds)
     numbers = [1, 2, 4, 6, 20, 21, 40, 60, 62, 64, 66, 68]
     nodes = spark.createDataFrame([(x, *[7] * neardup.BANDS) for x in numbers], "node long, " + ", ".join(f"{k} long" for k in neardup.KEYS))
-    labels = neardup.classes(nodes, lambda pairs: pairs.where("abs(a - b) <= 2"), lambda met: None)
+    rest = "filter(array(a - 1, a, a + 1), x -> abs(x - b) > 1) AS rest"
+    labels = neardup.classes(nodes, lambda pairs: pairs.selectExpr("a", "b", "large", "abs(a - b) <= 2 AS near", rest), lambda met: None)
     got = {r.node: r.label for r in labels.collect()}
     assert {x: got.get(x, x) for x in numbers} == {1: 1, 2: 1, 4: 1, 6: 1, 20: 20, 21: 20, 40: 40, 60: 60, 62: 60, 64: 60, 66: 60, 68: 60}
 
