@@ -25,10 +25,10 @@ class Budget:
 
 
 def bounded_files(spark: SparkSession, path: str, glob: str = "*", limit: int = MAX_FILE) -> tuple[DataFrame, DataFrame]:
-    """(files, errors): binary files of 1 to ``limit`` bytes, and the paths of the others with a reason."""
+    """(files, errors): binary files of at most ``limit`` bytes, and the paths of the others. Spark's reader leaves empty files out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    good = F.col("length").between(1, limit)
-    errors = files.where(~good).select("path", F.when(F.col("length") == 0, "empty").otherwise("too large").alias("error"))
+    good = F.col("length") <= limit
+    errors = files.where(~good).select("path", F.lit("too large").alias("error"))
     return files.where(good).select("path", "length", "content"), errors
 
 
