@@ -3,11 +3,14 @@
 Rows with equal shingles are one node (a 64-bit hash of the shingles). Nodes that share a band's key meet
 in a bucket, where they are compared with a pivot and not with each other. Then
 
-* a small bucket is closed: its members that are still in different components are compared;
-* a large bucket is dealt anew: two similar members that aren't similar to the pivot share a shingle that
-  the pivot lacks, so its members meet again in a bucket for each such shingle, with pivots of their own.
-  (Without one, the smaller of two similar texts would have to be smaller than the pivot and both lack the
-  same parts of it; such a pair still meets in the buckets of its other bands.)
+* a bucket with few members outside its largest component is closed: these are compared with all members of
+  other components;
+* any other is dealt anew by what its members have besides the pivot. Those with most of their weight in
+  the pivot's shingles (NEAR_PIVOT) meet again in a bucket for each shingle that the pivot lacks: two similar
+  ones share such a shingle, or they would be similar to the pivot. (Without one, the smaller would have to be
+  smaller than the pivot and both lack the same parts of it.) Of the others, two similar ones have at least 0.56
+  of their rest in common, by weighted Jaccard: they meet again in bands over the rest, 12 of 2 samples, with
+  probability 0.99 or more.
 
 So the comparisons grow with the members of a bucket, not with their pairs. Every link is verified exactly;
 classes are the connected components of links.
@@ -29,9 +32,13 @@ SIMILARITY = 0.8
 #: 8 bands of 3 samples: at similarity 0.8 a pair shares a band with probability 0.997, at 0.3 with 0.2.
 BANDS, BAND_ROWS = 8, 3
 KEYS = [f"k{i}" for i in range(BANDS)]
-#: Members up to which a bucket is closed by comparing all that are in different components.
+#: Members outside its largest component up to which a bucket is closed: they meet all of other components.
 SMALL_BUCKET = 32
 
+#: Share of a text's weight in a pivot's shingles from which each of its other shingles is a bucket of its own.
+NEAR_PIVOT = 0.6
+REST_BANDS, REST_ROWS = 12, 2
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,8 +95,8 @@ def weighted_shingles(texts: list, idf: tuple[np.ndarray, np.ndarray, int] | Non
     return hashes[first], weights, np.searchsorted(text[first], np.arange(len(texts) + 1))
 
 
-def signatures(hashes: np.ndarray, weights: np.ndarray, at: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(node, keys): a hash of each text's shingles and weights, and its band keys [texts, BANDS].
+def signatures(hashes: np.ndarray, weights: np.ndarray, at: np.ndarray, weighted: bool, bands: int = BANDS, band_rows: int = BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(node, keys): a hash of each text's shingles and weights, and its band keys [texts, bands].
 
     Texts without a shingle get 0s. Weighted texts are sampled by improved consistent weighted sampling: for
     each sample k, shingle s draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) from its hash; t = floor(ln w / r + b),
@@ -97,7 +104,7 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, at: np.ndarray, weighted
     """
     n = len(at) - 1
     full = np.flatnonzero(np.diff(at))
-    node, keys = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64)
+    node, keys = np.zeros(n, np.uint64), np.zeros((n, bands), np.uint64)
     if not len(full):
         return node.astype(np.int64), keys.astype(np.int64)
     starts = at[:-1][full]
@@ -105,7 +112,7 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, at: np.ndarray, weighted
     low = np.uint64(0xFFFFFFFF)
     tables = _tables() if weighted else {}
     log_w = np.log(np.maximum(weights, 1)).astype(np.float32) if weighted else None
-    for k in range(BANDS * BAND_ROWS):
+    for k in range(bands * band_rows):
         seed = np.uint64(((k + 1) * 0x9E3779B97F4A7C15) % (1 << 64))
         draw = mix(hashes ^ seed)
         if weighted:
@@ -120,7 +127,7 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, at: np.ndarray, weighted
             sample = np.minimum.reduceat(rank << np.uint64(32) | name, starts) & low
         else:
             sample = np.minimum.reduceat(draw, starts)
-        band = k // BAND_ROWS
+        band = k // band_rows
         keys[full, band] = mix(keys[full, band] * np.uint64(31) + sample + np.uint64(band + 1))
     return node.astype(np.int64), keys.astype(np.int64)
 
@@ -180,42 +187,42 @@ def classes(nodes: DataFrame, verified: Callable[[DataFrame], DataFrame], bind:
     """(node, label) of the nodes that are linked with another: the components of all verified links.
 
     ``nodes`` has node and the band keys; ``bind`` is told once which nodes are in a bucket with others;
-    ``verified`` gets distinct pairs (a, b, large) of nodes and returns a, b, near and, where large, rest: the
-    shingles of a that b lacks.
+    ``verified`` gets distinct pairs (a, b, large) of nodes and returns a, b, near and, where large, rest: what a
+    meets others by that b lacks.
     """
-    members = nodes.select("node", F.explode(F.array(*KEYS)).alias("key"))
+    members = nodes.select("node", F.explode(F.array(*KEYS)).alias("key"), F.col("node").alias("label"))
     labels = None
-    first = True
     while True:
-        shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        # A bucket whose members are all in one component has nothing to find.
+        sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+        shared = sizes.groupBy("key").agg(F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
         met = members.join(shared, "key")
-        met = stored(met.select("key", "node", "n", F.sum("n").over(Window.partitionBy("node")).alias("degree")), "bucket-members")
-        if first:
+        met = stored(met.select("key", "node", "label", "others", F.sum("n").over(Window.partitionBy("node")).alias("degree")), "bucket-members")
+        if labels is None:
             bind(met.select("node").distinct())
-            first = False
         elif met.isEmpty():
             return labels
-        pivots = met.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
-        met = met.join(pivots, "key").where("node <> pivot").withColumn("large", F.col("n") > SMALL_BUCKET)
-        if labels is not None:  # what is in one component needs no comparison, but for what it lacks in a large bucket
-            named = labels.select(F.col("node").alias("n_"), F.col("label").alias("own")), labels.select(F.col("node").alias("p_"), F.col("label").alias("other"))
-            met = met.join(named[0], F.col("node") == F.col("n_"), "left").join(named[1], F.col("pivot") == F.col("p_"), "left")
-            met = met.where("large OR coalesce(own, node) <> coalesce(other, pivot)").select("key", "node", "n", "pivot", "large")
-        met = stored(met.select("key", "node", "pivot", "large"), "bucket-pivots")
-        pairs = met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("large").alias("large"))
+        pivots = met.groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("top"))
+        met = met.join(pivots, "key").where("node <> top.node").withColumn("large", F.col("others") > SMALL_BUCKET)
+        met = stored(met.select("key", "node", F.col("top.node").alias("pivot"), "large", (F.col("label") == F.col("top.label")).alias("joined")), "bucket-pivots")
+        # In one component with the pivot there is nothing to compare, but a large bucket's members are asked what it lacks.
+        pairs = met.where("large OR NOT joined").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("large").alias("large"))
         found = stored(verified(stored(pairs, "pairs")), "compared")
         links = found.where("near").select("a", "b")
         labels = merged(labels, links) if labels is None or not links.isEmpty() else labels
         # Small buckets: the pivot has met all; the others meet those of other components.
         own = met.where("NOT large").join(labels.withColumnRenamed("label", "l"), "node", "left").select("key", "node", F.coalesce("l", "node").alias("l"))
-        open_ = own.groupBy("key").agg(F.min("l").alias("low"), F.max("l").alias("high")).where("low <> high").select("key")
-        own = stored(own.join(open_, "key"), "bucket-open")
-        pairs = own.select("key", F.col("node").alias("a"), F.col("l").alias("la")).join(own.select("key", F.col("node").alias("b"), F.col("l").alias("lb")), "key")
-        pairs = stored(pairs.where("a < b AND la <> lb").select("a", "b", F.lit(False).alias("large")).distinct(), "pairs")
+        sizes = own.groupBy("key", "l").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("n", "l")).alias("top"), F.sum("n").alias("n")).where("n > top.n").select("key", F.col("top.l").alias("main"))
+        own = stored(own.join(main, "key"), "bucket-open")
+        others = own.where("l <> main").select("key", F.col("node").alias("b"), F.col("l").alias("lb"))  # at most SMALL_BUCKET a bucket
+        pairs = own.select("key", "main", F.col("node").alias("a"), F.col("l").alias("la")).join(others, "key").where("la <> lb AND (la = main OR a < b)")
+        pairs = stored(pairs.select("a", "b", F.lit(False).alias("large")).distinct(), "pairs")
         links = stored(verified(pairs), "compared").where("near").select("a", "b")
         labels = labels if links.isEmpty() else merged(labels, links)
         # Large buckets: one bucket for each shingle that the pivot lacks.
         members = found.where("large").select(F.col("a").alias("node"), "b", F.explode("rest").alias("h")).select("node", F.xxhash64("b", "h").alias("key")).distinct()
+        members = members.join(labels.withColumnRenamed("label", "l"), "node", "left").select("node", "key", F.coalesce("l", "node").alias("label"))
 
 
 def pairs_with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -226,16 +233,28 @@ def pairs_with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def compared(idf, threshold: float):
-    """For pairs with texts: whether they are similar and, of large buckets, which shingles b lacks. ``idf`` gives the weights."""
+    """For pairs with texts: whether they are similar and, of large buckets, what a meets others by. ``idf`` gives the weights."""
+
+    def rests(a: tuple, lacks: np.ndarray, large: np.ndarray, weighted: bool) -> list:
+        """What each text of a large bucket meets others by: shingles that the pivot lacks, or band keys over them."""
+        text = np.repeat(np.arange(len(large)), np.diff(a[2]))
+        kept = lacks & large[text]
+        hashes, weights, text = a[0][kept], a[1][kept], text[kept]
+        at = np.searchsorted(text, np.arange(len(large) + 1))
+        total = np.bincount(np.repeat(np.arange(len(large)), np.diff(a[2])), a[1], minlength=len(large))
+        close = np.bincount(text, weights, minlength=len(large)) <= (1 - NEAR_PIVOT) * total
+        keys = signatures(hashes, weights, at, weighted, REST_BANDS, REST_ROWS)[1]
+        own = [hashes[x:y].astype(np.int64) if c else k for x, y, c, k in zip(at[:-1], at[1:], close, keys, strict=True)]
+        return [(x if len(x) and y > z else []) if big else None for x, big, z, y in zip(own, large, at[:-1], at[1:], strict=True)]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             left, right = batch["text_a"].tolist(), batch["text_b"].tolist()
             for i, j in chunks([x + y for x, y in zip(left, right, strict=True)]):
-                a, b = weighted_shingles(left[i:j], idf()), weighted_shingles(right[i:j], idf())
+                weights = idf()
+                a, b = weighted_shingles(left[i:j], weights), weighted_shingles(right[i:j], weights)
                 near, lacks = compare(a, b)
                 part = batch.iloc[i:j][["a", "b", "large"]]
-                rest = [a[0][x:y][lacks[x:y]].astype(np.int64) if large else None for x, y, large in zip(a[2][:-1], a[2][1:], part["large"], strict=True)]
-                yield part.assign(near=near >= threshold, rest=rest)
+                yield part.assign(near=near >= threshold, rest=rests(a, lacks, part["large"].to_numpy(bool), weights is not None))
 
     return lambda pairs, texts: pairs_with_texts(pairs, texts).mapInPandas(rows, "a long, b long, large boolean, near boolean, rest array<long>")
