@@ -17,6 +17,7 @@ id is reached without unpacking what stands before it.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,12 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import documents, stored, table
-from .textarrays import chunks, code_points, span_hashes
+from .piececache import PieceCache
+from .textarrays import chunks
 
 #: Ids after which a block ends with the text at hand.
 BLOCK_IDS = 1 << 17
-#: Distinct text pieces whose ids a Python worker keeps before it forgets the rare ones.
-KEPT_PIECES = 600_000
 BLOCK_SCHEMA = "block long, width int, doc_ids array<long>, offsets array<long>, payload binary"
 
 
@@ -53,18 +53,16 @@ def unpack(payload: bytes, width: int, start: int, end: int) -> np.ndarray:
     return bits.reshape(-1, width).astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
 
 
-class PieceEncoder:
+class PieceEncoder(PieceCache):
     """Encodes texts with a byte-level BPE of the tokenizers library, each distinct piece once.
 
     The library's pre-tokenizer never joins a character that isn't white space to white space after it, so
     a text can be cut there without a change to its ids. The pieces (white space and what follows up to the
-    next white space) repeat a lot: they are told apart by 64-bit hashes, and only new ones go to the
-    library, many in one string, which is cut again by the bytes that each id stands for.
+    next white space) repeat a lot. Only new ones go to the library, many in one string, which is cut again
+    by the bytes that each id stands for.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
 
@@ -72,28 +70,19 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.width = max(1, (size - 1).bit_length())
+        super().__init__(np.uint16 if self.width <= 16 else np.uint32)
         self.id_bytes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
         # White space as the library sees it: without four control characters that Python counts too.
         self.space = np.fromiter((chr(i).isspace() and not 0x1C <= i <= 0x1F for i in range(0x110000)), bool, 0x110000)
-        self.slots: dict[int, int] = {}
-        self.seen = np.zeros(0, np.int32)
-        self.flat, self.at = np.zeros(0, np.uint16 if self.width <= 16 else np.uint32), np.zeros(1, np.int64)
-
-    def forget(self) -> None:
-        """Keeps the pieces that more than one run of texts had, or none if they are too many."""
-        kept = np.flatnonzero(self.seen > 1)
-        kept = kept if len(kept) <= KEPT_PIECES // 2 else kept[:0]
-        n = self.at[kept + 1] - self.at[kept]
-        at = np.concatenate(([0], np.cumsum(n)))
-        self.flat = self.flat[np.arange(at[-1]) + np.repeat(self.at[kept] - at[:-1], n)]
-        self.at = at
-        names = np.fromiter(self.slots, np.uint64, len(self.slots))
-        self.slots = {h: i for i, h in enumerate(names[kept].tolist())}
-        self.seen = np.ones(len(kept), np.int32)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Appends the ids of new pieces."""
-        runs = []
+
+    def cuts(self, points: np.ndarray) -> np.ndarray:
+        space = self.space[points]
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        return cut
+
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        runs: list[list[str]] = []
         for i, piece in enumerate(pieces):  # a piece that can't follow another begins a string of its own
             if not runs or len(runs[-1]) >= 1000 or not self.space[ord(piece[0])] or self.space[ord(pieces[i - 1][-1])]:
                 runs.append([])
@@ -102,40 +91,7 @@ class PieceEncoder:
         ids = np.concatenate([np.array(x.ids, self.flat.dtype) for x in found])
         ends = np.cumsum(np.fromiter((len(x.encode()) for x in pieces), np.int64, len(pieces)))
         cut = np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1
-        self.at = np.concatenate((self.at, self.at[-1] + cut))
-        self.flat = np.concatenate((self.flat, ids))
-
-    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts and where each text's start (n + 1 numbers); null is the empty text."""
-        if len(self.slots) > KEPT_PIECES:
-            self.forget()
-        points, starts = code_points(texts)
-        space = self.space[points]
-        cuts = space.copy()
-        cuts[1:] &= ~space[:-1]
-        cuts[starts[:-1]] = True
-        cuts[starts[1:] - 1] = True  # the line feed that ends each text
-        first = np.flatnonzero(cuts)
-        end = np.append(first[1:], len(points))[: len(first)]
-        kept = ~np.isin(first, starts[1:] - 1)
-        counts_at = np.concatenate(([0], np.cumsum(kept)))[np.searchsorted(first, starts)]
-        first, end = first[kept], end[kept]
-        codes, distinct = pd.factorize(span_hashes(points, first, end))
-        _, where = np.unique(codes, return_index=True)
-        known = len(self.slots)
-        slot = np.fromiter((self.slots.setdefault(h, len(self.slots)) for h in distinct.tolist()), np.int64, len(distinct))
-        new = np.flatnonzero(slot >= known)
-        self.seen = np.concatenate((self.seen, np.zeros(len(new), np.int32)))
-        self.seen[slot] += 1
-        if len(new):
-            a, b = first[where[new]], end[where[new]]
-            self.learn([points[i:j].tobytes().decode("utf-32-le") for i, j in zip(a.tolist(), b.tolist(), strict=True)])
-        index = slot[codes]
-        n = self.at[index + 1] - self.at[index]
-        ends = np.zeros(len(index) + 1, np.int64)
-        np.cumsum(n, out=ends[1:])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.at[index] - ends[:-1], n)]
-        return ids, ends[counts_at]
+        return ids, np.diff(np.concatenate(([0], cut)))
 
 
 @functools.lru_cache(1)
