@@ -35,6 +35,8 @@ KEYS = [f"k{i}" for i in range(BANDS)]
 #: Members outside its largest component up to which a bucket is closed: they meet all of other components.
 SMALL_BUCKET = 32
 
+#: Times that large buckets are dealt anew; what is left then, few members each, is closed.
+DEALS = 3
 #: Share of a text's weight in a pivot's shingles from which each of its other shingles is a bucket of its own.
 NEAR_PIVOT = 0.6
 REST_BANDS, REST_ROWS = 12, 2
@@ -192,7 +194,7 @@ def classes(nodes: DataFrame, verified: Callable[[DataFrame], DataFrame], bind:
     """
     members = nodes.select("node", F.explode(F.array(*KEYS)).alias("key"), F.col("node").alias("label"))
     labels = None
-    while True:
+    for deal in range(DEALS + 2):
         # A bucket whose members are all in one component has nothing to find.
         sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
         shared = sizes.groupBy("key").agg(F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
@@ -203,7 +205,7 @@ def classes(nodes: DataFrame, verified: Callable[[DataFrame], DataFrame], bind:
         elif met.isEmpty():
             return labels
         pivots = met.groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("top"))
-        met = met.join(pivots, "key").where("node <> top.node").withColumn("large", F.col("others") > SMALL_BUCKET)
+        met = met.join(pivots, "key").where("node <> top.node").withColumn("large", (F.col("others") > SMALL_BUCKET) & F.lit(deal < DEALS))
         met = stored(met.select("key", "node", F.col("top.node").alias("pivot"), "large", (F.col("label") == F.col("top.label")).alias("joined")), "bucket-pivots")
         # In one component with the pivot there is nothing to compare, but a large bucket's members are asked what it lacks.
         pairs = met.where("large OR NOT joined").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("large").alias("large"))
@@ -215,7 +217,7 @@ def classes(nodes: DataFrame, verified: Callable[[DataFrame], DataFrame], bind:
         sizes = own.groupBy("key", "l").agg(F.count("*").alias("n"))
         main = sizes.groupBy("key").agg(F.max(F.struct("n", "l")).alias("top"), F.sum("n").alias("n")).where("n > top.n").select("key", F.col("top.l").alias("main"))
         own = stored(own.join(main, "key"), "bucket-open")
-        others = own.where("l <> main").select("key", F.col("node").alias("b"), F.col("l").alias("lb"))  # at most SMALL_BUCKET a bucket
+        others = own.where("l <> main").select("key", F.col("node").alias("b"), F.col("l").alias("lb"))  # at most SMALL_BUCKET a bucket, but for what is left after the last deal
         pairs = own.select("key", "main", F.col("node").alias("a"), F.col("l").alias("la")).join(others, "key").where("la <> lb AND (la = main OR a < b)")
         pairs = stored(pairs.select("a", "b", F.lit(False).alias("large")).distinct(), "pairs")
         links = stored(verified(pairs), "compared").where("near").select("a", "b")
