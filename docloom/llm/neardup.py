@@ -196,9 +196,11 @@ def classes(nodes: DataFrame, verified: Callable[[DataFrame], DataFrame], bind:
     labels = None
     for deal in range(DEALS + 2):
         # A bucket whose members are all in one component has nothing to find.
-        sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-        shared = sizes.groupBy("key").agg(F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-        met = members.join(shared, "key")
+        # Of buckets with the same members, told by their number and the xor of their hashes, one is enough.
+        sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
+        shared = sizes.groupBy("key").agg(F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"), F.bit_xor("x").alias("x")).where("others > 0")
+        shared = shared.groupBy("n", "others", "x").agg(F.min("key").alias("key"))
+        met = members.join(shared.drop("x"), "key")
         met = stored(met.select("key", "node", "label", "others", F.sum("n").over(Window.partitionBy("node")).alias("degree")), "bucket-members")
         if labels is None:
             bind(met.select("node").distinct())
