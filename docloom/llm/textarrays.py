@@ -32,11 +32,16 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return alnum, lower
 
 
-@functools.lru_cache(4)
+_KEPT_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """At least n powers of base; a worker keeps one array for each base."""
+    if len(_KEPT_POWERS.get(base, ())) < n:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        _KEPT_POWERS[base] = np.cumprod(out, dtype=np.uint64)
+    return _KEPT_POWERS[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
