@@ -8,6 +8,7 @@ from .idpacking import op5_token_ids
 from .langid import op1_language
 from .minhash import op4_near_duplicates
 from .paragraphs import op2_paragraphs
+from .passages import op2_passages
 from .pii import op10_pii
 from .sharding import op7_sharding
 from .spm import op8_sentencepiece
@@ -15,7 +16,7 @@ from .urlfilter import OP9_SQL, op9_url_filter
 
 
 def queries():
-    return {"op1_language": op1_language, "op2_paragraphs": op2_paragraphs, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op5_token_ids": op5_token_ids, "op6_gif": op6_gif, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_url_filter": op9_url_filter, "op10_pii": op10_pii}
+    return {"op1_language": op1_language, "op2_paragraphs": op2_paragraphs, "op2_passages": op2_passages, "op3_decontamination": op3_decontamination, "op4_near_duplicates": op4_near_duplicates, "op5_token_ids": op5_token_ids, "op6_gif": op6_gif, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_url_filter": op9_url_filter, "op10_pii": op10_pii}
 
 
 def oracle_sql():
