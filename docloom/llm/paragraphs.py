@@ -64,7 +64,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold:
     """Every paragraph that occurs more than once, up to similarity ``threshold``.
 
     Returns doc_id, paragraph (from 0), start and end (code points), n_words, keep_doc_id and keep_paragraph
-    (the class's first occurrence), removed (false for that one). Links are verified Jaccard similarities of
+    (the class's first occurrence; rows without a doc_id come last), removed (false for that one). Links are verified Jaccard similarities of
     shingle sets; classes are components of links. Null and empty texts have no paragraph; a paragraph that
     occurs twice in one text counts twice; repeated rows of a document are occurrences too, and the rows of
     an occurrence that is kept are all kept. An empty table gives an empty result.
@@ -73,7 +73,8 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold:
     columns = ", ".join(f"{k} long" for k in KEYS)
     schema = f"doc_id long, text_hash long, paragraph int, start long, end long, n_words int, node long, {columns}"
     signs = stored(docs.mapInPandas(_signed(min_words), schema), "paragraphs")
-    first = F.struct("doc_id", "paragraph", "text_hash", "start", "end")
+    place = [F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph", "text_hash"]
+    first = F.struct(*place, "start", "end")
     nodes = stored(signs.groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in KEYS]), "nodes")
     held: dict[str, DataFrame] = {}
 
@@ -81,15 +82,15 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold:
         wanted = nodes.select("node", "first.*").join(met, "node", "left_semi")
         wanted = stored(wanted.select("node", "doc_id", "text_hash", "start", "end"), "met")
         cut = F.substring(F.col("text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-        held["texts"] = stored(docs.join(wanted, ["doc_id", "text_hash"]).select("node", cut.alias("text")).dropDuplicates(["node"]), "texts")
+        held["texts"] = stored(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])).select("node", cut.alias("text")).dropDuplicates(["node"]), "texts")
 
     check = compared(lambda: None, threshold)
     labels = classes(nodes.select("node", *KEYS), lambda pairs: check(pairs, held["texts"]), bind)
-    own = nodes.select("node", "n", F.struct("first.doc_id", "first.paragraph").alias("first")).join(labels, "node", "left")
+    own = nodes.select("node", "n", F.struct("first.none", "first.doc_id", "first.paragraph", "first.text_hash").alias("first")).join(labels, "node", "left")
     own = own.withColumn("label", F.coalesce("label", "node"))
     groups = own.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     named = stored(own.select("node", "label").join(groups, "label").select("node", "keep"), "classes")
-    found = signs.join(named, "node").withColumn("removed", F.struct("doc_id", "paragraph") != F.col("keep"))
+    found = signs.join(named, "node").withColumn("removed", F.struct(*place) != F.col("keep"))
     return found.select("doc_id", "paragraph", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), "removed")
 
 

@@ -153,3 +153,17 @@ def test_an_edited_item_is_found(spark):
     docs = spark.createDataFrame([(1, "Before. " + " ".join(edited) + " after it"), (2, sentence(5, 90))], "doc_id long, text string")
     got = contaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.word) for r in got] == [(1, 9, 1)] and got[0].similarity == round(71 / 81, 6)
+
+
+def test_paragraphs_of_rows_without_a_doc_id(spark, monkeypatch):
+    """A row without a doc_id, first of all, in a group of near copies of its line, and several such rows."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
+    base = sentence(21, 200).split()
+
+    def edited(i):
+        return " ".join("new" if k == 3 * i + 20 else w for k, w in enumerate(base))
+
+    rows = [(None, " ".join(base)), (None, edited(50)), *((i, edited(i)) for i in range(1, 12)), (90, sentence(22, 60)), (None, sentence(23, 60)), (91, sentence(23, 60) + " more")]
+    got = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {(None, 0, 1, True), (1, 0, 1, False), *((i, 0, 1, True) for i in range(2, 12)), (91, 0, 91, False), (None, 0, 91, True)}
+    assert {(r.doc_id, r.paragraph, r.keep_doc_id, r.removed) for r in got} == want and len(got) == 15
