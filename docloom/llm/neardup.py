@@ -5,12 +5,12 @@ in a bucket, where they are compared with a pivot and not with each other. Then
 
 * a bucket with few members outside its largest component is closed: these are compared with all members of
   other components;
-* any other is dealt anew by what its members have besides the pivot. Those with most of their weight in
-  the pivot's shingles (NEAR_PIVOT) meet again in a bucket for each shingle that the pivot lacks: two similar
-  ones share such a shingle, or they would be similar to the pivot. (Without one, the smaller would have to be
-  smaller than the pivot and both lack the same parts of it.) Of the others, two similar ones have at least 0.56
-  of their rest in common, by weighted Jaccard: they meet again in bands over the rest, 12 of 2 samples, with
-  probability 0.99 or more.
+* any other is dealt anew by what its members have besides the pivot. Those with less than NEAR_PIVOT of their
+  weight in the pivot's shingles meet in bands over the rest: two similar ones have at least 0.56 of it in
+  common, by weighted Jaccard, so that 12 bands of 2 samples meet with probability 0.99 or more. The others meet
+  in a bucket for each shingle that the pivot lacks, and so does whatever is below NEAR_PIVOT and may still be
+  similar to one of them. Two similar ones without such a shingle in common (excerpts of a larger pivot) have
+  little weight outside it: all that have no more meet in fresh bands over their whole texts, too.
 
 So the comparisons grow with the members of a bucket, not with their pairs. Every link is verified exactly;
 classes are the connected components of links.
@@ -37,9 +37,11 @@ SMALL_BUCKET = 32
 
 #: Times that large buckets are dealt anew; what is left then, few members each, is closed.
 DEALS = 3
-#: Share of a text's weight in a pivot's shingles from which each of its other shingles is a bucket of its own.
+#: Share of a text's weight in a pivot's shingles below which it meets others by bands over its other shingles.
 NEAR_PIVOT = 0.6
 REST_BANDS, REST_ROWS = 12, 2
+#: The same over whole texts: similar ones meet with probability 0.9998.
+WHOLE_BANDS, WHOLE_ROWS = 12, 3
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -239,17 +241,34 @@ def pairs_with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def compared(idf, threshold: float):
     """For pairs with texts: whether they are similar and, of large buckets, what a meets others by. ``idf`` gives the weights."""
 
-    def rests(a: tuple, lacks: np.ndarray, large: np.ndarray, weighted: bool) -> list:
-        """What each text of a large bucket meets others by: shingles that the pivot lacks, or band keys over them."""
-        text = np.repeat(np.arange(len(large)), np.diff(a[2]))
-        kept = lacks & large[text]
-        hashes, weights, text = a[0][kept], a[1][kept], text[kept]
+    def rests(a: tuple, lacks: np.ndarray, large: np.ndarray, pivot: np.ndarray, weighted: bool) -> list:
+        """What each text of a large bucket meets others by: shingles that the pivot lacks, band keys over them, band keys over all.
+
+        Of two similar texts of which one has at most 1 - NEAR_PIVOT of its weight outside the pivot, the other
+        has at most 1 - threshold * NEAR_PIVOT; if they have nothing in common there, each has at most
+        1 / threshold - 1.
+        """
+        every = np.repeat(np.arange(len(large)), np.diff(a[2]))
+        kept = lacks & large[every]
+        hashes, weights, text = a[0][kept], a[1][kept], every[kept]
         at = np.searchsorted(text, np.arange(len(large) + 1))
-        total = np.bincount(np.repeat(np.arange(len(large)), np.diff(a[2])), a[1], minlength=len(large))
-        close = np.bincount(text, weights, minlength=len(large)) <= (1 - NEAR_PIVOT) * total
+        total = np.bincount(every, a[1], minlength=len(large))
+        rest = np.bincount(text, weights, minlength=len(large))
+        single = rest <= (1 - threshold * NEAR_PIVOT) * total + 1e-6
+        banded = rest > (1 - NEAR_PIVOT) * total
+        inside = large & (rest <= (1 / threshold - 1) * total + 1e-6) & (total > 0)
         keys = signatures(hashes, weights, at, weighted, REST_BANDS, REST_ROWS)[1]
-        own = [hashes[x:y].astype(np.int64) if c else k for x, y, c, k in zip(at[:-1], at[1:], close, keys, strict=True)]
-        return [(x if len(x) and y > z else []) if big else None for x, big, z, y in zip(own, large, at[:-1], at[1:], strict=True)]
+        whole = inside[every]
+        fresh = mix(a[0][whole] + pivot.astype(np.uint64)[every[whole]] * _STEP)  # other samples with each pivot
+        sizes = np.where(inside, np.diff(a[2]), 0)
+        fresh = signatures(fresh, a[1][whole], np.concatenate(([0], np.cumsum(sizes))), weighted, WHOLE_BANDS, WHOLE_ROWS)[1]
+        out: list = []
+        for i, big in enumerate(large):
+            parts = [hashes[at[i] : at[i + 1]].astype(np.int64)] if single[i] else []
+            parts += [keys[i]] if banded[i] and at[i + 1] > at[i] else []
+            parts += [fresh[i]] if inside[i] else []
+            out.append((np.concatenate(parts) if parts else []) if big else None)
+        return out
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -259,6 +278,6 @@ def compared(idf, threshold: float):
                 a, b = weighted_shingles(left[i:j], weights), weighted_shingles(right[i:j], weights)
                 near, lacks = compare(a, b)
                 part = batch.iloc[i:j][["a", "b", "large"]]
-                yield part.assign(near=near >= threshold, rest=rests(a, lacks, part["large"].to_numpy(bool), weights is not None))
+                yield part.assign(near=near >= threshold, rest=rests(a, lacks, part["large"].to_numpy(bool), part["b"].to_numpy(), weights is not None))
 
     return lambda pairs, texts: pairs_with_texts(pairs, texts).mapInPandas(rows, "a long, b long, large boolean, near boolean, rest array<long>")

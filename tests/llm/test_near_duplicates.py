@@ -167,3 +167,21 @@ def test_paragraphs_of_rows_without_a_doc_id(spark, monkeypatch):
     got = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = {(None, 0, 1, True), (1, 0, 1, False), *((i, 0, 1, True) for i in range(2, 12)), (91, 0, 91, False), (None, 0, 91, True)}
     assert {(r.doc_id, r.paragraph, r.keep_doc_id, r.removed) for r in got} == want and len(got) == 15
+
+
+def test_links_beside_a_large_pivot(spark, monkeypatch):
+    """All band keys equal, the pivot the largest node: rests on either side of NEAR_PIVOT, and excerpts of the pivot."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 3)
+    pivot = sentence(40, 1000).split()
+    start, own = " ".join(pivot[:300]), sentence(41, 190)
+    texts = {
+        1: f"{start} {own}", 2: f"{start} {own} {sentence(42, 16)}",  # 0.39 and 0.41 outside
+        3: " ".join(pivot[500:700]), 4: " ".join(pivot[500:690]),  # nothing outside
+        5: " ".join(pivot[750:950]) + " " + sentence(43, 5), 6: sentence(44, 5) + " " + " ".join(pivot[750:950]),  # nothing in common outside
+        1000: " ".join(pivot),
+    } | {10 + i: sentence(50 + i, 100) for i in range(6)}
+    nodes = spark.createDataFrame([(x, *[7] * neardup.BANDS) for x in texts], "node long, " + ", ".join(f"{k} long" for k in neardup.KEYS))
+    held = spark.createDataFrame(list(texts.items()), "node long, text string")
+    check = neardup.compared(lambda: None, 0.8)
+    got = {r.node: r.label for r in neardup.classes(nodes, lambda pairs: check(pairs, held), lambda met: None).collect()}
+    assert {x: got.get(x, x) for x in texts} == {x: {2: 1, 4: 3, 6: 5}.get(x, x) for x in texts}
