@@ -29,13 +29,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each near-duplicate class, and one of equal rows of it.
-
-    Rows without a doc_id stay unless their class has a row with one.
+    """Keeps one document of each near-duplicate class: the least doc_id, of rows without one or with the same the
+    least hash of the text, and one of equal rows. Rows without a doc_id stay only in classes without any other.
     """
-    found = stored(near_duplicates(docs), "near-duplicates")
-    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    joined = docs.join(small(kept), docs["doc_id"].eqNullSafe(kept["_kept"]))
+    found = stored(near_duplicates(docs, keyed=True), "near-duplicates")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    kept = found.groupBy("class_key").agg(F.min(place).alias("k"), F.count("*").alias("_rows"))
+    kept = stored(kept.select(F.col("k.id").alias("_kept"), F.col("k.hash").alias("_hash"), "_rows"), "kept")
+    joined = docs.join(small(kept), docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(kept["_hash"]))
     if kept.where("_rows > 1").isEmpty():
         return joined.select(*docs.columns)
     again = joined.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
@@ -43,10 +44,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Keeps documents that hold no benchmark item; texts with the same doc_id, or none, are judged one by one.
+
+    Equal texts hold the same items, so texts are known by their hash here.
+    """
+    keyed = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
+    found = contaminated(keyed, table(spark, sf_dir, "benchmark"))
     gone = stored(found.select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(small(gone), F.xxhash64(docs["text"].cast("string")) == gone["_gone"], "left_anti")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

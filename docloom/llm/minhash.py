@@ -57,13 +57,14 @@ def word_idf(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return names[order], value[order], round(1000 * (1 + math.log(max(1, min(n, 1 / share)))))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, keyed: bool = False) -> DataFrame:
     """(doc_id, class_id) of every row of ``docs``: class_id is the least doc_id of the row's class.
 
     Documents are linked at a weighted Jaccard similarity of ``threshold`` or more; classes are components of
     links. Texts without a word (null and empty ones too) are in no class with others: class_id is their own
     doc_id. Equal word sequences are always in one class. Repeated rows stay, with the same class. An empty
-    table gives an empty result; other columns are left out.
+    table gives an empty result; other columns are left out. ``keyed`` adds text_hash (xxhash64 of the text) and
+    class_key, which tells classes apart where doc_id is null or repeated; each text without a word has its own.
     """
     spark = docs.sparkSession
     docs = documents(docs).withColumn("text_hash", F.xxhash64("text"))
@@ -93,8 +94,10 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     labels = classes(nodes, lambda pairs: check(pairs, held["texts"]), bind)
     own = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    named = stored(own.join(least, "label").select("node", "class_id"), "classes")
-    return signs.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = stored(own.join(least, "label").select("node", "class_id", "label"), "classes")
+    alone = F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("text_hash").cast("string"))
+    extra = ["text_hash", F.coalesce(F.col("label").cast("string"), F.concat(F.lit("alone"), alone)).alias("class_key")] if keyed else []
+    return signs.select("doc_id", "node", "text_hash").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), *extra)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

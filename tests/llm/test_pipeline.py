@@ -4,6 +4,8 @@ from docloom.llm.decontaminate import contaminated
 from docloom.llm.minhash import near_duplicates
 from docloom.llm.pii import base_spans
 
+from .conftest import sentence
+
 
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -40,3 +42,19 @@ def test_odd_rows(spark, odd_docs, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = stored(stage(spark, empty, sf), "test")
     assert empty.count() == 0
+
+
+def test_rows_without_or_with_the_same_doc_id(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    near = sentence(61, 100)
+    rows = [
+        (None, near), (None, near + " more"), (None, sentence(62, 80)), (None, sentence(63, 90)), (5, sentence(63, 90) + " more"),
+        (7, sentence(64, 70)), (7, sentence(64, 70) + " more"), (7, sentence(65, 70)), (3, sentence(65, 70) + " more"), (7, sentence(66, 70)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, sf).collect()}
+    assert len(left & set(rows[:2])) == 1 and len(left & set(rows[5:7])) == 1
+    assert left - set(rows[:2]) - set(rows[5:7]) == {rows[2], rows[4], rows[8], rows[9]}
+    rows = [(None, item), (None, sentence(62, 80)), (7, item + " end"), (7, sentence(66, 70))]
+    clean = corpus_pipeline.decontaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert {(r.doc_id, r.text) for r in clean.collect()} == {rows[1], rows[3]}
