@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import documents, small, stored, table
-from .neardup import KEYS, SIMILARITY, classes, compared, signatures, weighted_shingles
+from .neardup import KEYS, SIMILARITY, Check, classes, signatures, weighted_shingles
 from .textarrays import chunks, words
 
 #: Document frequencies count down to this share of all documents.
@@ -84,14 +84,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, keyed: bool
     first = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), one)), F.min(one))
     nodes = signs.where("node <> 0").groupBy("node").agg(first.alias("first"), *[F.min(k).alias(k) for k in KEYS])
     nodes = stored(nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), *KEYS), "nodes")
-    held: dict[str, DataFrame] = {}
 
-    def bind(met: DataFrame) -> None:
+    def texts_of(met: DataFrame) -> DataFrame:
         wanted = stored(nodes.select("node", "doc_id", "text_hash").join(met, "node", "left_semi"), "met")
-        held["texts"] = stored(docs.join(small(wanted), docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])).select("node", "text").dropDuplicates(["node"]), "texts")
+        return docs.join(small(wanted), docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])).select("node", "text").dropDuplicates(["node"])
 
-    check = compared(lambda: idf.value, threshold)
-    labels = classes(nodes, lambda pairs: check(pairs, held["texts"]), bind)
+    labels = classes(nodes.select("node", F.array(*KEYS).alias("keys")), Check(texts_of, lambda: idf.value, threshold))
     own = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     named = stored(own.join(least, "label").select("node", "class_id", "label"), "classes")

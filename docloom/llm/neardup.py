@@ -1,19 +1,18 @@
 """What the near-duplicate operators share: signatures, banding, verified links and classes.
 
-Rows with equal shingles are one node (a 64-bit hash of the shingles). Nodes that share a band's key meet
-in a bucket, where they are compared with a pivot and not with each other. Then
-
-* a bucket with few members outside its largest component is closed: these are compared with all members of
-  other components;
-* any other is dealt anew by what its members have besides the pivot. Those with less than NEAR_PIVOT of their
-  weight in the pivot's shingles meet in bands over the rest: two similar ones have at least 0.56 of it in
-  common, by weighted Jaccard, so that 12 bands of 2 samples meet with probability 0.99 or more. The others meet
-  in a bucket for each shingle that the pivot lacks, and so does whatever is below NEAR_PIVOT and may still be
-  similar to one of them. Two similar ones without such a shingle in common (excerpts of a larger pivot) have
-  little weight outside it: all that have no more meet in fresh bands over their whole texts, too.
-
-So the comparisons grow with the members of a bucket, not with their pairs. Every link is verified exactly;
-classes are the connected components of links.
+Equal items are one node (a 64-bit hash). Nodes that share a band's key meet in a bucket, where each is compared
+with one pivot. Most links of a group show so, and what is in one component needs no further comparison. Then
+
+* a bucket of n members, few of which are outside its largest component, is closed: these meet the members of
+  other components, at most CLOSE / n times n pairs;
+* members of any other bucket are crowded. Crowded nodes meet by prefixes: with shingles in one order for all,
+  rarest among the crowded first, two similar texts have their first common shingle before either has spent
+  more than 1 - threshold of its weight. Passages that many texts share come last in that order and changed words
+  first, so lists are short where texts differ; both places also bound how similar two texts can be, which
+  leaves out most pairs of what is in a list. No similar pair of crowded nodes is missed by this.
+
+So comparisons grow with the members of a bucket, not with their pairs. Every link is verified exactly; classes
+are the connected components of links.
 """
 
 from __future__ import annotations
@@ -32,16 +31,8 @@ SIMILARITY = 0.8
 #: 8 bands of 3 samples: at similarity 0.8 a pair shares a band with probability 0.997, at 0.3 with 0.2.
 BANDS, BAND_ROWS = 8, 3
 KEYS = [f"k{i}" for i in range(BANDS)]
-#: Members outside its largest component up to which a bucket is closed: they meet all of other components.
-SMALL_BUCKET = 32
-
-#: Times that large buckets are dealt anew; what is left then, few members each, is closed.
-DEALS = 3
-#: Share of a text's weight in a pivot's shingles below which it meets others by bands over its other shingles.
-NEAR_PIVOT = 0.6
-REST_BANDS, REST_ROWS = 12, 2
-#: The same over whole texts: similar ones meet with probability 0.9998.
-WHOLE_BANDS, WHOLE_ROWS = 12, 3
+#: A bucket is closed if its members, times those outside its largest component, are at most so many.
+CLOSE = 1024
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,9 +127,8 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, at: np.ndarray, weighted
     return node.astype(np.int64), keys.astype(np.int64)
 
 
-def compare(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """(similarity, rest) of texts pair by pair: weighted Jaccard, sum of minima over sum of maxima, 0 without
-    shingles; and which of the shingles of ``a`` its partner lacks."""
+def compare(a: tuple, b: tuple) -> np.ndarray:
+    """The similarity of texts pair by pair: weighted Jaccard, sum of minima over sum of maxima, 0 without shingles."""
     n = len(a[2]) - 1
     pair = np.concatenate([np.repeat(np.arange(n), np.diff(x[2])) for x in (a, b)])
     hashes, weights = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
@@ -147,9 +137,7 @@ def compare(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
     both = np.flatnonzero((by[1:] == by[:-1]) & (hashes[1:] == hashes[:-1])) if len(by) else np.zeros(0, np.int64)
     common = np.bincount(by[both], np.minimum(ordered[both], ordered[both + 1]), minlength=n)
     total = np.bincount(pair, weights, minlength=n)
-    rest = np.ones(len(a[0]), bool)
-    rest[order[both]] = False  # lexsort is stable: of two equals the first is a's
-    return common / np.maximum(total - common, 1), rest
+    return common / np.maximum(total - common, 1)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -173,10 +161,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
-def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after the components that ``links`` (a, b) join have become one."""
-    if labels is None:
-        return components(links)
+    if links.isEmpty():
+        return labels
     known = labels.select(F.col("node").alias("n"), "label")
     ends = links.join(known.withColumnsRenamed({"n": "a", "label": "la"}), "a", "left").join(known.withColumnsRenamed({"n": "b", "label": "lb"}), "b", "left")
     ends = stored(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "label-links")
@@ -184,100 +172,131 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     new = ends.select(F.col("a").alias("node"), F.col("la").alias("label")).unionByName(ends.select(F.col("b").alias("node"), F.col("lb").alias("label")))
     every = labels.unionByName(new).distinct()
     joined = joined.withColumnsRenamed({"node": "old", "label": "new"})
-    return stored(every.join(joined, every["label"] == joined["old"], "left").select("node", F.coalesce("new", "label").alias("label")).distinct(), "labels")
+    return stored(every.join(small(joined), every["label"] == joined["old"], "left").select("node", F.coalesce("new", "label").alias("label")).distinct(), "labels")
+
+
+def labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """``met`` with the label of each node, its own number where it isn't linked."""
+    return met.join(labels.withColumnRenamed("label", "_l"), "node", "left").withColumn("label", F.coalesce("_l", "node")).drop("_l")
+
+
+def open_buckets(met: DataFrame) -> DataFrame:
+    """(key, n, others, main) of the buckets with more than one label: main is the most frequent one, others the members without it."""
+    sizes = met.groupBy("key", "label").agg(F.count("*").alias("c"))
+    top = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"))
+    return top.where("n > top.c").select("key", "n", (F.col("n") - F.col("top.c")).alias("others"), F.col("top.label").alias("main"))
+
 
+def across(met: DataFrame, buckets: DataFrame, where: str = "true") -> DataFrame:
+    """Distinct pairs (a, b) of members with different labels in the same bucket, for which ``where`` holds of l and r.
 
-def classes(nodes: DataFrame, verified: Callable[[DataFrame], DataFrame], bind: Callable[[DataFrame], None]) -> DataFrame:
+    Two members that both have the bucket's main label are in one component, so one of each pair hasn't got it.
+    """
+    own = stored(met.join(small(buckets.select("key", "main")), "key"), "bucket-open")
+    other = own.where("label <> main").alias("r")
+    pairs = own.alias("l").join(other, F.col("l.key") == F.col("r.key")).where("l.label <> r.label AND (l.label = l.main OR l.node < r.node)").where(where)
+    return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+
+
+def classes(nodes: DataFrame, check: "Check") -> DataFrame:
     """(node, label) of the nodes that are linked with another: the components of all verified links.
 
-    ``nodes`` has node and the band keys; ``bind`` is told once which nodes are in a bucket with others;
-    ``verified`` gets distinct pairs (a, b, large) of nodes and returns a, b, near and, where large, rest: what a
-    meets others by that b lacks.
+    ``nodes`` has node and keys, its band keys.
     """
-    members = nodes.select("node", F.explode(F.array(*KEYS)).alias("key"), F.col("node").alias("label"))
-    labels = None
-    for deal in range(DEALS + 2):
-        # A bucket whose members are all in one component has nothing to find.
-        # Of buckets with the same members, told by their number and the xor of their hashes, one is enough.
-        sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
-        shared = sizes.groupBy("key").agg(F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"), F.bit_xor("x").alias("x")).where("others > 0")
-        shared = shared.groupBy("n", "others", "x").agg(F.min("key").alias("key"))
-        met = members.join(shared.drop("x"), "key")
-        met = stored(met.select("key", "node", "label", "others", F.sum("n").over(Window.partitionBy("node")).alias("degree")), "bucket-members")
-        if labels is None:
-            bind(met.select("node").distinct())
-        elif met.isEmpty():
-            return labels
-        pivots = met.groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("top"))
-        met = met.join(pivots, "key").where("node <> top.node").withColumn("large", (F.col("others") > SMALL_BUCKET) & F.lit(deal < DEALS))
-        met = stored(met.select("key", "node", F.col("top.node").alias("pivot"), "large", (F.col("label") == F.col("top.label")).alias("joined")), "bucket-pivots")
-        # In one component with the pivot there is nothing to compare, but a large bucket's members are asked what it lacks.
-        pairs = met.where("large OR NOT joined").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("large").alias("large"))
-        found = stored(verified(stored(pairs, "pairs")), "compared")
-        links = found.where("near").select("a", "b")
-        labels = merged(labels, links) if labels is None or not links.isEmpty() else labels
-        # Small buckets: the pivot has met all; the others meet those of other components.
-        own = met.where("NOT large").join(labels.withColumnRenamed("label", "l"), "node", "left").select("key", "node", F.coalesce("l", "node").alias("l"))
-        sizes = own.groupBy("key", "l").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("n", "l")).alias("top"), F.sum("n").alias("n")).where("n > top.n").select("key", F.col("top.l").alias("main"))
-        own = stored(own.join(main, "key"), "bucket-open")
-        others = own.where("l <> main").select("key", F.col("node").alias("b"), F.col("l").alias("lb"))  # at most SMALL_BUCKET a bucket, but for what is left after the last deal
-        pairs = own.select("key", "main", F.col("node").alias("a"), F.col("l").alias("la")).join(others, "key").where("la <> lb AND (la = main OR a < b)")
-        pairs = stored(pairs.select("a", "b", F.lit(False).alias("large")).distinct(), "pairs")
-        links = stored(verified(pairs), "compared").where("near").select("a", "b")
-        labels = labels if links.isEmpty() else merged(labels, links)
-        # Large buckets: one bucket for each shingle that the pivot lacks.
-        members = found.where("large").select(F.col("a").alias("node"), "b", F.explode("rest").alias("h")).select("node", F.xxhash64("b", "h").alias("key")).distinct()
-        members = members.join(labels.withColumnRenamed("label", "l"), "node", "left").select("node", "key", F.coalesce("l", "node").alias("label"))
+    members = nodes.select("node", F.explode("keys").alias("key"))
+    # Of buckets with the same members, told by their number and the xor of their hashes, one is enough.
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x")).where("n > 1")
+    buckets = stored(sizes.groupBy("n", "x").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    degree = F.sum("n").over(Window.partitionBy("node")).alias("degree")
+    met = stored(members.join(small(buckets), "key").select("key", "node", degree), "bucket-members")
+    check.bind(met.select("node").distinct())
+    pivots = stored(met.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("pivot")), "pivots")
+    star = met.join(small(pivots), "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    labels = components(check.links(star))
+
+    now = stored(labelled(met.select("key", "node"), labels), "bucket-labels")
+    opened = stored(open_buckets(now), "buckets-open")
+    labels = merged(labels, check.links(across(now, opened.where(F.col("others") * F.col("n") <= CLOSE))))
+    large = opened.where(F.col("others") * F.col("n") > CLOSE).select("key")
+    if large.isEmpty():
+        return labels
+    left = stored(labelled(met.join(small(large), "key", "left_semi").select("key", "node"), labels), "buckets-large")
+    crowded = left.join(small(stored(open_buckets(left).select("key"), "buckets-left")), "key", "left_semi").select("node").distinct()
+
+    lists = stored(prefixes(check.tokens(stored(crowded, "crowded")), check.threshold), "prefixes")
+    for alone in (True, False):
+        now = stored(labelled(lists, labels), "prefix-labels")
+        opened = stored(open_buckets(now), "prefixes-open")
+        if opened.isEmpty():
+            break
+        if alone:  # each with the member that has least before the shingle: changed least
+            first = stored(now.join(small(opened.select("key")), "key", "left_semi").groupBy("key").agg(F.min(F.struct("before", "node", "label", "total")).alias("p")), "prefix-pivots")
+            star = now.join(small(first), "key").where("label <> p.label").where(may_match("before", "total", "p.before", "p.total", check.threshold))
+            pairs = star.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+        else:
+            pairs = across(now, opened, may_match("l.before", "l.total", "r.before", "r.total", check.threshold))
+        labels = merged(labels, check.links(pairs))
+    return labels
+
+
+def prefixes(tokens: DataFrame, threshold: float) -> DataFrame:
+    """(key, node, before, total): for each text the shingles (key) that more than one has and that may be the first one
+    in common with a similar text; the weight before it in the order, and the text's."""
+    frequency = stored(tokens.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shingle-counts")
+    counted = tokens.join(small(frequency), "h", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    of_node = Window.partitionBy("node")
+    before = F.sum("w").over(of_node.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")
+    placed = counted.withColumn("before", before).withColumn("total", F.sum("w").over(of_node))
+    return placed.where((F.col("n") > 1) & (F.col("before") <= (1 - threshold) * F.col("total") + 1e-6)).select(F.col("h").alias("key"), "node", "before", "total")
+
+
+def may_match(before_a: str, total_a: str, before_b: str, total_b: str, threshold: float) -> str:
+    """Whether two texts whose first common shingle has these weights before it can be similar."""
+    return f"least({total_a} - {before_a}, {total_b} - {before_b}) * {1 + threshold} + 1e-6 >= {threshold} * ({total_a} + {total_b})"
 
 
 def pairs_with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, text_a, text_b): many a meet few b. The texts of a go to those of b; a's are found by broadcast while pairs are few."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(small(pairs), "a")
-    right = texts.join(small(stored(pairs.select(F.col("b").alias("node")).distinct(), "pivots")), "node", "left_semi")
+    right = texts.join(small(stored(pairs.select(F.col("b").alias("node")).distinct(), "partners")), "node", "left_semi")
     return left.join(right.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
 
-def compared(idf, threshold: float):
-    """For pairs with texts: whether they are similar and, of large buckets, what a meets others by. ``idf`` gives the weights."""
-
-    def rests(a: tuple, lacks: np.ndarray, large: np.ndarray, pivot: np.ndarray, weighted: bool) -> list:
-        """What each text of a large bucket meets others by: shingles that the pivot lacks, band keys over them, band keys over all.
-
-        Of two similar texts of which one has at most 1 - NEAR_PIVOT of its weight outside the pivot, the other
-        has at most 1 - threshold * NEAR_PIVOT; if they have nothing in common there, each has at most
-        1 / threshold - 1.
-        """
-        every = np.repeat(np.arange(len(large)), np.diff(a[2]))
-        kept = lacks & large[every]
-        hashes, weights, text = a[0][kept], a[1][kept], every[kept]
-        at = np.searchsorted(text, np.arange(len(large) + 1))
-        total = np.bincount(every, a[1], minlength=len(large))
-        rest = np.bincount(text, weights, minlength=len(large))
-        single = rest <= (1 - threshold * NEAR_PIVOT) * total + 1e-6
-        banded = rest > (1 - NEAR_PIVOT) * total
-        inside = large & (rest <= (1 / threshold - 1) * total + 1e-6) & (total > 0)
-        keys = signatures(hashes, weights, at, weighted, REST_BANDS, REST_ROWS)[1]
-        whole = inside[every]
-        fresh = mix(a[0][whole] + pivot.astype(np.uint64)[every[whole]] * _STEP)  # other samples with each pivot
-        sizes = np.where(inside, np.diff(a[2]), 0)
-        fresh = signatures(fresh, a[1][whole], np.concatenate(([0], np.cumsum(sizes))), weighted, WHOLE_BANDS, WHOLE_ROWS)[1]
-        out: list = []
-        for i, big in enumerate(large):
-            parts = [hashes[at[i] : at[i + 1]].astype(np.int64)] if single[i] else []
-            parts += [keys[i]] if banded[i] and at[i + 1] > at[i] else []
-            parts += [fresh[i]] if inside[i] else []
-            out.append((np.concatenate(parts) if parts else []) if big else None)
-        return out
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            left, right = batch["text_a"].tolist(), batch["text_b"].tolist()
-            for i, j in chunks([x + y for x, y in zip(left, right, strict=True)]):
-                weights = idf()
-                a, b = weighted_shingles(left[i:j], weights), weighted_shingles(right[i:j], weights)
-                near, lacks = compare(a, b)
-                part = batch.iloc[i:j][["a", "b", "large"]]
-                yield part.assign(near=near >= threshold, rest=rests(a, lacks, part["large"].to_numpy(bool), part["b"].to_numpy(), weights is not None))
-
-    return lambda pairs, texts: pairs_with_texts(pairs, texts).mapInPandas(rows, "a long, b long, large boolean, near boolean, rest array<long>")
+class Check:
+    """Compares nodes by their texts. ``texts_of`` gives (node, text) of some nodes, ``idf`` the weights of words."""
+
+    def __init__(self, texts_of: Callable[[DataFrame], DataFrame], idf: Callable, threshold: float):
+        self.texts_of, self.idf, self.threshold = texts_of, idf, threshold
+
+    def bind(self, nodes: DataFrame) -> None:
+        """Tells once which nodes may be compared: those in a bucket with others."""
+        self.texts = stored(self.texts_of(nodes), "texts")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar; stored."""
+        idf, threshold = self.idf, self.threshold
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                left, right = batch["text_a"].tolist(), batch["text_b"].tolist()
+                for i, j in chunks([x + y for x, y in zip(left, right, strict=True)]):
+                    weights = idf()
+                    near = compare(weighted_shingles(left[i:j], weights), weighted_shingles(right[i:j], weights)) >= threshold
+                    yield batch.iloc[i:j][["a", "b"]][near]
+
+        pairs = stored(pairs, "pairs")
+        return stored(pairs_with_texts(pairs, self.texts).mapInPandas(rows, "a long, b long"), "links")
+
+    def tokens(self, nodes: DataFrame) -> DataFrame:
+        """(node, h, w): the shingles of ``nodes`` and their weights; stored."""
+        idf = self.idf
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                texts, node = batch["text"].tolist(), batch["node"].to_numpy()
+                for i, j in chunks(texts):
+                    h, w, at = weighted_shingles(texts[i:j], idf())
+                    yield pd.DataFrame({"node": np.repeat(node[i:j], np.diff(at)), "h": h.astype(np.int64), "w": w})
+
+        wanted = self.texts.join(small(nodes), "node", "left_semi")
+        return stored(wanted.mapInPandas(rows, "node long, h long, w long"), "tokens")

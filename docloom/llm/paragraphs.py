@@ -1,8 +1,12 @@
 """Repeated paragraphs: MinHash banding, exact Jaccard verification, removals clustered by components.
 
-A paragraph is a line. Those of ``min_words`` words or more are signed by MinHash over their five-word
-shingles; bands of few rows give high recall, and exact Jaccard similarity takes what collides by chance
-out again. Of each class of similar paragraphs the first occurrence (least doc_id, then place) stays.
+Texts are cut into two kinds of units. Lines of ``min_words`` words or more are the paragraphs that authors made.
+Blocks of BLOCK_WORDS words lie over line breaks and begin where the words say so: a block begins at the
+least hash of each ANCHOR_WORDS consecutive five-word runs, so two texts with the same run of
+BLOCK_WORDS + ANCHOR_WORDS - 1 words, wherever their lines break, have a block in common in it. Both kinds are signed by
+MinHash over their five-word shingles; bands of few rows give high recall, and exact Jaccard similarity takes
+what collides by chance out again. Of each class of similar units the first occurrence (least doc_id, then
+place) stays. Adjacent blocks that repeat the same place are one span.
 """
 
 from __future__ import annotations
@@ -10,101 +14,195 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import documents, small, stored, table
-from .neardup import KEYS, SIMILARITY, classes, compared, signatures, weighted_shingles
-from .textarrays import chunks, words
+from .base import discard, documents, small, stored, table
+from .neardup import BAND_ROWS, BANDS, SIMILARITY, Check, classes
+from .textarrays import chunks, code_points, mix, run_hashes, span_hashes, words
 
-#: Shorter lines (headings, list items, licence lines) repeat in clean text too.
+#: Shorter lines (headings, list items, licence lines) repeat in clean text too; runs of them are in blocks.
 MIN_WORDS = 20
+#: Words of a block, and five-word runs of which the least begins one: any run of 51 words has a block in it.
+BLOCK_WORDS, ANCHOR_WORDS = 20, 32
+#: Blocks overlap and most repeats are word for word: 3 bands of 2 samples meet with probability 0.95 at similarity 0.8.
+BLOCK_BANDS, BLOCK_ROWS = 3, 2
 
+_SCHEMA = "doc_id long, text_hash long, paragraph int, at int, start long, end long, n_words int, node long, keys array<long>"
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
-def _signed(min_words: int):
-    """Per paragraph: doc_id, text_hash, paragraph, start, end, n_words, node and band keys."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def block_starts(five: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Words at which blocks begin, of texts whose words begin at ``at``; ``five`` hashes the five words from each one on."""
+    span = BLOCK_WORDS + ANCHOR_WORDS - 1
+    room = np.repeat(at[1:], np.diff(at)) - np.arange(at[-1])
+    begin = np.flatnonzero(room >= span)
+    if not len(begin):
+        return begin
+    seen = np.lib.stride_tricks.sliding_window_view(five, ANCHOR_WORDS)
+    parts = np.array_split(begin, len(begin) // 50_000 + 1)
+    return np.unique(np.concatenate([x + ANCHOR_WORDS - 1 - seen[x][:, ::-1].argmin(1) for x in parts]))  # the last of equals
+
+
+def _without_overlaps(start: np.ndarray, name: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which blocks stay if of equal ones in a text that overlap each other, one after another, the first stays."""
+    order = np.lexsort((start, name, text))
+    s, n, t = start[order], name[order], text[order]
+    again = np.concatenate(([False], (n[1:] == n[:-1]) & (t[1:] == t[:-1]) & (s[1:] - s[:-1] < BLOCK_WORDS)))[: len(s)]
+    return np.sort(order[~again])
+
+
+def _signed(min_words: int):
+    """The units of texts: lines with their number as paragraph and blocks without one, node and band keys."""
+
+    def of_texts(texts: list):
+        """Arrays by unit: text, paragraph (-1: block), first word in its text, start, end, words, node; keys and how many each has."""
+        word, at, first, end = words(texts)
+        points, starts = code_points(texts)
+        stop = np.flatnonzero(points == 10)
+        begin = np.append(0, stop[:-1] + 1)
+        a, b = np.searchsorted(first, begin), np.searchsorted(first, stop)
+        line = np.flatnonzero(b - a >= min_words)
+        five = run_hashes(word, 5)
+        padded = np.append(five, np.zeros(4, np.uint64))
+        block = block_starts(five, at)
+        owner = np.searchsorted(at, block, "right") - 1
+        run = span_hashes(word, block, block + BLOCK_WORDS)
+        stay = _without_overlaps(block, run, owner)
+        block, owner, run = block[stay], owner[stay], run[stay]
+        # Least samples of the shingles of each unit: of pairs (first, end) reduceat gives the first ones' spans.
+        spans = [np.stack((x, np.minimum(y, len(padded) - 1)), 1).ravel() for x, y in ((a[line], b[line] - 4), (block, block + BLOCK_WORDS - 4))]
+        keys = [np.zeros((len(x) // 2, n), np.uint64) for x, n in zip(spans, (BANDS, BLOCK_BANDS), strict=True)]
+        for k in range(BANDS * BAND_ROWS):
+            if not len(padded) > 4:
+                break
+            draw = mix(padded ^ np.uint64(((k + 1) * 0x9E3779B97F4A7C15) % (1 << 64)))
+            for kind, (n, rows) in enumerate(((BANDS, BAND_ROWS), (BLOCK_BANDS, BLOCK_ROWS))):
+                band = k // rows
+                if band < n and len(spans[kind]):
+                    sample = np.minimum.reduceat(draw, spans[kind])[::2]
+                    keys[kind][:, band] = mix(keys[kind][:, band] * np.uint64(31) + sample + np.uint64(band + 1 + 100 * kind))
+        text = np.searchsorted(starts, begin[line], "right") - 1
+        number = line - np.searchsorted(begin, starts[:-1])[text]
+        last = block + BLOCK_WORDS - 1
+        return (
+            np.concatenate((text, owner)),
+            np.concatenate((number, np.full(len(block), -1))),
+            np.concatenate((a[line] - at[text], block - at[owner])),
+            np.concatenate((begin[line] - starts[text], first[block] - starts[owner])),
+            np.concatenate((stop[line] - starts[text], end[last] - starts[owner] if len(block) else last)),
+            np.concatenate(((b - a)[line], np.full(len(block), BLOCK_WORDS))),
+            np.concatenate((span_hashes(word, a[line], b[line]), mix(run + _STEP))),
+            np.concatenate((keys[0].ravel(), keys[1].ravel())),
+            np.concatenate((np.full(len(line), BANDS), np.full(len(block), BLOCK_BANDS))),
+        )
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, texts = batch["doc_id"].astype("Int64"), batch["text_hash"].to_numpy(), batch["text"].tolist()
-            for a, b in chunks(texts):
-                lines, owner, number, start = [], [], [], []
-                for i in range(a, b):
-                    at = 0
-                    for k, line in enumerate((texts[i] or "").split("\n")):
-                        if len(line) >= 2 * min_words - 1:
-                            lines.append(line)
-                            owner.append(i)
-                            number.append(k)
-                            start.append(at)
-                        at += len(line) + 1
-                _, words_at, _, _ = words(lines)
-                count = np.diff(words_at)
-                kept = np.flatnonzero(count >= min_words).tolist()
-                lines = [lines[i] for i in kept]
-                node, keys = signatures(*weighted_shingles(lines, None), False)
-                own = [owner[i] for i in kept]
-                begin = np.array([start[i] for i in kept], np.int64)
-                out = pd.DataFrame(keys, columns=KEYS)
-                yield out.assign(
-                    doc_id=ids.iloc[own].to_numpy(),
-                    text_hash=hashes[own],
-                    paragraph=[number[i] for i in kept],
-                    start=begin,
-                    end=begin + np.array([len(x) for x in lines], np.int64),
-                    n_words=count[kept],
-                    node=node,
-                )
+            texts = batch.column("text").to_pylist()
+            for i, j in chunks(texts):
+                text, number, at, start, end, n, node, keys, count = of_texts(texts[i:j])
+                own = pa.array(i + text)
+                columns = [batch.column("doc_id").take(own), batch.column("text_hash").take(own)]
+                columns += [pa.array(number, pa.int32(), mask=number < 0), pa.array(at, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n, pa.int32()), pa.array(node.astype(np.int64))]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(keys.astype(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "paragraph", "at", "start", "end", "n_words", "node", "keys"])
 
     return rows
 
 
-def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = SIMILARITY) -> DataFrame:
-    """Every paragraph that occurs more than once, up to similarity ``threshold``.
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) of the units of each text."""
+    for batch in batches:
+        node, text = [], []
+        for x, units in zip(batch.column("text").to_pylist(), batch.column("units").to_pylist(), strict=True):
+            node += [u["node"] for u in units]
+            text += [x[u["start"] : u["end"]] for u in units]
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(text, pa.string())], ["node", "text"])
+
 
-    Returns doc_id, paragraph (from 0), start and end (code points), n_words, keep_doc_id and keep_paragraph
-    (the class's first occurrence; rows without a doc_id come last), removed (false for that one). Links are verified Jaccard similarities of
-    shingle sets; classes are components of links. Null and empty texts have no paragraph; a paragraph that
-    occurs twice in one text counts twice; repeated rows of a document are occurrences too, and the rows of
-    an occurrence that is kept are all kept. An empty table gives an empty result.
+def _classes(docs: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    """The units of ``docs`` that occur more than once, and keep: the first occurrence of their class."""
+    signs = stored(docs.mapInArrow(_signed(min_words), _SCHEMA), "units")
+    shared = stored(signs.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
+    hit = signs.select("node", F.explode("keys").alias("key")).join(small(shared), "key", "left_semi").select("node").distinct()
+    found = stored(signs.join(small(stored(hit, "hit-nodes")), "node", "left_semi"), "survivors")
+    discard(signs)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "text_hash", "paragraph", "start", "end")
+    nodes = stored(found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("keys").alias("keys")), "nodes")
+
+    def texts_of(met: DataFrame) -> DataFrame:
+        wanted = nodes.select("node", "first.*").join(met, "node", "left_semi").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+        wanted = stored(wanted.agg(F.collect_list(F.struct("node", "start", "end")).alias("units")), "met")
+        one = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_doc"]) & (docs["text_hash"] == wanted["_hash"]))
+        return one.select("text", "units").mapInArrow(_cut, "node long, text string").dropDuplicates(["node"])
+
+    labels = classes(nodes.select("node", "keys"), Check(texts_of, lambda: None, threshold))
+    own = nodes.select("node", "n", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = own.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("label", "keep")
+    named = stored(own.select("node", "label").join(small(stored(groups, "groups")), "label").select("node", "keep"), "classes")
+    return stored(found.join(small(named), "node").withColumn("removed", place != F.col("keep")), "repeated-units")
+
+
+def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = SIMILARITY) -> DataFrame:
+    """Every paragraph and every run of blocks that occurs more than once, up to similarity ``threshold``.
+
+    Returns doc_id, paragraph (line from 0; null for a run of blocks), start and end (code points), n_words, keep_doc_id,
+    keep_paragraph and keep_start (the first occurrence; rows without a doc_id come last), removed (false for that one).
+    Links are verified Jaccard similarities of shingle sets; classes are components of links. Null and empty texts have
+    no unit; texts of fewer than 51 words have no block. A paragraph that occurs twice in one text counts twice; blocks
+    that overlap the one they repeat don't. Repeated rows of a document are occurrences too, and the
+    rows of an occurrence that is kept are all kept; their runs of blocks are given once. An empty table gives an
+    empty result; other columns of ``docs`` are left out.
     """
     docs = documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    columns = ", ".join(f"{k} long" for k in KEYS)
-    schema = f"doc_id long, text_hash long, paragraph int, start long, end long, n_words int, node long, {columns}"
-    signs = stored(docs.mapInPandas(_signed(min_words), schema), "paragraphs")
-    place = [F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph", "text_hash"]
-    first = F.struct(*place, "start", "end")
-    nodes = stored(signs.groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in KEYS]), "nodes")
-    held: dict[str, DataFrame] = {}
-
-    def bind(met: DataFrame) -> None:
-        wanted = nodes.select("node", "first.*").join(met, "node", "left_semi")
-        wanted = stored(wanted.select("node", "doc_id", "text_hash", "start", "end"), "met")
-        cut = F.substring(F.col("text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-        held["texts"] = stored(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])).select("node", cut.alias("text")).dropDuplicates(["node"]), "texts")
-
-    check = compared(lambda: None, threshold)
-    labels = classes(nodes.select("node", *KEYS), lambda pairs: check(pairs, held["texts"]), bind)
-    own = nodes.select("node", "n", F.struct("first.none", "first.doc_id", "first.paragraph", "first.text_hash").alias("first")).join(labels, "node", "left")
-    own = own.withColumn("label", F.coalesce("label", "node"))
-    groups = own.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
-    named = stored(own.select("node", "label").join(groups, "label").select("node", "keep"), "classes")
-    found = signs.join(named, "node").withColumn("removed", F.struct(*place) != F.col("keep"))
-    return found.select("doc_id", "paragraph", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), "removed")
+    found = _classes(docs, min_words, threshold)
+    columns = ["doc_id", "paragraph", "start", "end", "n_words", "keep_doc_id", "keep_paragraph", "keep_start", "removed"]
+    kept = [F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), F.col("keep.start").alias("keep_start")]
+    lines = found.where("paragraph IS NOT NULL").select("doc_id", "paragraph", "start", "end", "n_words", *kept, "removed")
+    # Blocks that follow each other in both places, at most a window apart, are one span.
+    apart = f"NOT (removed AND doc_id <=> keep.doc_id AND text_hash = keep.text_hash AND at < keep.at + {BLOCK_WORDS})"
+    blocks = found.where("paragraph IS NULL").where(apart).select("doc_id", "text_hash", "at", "start", "end", *kept, F.col("keep.text_hash").alias("_hash"), (F.col("at") - F.col("keep.at")).alias("_ahead"), "removed").distinct()
+    run = ["doc_id", "text_hash", "keep_doc_id", "_hash", "_ahead", "removed"]
+    order = Window.partitionBy(*run).orderBy("at")
+    new = F.coalesce(F.col("at") - F.lag("at").over(order) > ANCHOR_WORDS, F.lit(True)).cast("int")
+    runs = blocks.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order)).groupBy(*run, "_run")
+    spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + BLOCK_WORDS).alias("n_words"), F.min("keep_start").alias("keep_start"))
+    spans = spans.withColumns({"paragraph": F.lit(None).cast("int"), "keep_paragraph": F.lit(None).cast("int")})
+    return lines.select(*columns).unionByName(spans.select(*columns))
 
 
 def remove_paragraphs(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the ``removed`` lines of ``found`` taken out of ``text``; all other columns stay.
+    """``docs`` with the ``removed`` lines and spans of ``found`` taken out of ``text``; all other columns stay.
 
-    Documents without a removal, null texts among them, stay as they are.
+    A line goes with its line feed. Documents without a removal, null texts among them, stay as they are; so do
+    rows without a doc_id if none of ``found`` has a null one. Rows with the same doc_id (or none) all lose what ``found`` has
+    for it. Equal rows all stay. An empty table gives an empty result.
     """
-    lines = found.where("removed").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("paragraph").alias("_gone"))
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(_gone, i)), '\\n')")
-    joined = docs.join(lines, F.col("doc_id") == F.col("_doc"), "left")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    gone = found.where("removed").groupBy(F.col("doc_id").alias("__doc"))
+    gone = gone.agg(F.sort_array(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("end") + F.col("paragraph").isNotNull().cast("long")).alias("b")))).alias("__gone"))
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+                if text is not None and spans:
+                    parts, at = [], 0
+                    for span in spans:
+                        parts.append(text[at : max(at, span["a"])])
+                        at = max(at, span["b"])
+                    last = at > len(text)  # the last line: the line feed before it goes
+                    text = "".join([*parts, text[at:]])
+                    text = text.removesuffix("\n") if last else text
+                out.append(text)
+            table_ = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+            yield table_.drop_columns(["__doc", "__gone"])
+
+    return joined.withColumn("text", F.col("text").cast("string")).mapInArrow(cut, docs.withColumn("text", F.col("text").cast("string")).schema)
 
 
 def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated paragraph of all documents, and whether it is removed."""
+    """Every repeated paragraph and passage of all documents, and whether it is removed."""
     return repeated_paragraphs(table(spark, sf_dir, "documents"))

@@ -87,6 +87,14 @@ def span_hashes(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.nd
     return mix((total[end] - total[first]) * _powers(_INVERSE, n)[np.minimum(first, n - 1)] + (end - first).astype(np.uint64))
 
 
+def run_hashes(word: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words; of words of different texts too."""
+    total = np.zeros(max(0, len(word) - n + 1), np.uint64)
+    for i in range(n):
+        total += word[i : i + len(total)] * np.uint64(((2 * i + 1) * 0x9FB21C651E98DF25) % (1 << 64))
+    return mix(total)
+
+
 def words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words; where each text's words start (n + 1); each word's first and last-plus-one code point."""
     alnum, lower = _tables()

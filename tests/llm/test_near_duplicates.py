@@ -4,6 +4,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pytest
 from docloom.llm import minhash, neardup, paragraphs
 from docloom.llm.decontaminate import contaminated
 from docloom.llm.registry import oracle_sql, queries
@@ -11,8 +12,8 @@ from docloom.llm.registry import oracle_sql, queries
 from .conftest import sentence
 
 
-def brute_classes(items, threshold=0.8):
-    """Least index of each component of weighted Jaccard links; items are Counters of shingles."""
+def brute_pairs(items):
+    """Pairs of items (Counters of shingles) that share one, with their weighted Jaccard similarity."""
     where = defaultdict(list)
     for i, own in enumerate(items):
         for x in own:
@@ -22,6 +23,12 @@ def brute_classes(items, threshold=0.8):
         for i, j in combinations(own, 2):
             common[i, j] += min(items[i][x], items[j][x])
     total = [sum(x.values()) for x in items]
+    for (i, j), c in common.items():
+        yield i, j, c / (total[i] + total[j] - c)
+
+
+def brute_classes(items, threshold=0.8):
+    """Least index of each component of weighted Jaccard links; items are Counters of shingles."""
     up = list(range(len(items)))
 
     def find(x):
@@ -29,8 +36,8 @@ def brute_classes(items, threshold=0.8):
             x = up[x]
         return x
 
-    for (i, j), c in common.items():
-        if c / (total[i] + total[j] - c) >= threshold:
+    for i, j, similarity in brute_pairs(items):
+        if similarity >= threshold:
             a, b = sorted((find(i), find(j)))
             up[b] = a
     return [find(i) for i in range(len(items))]
@@ -65,12 +72,61 @@ def test_paragraphs_by_brute_force(spark, sf):
     found = brute_classes([Counter(set(shingles(x))) for _, _, x in lines])
     size = Counter(found)
     want = {(*lines[i][:2], *lines[c][:2], i != c) for i, c in enumerate(found) if size[c] > 1}
-    got = queries()["op2_paragraphs"](spark, sf).collect()
+    got = queries()["op2_paragraphs"](spark, sf).where("paragraph IS NOT NULL").collect()
     assert {(r.doc_id, r.paragraph, r.keep_doc_id, r.keep_paragraph, r.removed) for r in got} == want and len(got) == len(want)
     texts = dict(docs)
     assert all(texts[r.doc_id][r.start : r.end] == texts[r.doc_id].split("\n")[r.paragraph] for r in got)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_repeated_passages_by_brute_force(spark, size):
+    """Each run of 51 words that another document has too overlaps a row, a removed one but where it occurs first; runs of blocks repeat what they say."""
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    texts = dict(sorted(map(tuple, docs.select("doc_id", "text").where("text IS NOT NULL").collect())))
+    where, at = defaultdict(list), {}
+    for d, text in texts.items():
+        found = list(re.finditer(r"[^\W_]+", text.lower()))
+        at[d] = [m.span() for m in found]
+        for i in range(len(found) - 50):
+            where[hash(tuple(m.group() for m in found[i : i + 51]))].append((d, i))
+    spans, removed = defaultdict(set), defaultdict(set)
+    rows = queries()["op2_paragraphs"](spark, f"/root/testdata/{size}").collect()
+    for r in rows:
+        own = {i for i, (a, b) in enumerate(at[r.doc_id]) if r.start <= a and b <= r.end}
+        spans[r.doc_id] |= own
+        removed[r.doc_id] |= own if r.removed else set()
+    seen = 0
+    for places in where.values():
+        if len({d for d, _ in places}) > 1:
+            for d, i in places:
+                seen += 1
+                assert not (removed if d != places[0][0] else spans)[d].isdisjoint(range(i, i + 51)), (d, i)
+    assert seen > 1000
+    for r in rows:
+        if r.paragraph is None:
+            a, b = set(shingles(" ".join(words(texts[r.doc_id][r.start :])[:20]))), set(shingles(" ".join(words(texts[r.keep_doc_id][r.keep_start :])[:20])))
+            assert min(len(a), len(b)) < 10 or len(a & b) >= 0.5 * len(a | b), (r, a, b)  # chains of links may lie between, of words that repeat themselves long ones
+            assert r.removed == ((r.doc_id, r.start) != (r.keep_doc_id, r.keep_start))
+
+
+def test_near_copies_by_similarity(spark):
+    """Of all pairs with a similarity of 0.8 or more, by tenths, those of one class: at sf0.01, against all rows."""
+    path = "/root/testdata/sf0.01"
+    docs = sorted(map(tuple, spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL").collect()))
+    frequency = Counter(w for _, t in docs for w in set(words(t)))
+    idf = {w: round(1000 * (1 + np.log(len(docs) / max(f, 1)))) for w, f in frequency.items()}
+    items = [Counter({s: k * (sum(idf[w] for w in s) // len(s)) for s, k in Counter(shingles(t)).items()}) for _, t in docs]
+    got = {r.doc_id: r.class_id for r in queries()["op4_near_duplicates"](spark, path).collect()}
+    hit, total = Counter(), Counter()
+    for i, j, x in brute_pairs(items):
+        if x >= 0.8:
+            total[int(x * 10)] += 1
+            hit[int(x * 10)] += got[docs[i][0]] == got[docs[j][0]]
+    assert all(hit[k] >= 0.99 * total[k] for k in total) and total[8] and total[10]
+    linked = {docs[c][0] for c in brute_classes(items)}
+    assert len(set(got.values()) ^ linked) <= 2
+
+
 def test_decontamination_by_sql(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
@@ -81,7 +137,7 @@ def test_decontamination_by_sql(spark, sf):
 
 
 def test_large_groups_are_one_class(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(neardup, "CLOSE", 4)
     base = sentence(3, 200).split()
     rows = []
     for i in range(60):
@@ -97,12 +153,23 @@ def test_large_groups_are_one_class(spark, monkeypatch):
 
 def test_no_link_of_a_bucket_is_lost(spark, monkeypatch):
     """Numbers within 2 are similar; all are in one bucket, and no pivot is similar to all."""
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(neardup, "CLOSE", 3)
     numbers = [1, 2, 4, 6, 20, 21, 40, 60, 62, 64, 66, 68]
-    nodes = spark.createDataFrame([(x, *[7] * neardup.BANDS) for x in numbers], "node long, " + ", ".join(f"{k} long" for k in neardup.KEYS))
-    rest = "filter(array(a - 1, a, a + 1), x -> abs(x - b) > 1) AS rest"
-    labels = neardup.classes(nodes, lambda pairs: pairs.selectExpr("a", "b", "large", "abs(a - b) <= 2 AS near", rest), lambda met: None)
-    got = {r.node: r.label for r in labels.collect()}
+    nodes = spark.createDataFrame([(x, [7] * 8) for x in numbers], "node long, keys array<long>")
+
+    class Numbers:
+        threshold = 0.2
+
+        def bind(self, met):
+            pass
+
+        def links(self, pairs):
+            return pairs.where("abs(a - b) <= 2")
+
+        def tokens(self, nodes):
+            return nodes.selectExpr("node", "explode(array(node - 1, node, node + 1)) AS h", "1L AS w")
+
+    got = {r.node: r.label for r in neardup.classes(nodes, Numbers()).collect()}
     assert {x: got.get(x, x) for x in numbers} == {1: 1, 2: 1, 4: 1, 6: 1, 20: 20, 21: 20, 40: 40, 60: 60, 62: 60, 64: 60, 66: 60, 68: 60}
 
 
@@ -129,8 +196,9 @@ def test_odd_rows(spark, odd_docs):
     assert [(b, c) for _, b, c in got] == [(0, 9), (1, 1), (1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8), (9, 9), (10, 10)]
     assert minhash.near_duplicates(odd_docs.limit(0)).count() == 0
     found = paragraphs.repeated_paragraphs(odd_docs)
-    rows = found.collect()
+    rows = found.where("paragraph IS NOT NULL").collect()
     assert {(r.doc_id, r.paragraph, r.removed) for r in rows if r.keep_doc_id == 1} == {(1, 0, False), (2, 0, True), (10, 1, True)}
+    assert {(r.doc_id, r.removed) for r in found.where("paragraph IS NULL").collect()} >= {(1, False), (2, True), (10, True), (9, False), (None, True)}
     left = paragraphs.remove_paragraphs(odd_docs, found)
     assert left.columns == odd_docs.columns and left.count() == 12
     assert {r.doc_id: r.text for r in left.collect()}[10] == sentence(9, 40)
@@ -157,21 +225,21 @@ def test_an_edited_item_is_found(spark):
 
 def test_paragraphs_of_rows_without_a_doc_id(spark, monkeypatch):
     """A row without a doc_id, first of all, in a group of near copies of its line, and several such rows."""
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(neardup, "CLOSE", 4)
     base = sentence(21, 200).split()
 
     def edited(i):
         return " ".join("new" if k == 3 * i + 20 else w for k, w in enumerate(base))
 
     rows = [(None, " ".join(base)), (None, edited(50)), *((i, edited(i)) for i in range(1, 12)), (90, sentence(22, 60)), (None, sentence(23, 60)), (91, sentence(23, 60) + " more")]
-    got = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).where("paragraph IS NOT NULL").collect()
     want = {(None, 0, 1, True), (1, 0, 1, False), *((i, 0, 1, True) for i in range(2, 12)), (91, 0, 91, False), (None, 0, 91, True)}
     assert {(r.doc_id, r.paragraph, r.keep_doc_id, r.removed) for r in got} == want and len(got) == 15
 
 
 def test_links_beside_a_large_pivot(spark, monkeypatch):
-    """All band keys equal, the pivot the largest node: rests on either side of NEAR_PIVOT, and excerpts of the pivot."""
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 3)
+    """All band keys equal, the pivot the largest node: texts with little and with much outside it, and excerpts of the pivot."""
+    monkeypatch.setattr(neardup, "CLOSE", 3)
     pivot = sentence(40, 1000).split()
     start, own = " ".join(pivot[:300]), sentence(41, 190)
     texts = {
@@ -180,8 +248,7 @@ def test_links_beside_a_large_pivot(spark, monkeypatch):
         5: " ".join(pivot[750:950]) + " " + sentence(43, 5), 6: sentence(44, 5) + " " + " ".join(pivot[750:950]),  # nothing in common outside
         1000: " ".join(pivot),
     } | {10 + i: sentence(50 + i, 100) for i in range(6)}
-    nodes = spark.createDataFrame([(x, *[7] * neardup.BANDS) for x in texts], "node long, " + ", ".join(f"{k} long" for k in neardup.KEYS))
+    nodes = spark.createDataFrame([(x, [7] * 8) for x in texts], "node long, keys array<long>")
     held = spark.createDataFrame(list(texts.items()), "node long, text string")
-    check = neardup.compared(lambda: None, 0.8)
-    got = {r.node: r.label for r in neardup.classes(nodes, lambda pairs: check(pairs, held), lambda met: None).collect()}
+    got = {r.node: r.label for r in neardup.classes(nodes, neardup.Check(lambda met: held, lambda: None, 0.8)).collect()}
     assert {x: got.get(x, x) for x in texts} == {x: {2: 1, 4: 3, 6: 5}.get(x, x) for x in texts}

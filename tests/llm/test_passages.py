@@ -29,7 +29,9 @@ def test_planted_passages_of_51_words(spark):
     want = {(d, passage, 51, 1) for d in (2, 3, 4, None)}
     assert found(spark, rows) == want
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert paragraphs.repeated_paragraphs(docs).count() == 0
+    blocks = paragraphs.repeated_paragraphs(docs)
+    assert blocks.where("paragraph IS NOT NULL").count() == 0
+    assert {(r.doc_id, r.removed, r.keep_doc_id) for r in blocks.collect()} == {(1, False, 1), *((d, True, 1) for d in (2, 3, 4, None)), (5, True, 1)}
     assert [(r.start, r.end, r.keep_start) for r in passages.repeated_passages(docs).where("NOT removed").collect()] == [(x := rows[0][1].index(passage), x + len(passage), x)]
 
 
