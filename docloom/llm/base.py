@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side (a few longs a row) is broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
+#: The same for a single column of longs: some tens of MB.
+BROADCAST_KEYS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

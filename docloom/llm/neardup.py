@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 #: 8 bands of 3 samples: at similarity 0.8 a pair shares a band with probability 0.997, at 0.3 with 0.2.
 BANDS, BAND_ROWS = 8, 3
 KEYS = [f"k{i}" for i in range(BANDS)]
+#: Numbers in which the shingles of crowded nodes are counted, 4 bytes each.
+COUNTERS = 1 << 20
 #: A bucket is closed if its members, times those outside its largest component, are at most so many.
 CLOSE = 1024
 
@@ -150,11 +152,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     both = stored(both, f"{name}-edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), name)
     while True:
-        passed = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
+        known = small(labels)
+        passed = both.join(known.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
         new = labels.select("node", "label", F.col("label").alias("old")).unionByName(passed.withColumn("old", F.lit(None).cast("long")))
         new = new.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        ahead = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        new = new.join(ahead, new["label"] == ahead["at"], "left")
+        new = new.join(known.select(F.col("node").alias("at"), F.col("label").alias("next")), F.col("label") == F.col("at"), "left")
         new = stored(new.select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), name)
         labels = new.select("node", "label")
         if new.where("label < old").isEmpty():
@@ -165,7 +167,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after the components that ``links`` (a, b) join have become one."""
     if links.isEmpty():
         return labels
-    known = labels.select(F.col("node").alias("n"), "label")
+    known = small(labels.select(F.col("node").alias("n"), "label"))
     ends = links.join(known.withColumnsRenamed({"n": "a", "label": "la"}), "a", "left").join(known.withColumnsRenamed({"n": "b", "label": "lb"}), "b", "left")
     ends = stored(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "label-links")
     joined = components(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")), "label-components")
@@ -177,7 +179,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
     """``met`` with the label of each node, its own number where it isn't linked."""
-    return met.join(labels.withColumnRenamed("label", "_l"), "node", "left").withColumn("label", F.coalesce("_l", "node")).drop("_l")
+    return met.join(small(labels.withColumnRenamed("label", "_l")), "node", "left").withColumn("label", F.coalesce("_l", "node")).drop("_l")
 
 
 def open_buckets(met: DataFrame) -> DataFrame:
@@ -217,13 +219,10 @@ def classes(nodes: DataFrame, check: "Check") -> DataFrame:
     now = stored(labelled(met.select("key", "node"), labels), "bucket-labels")
     opened = stored(open_buckets(now), "buckets-open")
     labels = merged(labels, check.links(across(now, opened.where(F.col("others") * F.col("n") <= CLOSE))))
-    large = opened.where(F.col("others") * F.col("n") > CLOSE).select("key")
+    large = stored(opened.where(F.col("others") * F.col("n") > CLOSE).select("key"), "buckets-large")
     if large.isEmpty():
         return labels
-    left = stored(labelled(met.join(small(large), "key", "left_semi").select("key", "node"), labels), "buckets-large")
-    crowded = left.join(small(stored(open_buckets(left).select("key"), "buckets-left")), "key", "left_semi").select("node").distinct()
-
-    lists = stored(prefixes(check.tokens(stored(crowded, "crowded")), check.threshold), "prefixes")
+    lists = check.prefixes(stored(met.join(small(large), "key", "left_semi").select("node").distinct(), "crowded"))
     for alone in (True, False):
         now = stored(labelled(lists, labels), "prefix-labels")
         opened = stored(open_buckets(now), "prefixes-open")
@@ -239,17 +238,6 @@ def classes(nodes: DataFrame, check: "Check") -> DataFrame:
     return labels
 
 
-def prefixes(tokens: DataFrame, threshold: float) -> DataFrame:
-    """(key, node, before, total): for each text the shingles (key) that more than one has and that may be the first one
-    in common with a similar text; the weight before it in the order, and the text's."""
-    frequency = stored(tokens.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shingle-counts")
-    counted = tokens.join(small(frequency), "h", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    of_node = Window.partitionBy("node")
-    before = F.sum("w").over(of_node.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")
-    placed = counted.withColumn("before", before).withColumn("total", F.sum("w").over(of_node))
-    return placed.where((F.col("n") > 1) & (F.col("before") <= (1 - threshold) * F.col("total") + 1e-6)).select(F.col("h").alias("key"), "node", "before", "total")
-
-
 def may_match(before_a: str, total_a: str, before_b: str, total_b: str, threshold: float) -> str:
     """Whether two texts whose first common shingle has these weights before it can be similar."""
     return f"least({total_a} - {before_a}, {total_b} - {before_b}) * {1 + threshold} + 1e-6 >= {threshold} * ({total_a} + {total_b})"
@@ -287,16 +275,43 @@ class Check:
         pairs = stored(pairs, "pairs")
         return stored(pairs_with_texts(pairs, self.texts).mapInPandas(rows, "a long, b long"), "links")
 
-    def tokens(self, nodes: DataFrame) -> DataFrame:
-        """(node, h, w): the shingles of ``nodes`` and their weights; stored."""
-        idf = self.idf
+    def prefixes(self, nodes: DataFrame) -> DataFrame:
+        """(key, node, before, total) for each of ``nodes``: the shingles (key) that others have too and that may be the
+        first one in common with a similar text, the weight before each in the order, and the text's; stored.
+
+        The order is by how many of ``nodes`` have a shingle, counted in COUNTERS numbers. Shingles that share one
+        count together: that changes the order and lengthens lists, never what is found.
+        """
+        idf, threshold = self.idf, self.threshold
+        wanted = stored(self.texts.join(small(nodes), "node", "left_semi"), "crowded-texts")
+
+        def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(COUNTERS, np.int64)
+            for batch in batches:
+                texts = batch["text"].tolist()
+                for i, j in chunks(texts):
+                    total += np.bincount((weighted_shingles(texts[i:j], idf())[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            seen = np.flatnonzero(total)
+            yield pd.DataFrame({"counter": seen, "n": total[seen]})
+
+        found = wanted.select("text").mapInPandas(counts, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+        dense = np.zeros(COUNTERS, np.int64)
+        dense[found["counter"].to_numpy(np.int64)] = found["n"]
+        numbers = nodes.sparkSession.sparkContext.broadcast(np.minimum(dense, (1 << 31) - 1).astype(np.int32))
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 texts, node = batch["text"].tolist(), batch["node"].to_numpy()
                 for i, j in chunks(texts):
                     h, w, at = weighted_shingles(texts[i:j], idf())
-                    yield pd.DataFrame({"node": np.repeat(node[i:j], np.diff(at)), "h": h.astype(np.int64), "w": w})
-
-        wanted = self.texts.join(small(nodes), "node", "left_semi")
-        return stored(wanted.mapInPandas(rows, "node long, h long, w long"), "tokens")
+                    text = np.repeat(np.arange(j - i), np.diff(at))
+                    n = numbers.value[(h % np.uint64(COUNTERS)).astype(np.int64)]
+                    order = np.lexsort((h, n, text))
+                    h, w, n = h[order], w[order], n[order]
+                    sums = np.concatenate(([0], np.cumsum(w)))
+                    before = sums[:-1] - sums[at[text]]
+                    total = sums[at[text + 1]] - sums[at[text]]
+                    kept = np.flatnonzero((n > 1) & (before <= (1 - threshold) * total + 1e-6))
+                    yield pd.DataFrame({"key": h[kept].astype(np.int64), "node": node[i:j][text[kept]], "before": before[kept], "total": total[kept]})
+
+        return stored(wanted.mapInPandas(rows, "key long, node long, before long, total long"), "prefixes")

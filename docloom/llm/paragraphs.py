@@ -4,8 +4,9 @@ Texts are cut into two kinds of units. Lines of ``min_words`` words or more are
 Blocks of BLOCK_WORDS words lie over line breaks and begin where the words say so: a block begins at the
 least hash of each ANCHOR_WORDS consecutive five-word runs, so two texts with the same run of
 BLOCK_WORDS + ANCHOR_WORDS - 1 words, wherever their lines break, have a block in common in it. Both kinds are signed by
-MinHash over their five-word shingles; bands of few rows give high recall, and exact Jaccard similarity takes
-what collides by chance out again. Of each class of similar units the first occurrence (least doc_id, then
+MinHash over their five-word shingles: lines in 8 bands of 3 samples, which meet with probability 0.997 at
+similarity 0.8, and blocks, of which a passage has several and one is enough, in a single band of 4, in which equal ones
+always meet. Exact Jaccard similarity takes what collides by chance out again. Of each class of similar units the first occurrence (least doc_id, then
 place) stays. Adjacent blocks that repeat the same place are one span.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import discard, documents, small, stored, table
+from .base import BROADCAST_KEYS, discard, documents, small, stored, table
 from .neardup import BAND_ROWS, BANDS, SIMILARITY, Check, classes
 from .textarrays import chunks, code_points, mix, run_hashes, span_hashes, words
 
@@ -26,8 +27,7 @@ from .textarrays import chunks, code_points, mix, run_hashes, span_hashes, words
 MIN_WORDS = 20
 #: Words of a block, and five-word runs of which the least begins one: any run of 51 words has a block in it.
 BLOCK_WORDS, ANCHOR_WORDS = 20, 32
-#: Blocks overlap and most repeats are word for word: 3 bands of 2 samples meet with probability 0.95 at similarity 0.8.
-BLOCK_BANDS, BLOCK_ROWS = 3, 2
+BLOCK_BANDS, BLOCK_ROWS = 1, 4
 
 _SCHEMA = "doc_id long, text_hash long, paragraph int, at int, start long, end long, n_words int, node long, keys array<long>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -126,8 +126,12 @@ def _classes(docs: DataFrame, min_words: int, threshold: float) -> DataFrame:
     """The units of ``docs`` that occur more than once, and keep: the first occurrence of their class."""
     signs = stored(docs.mapInArrow(_signed(min_words), _SCHEMA), "units")
     shared = stored(signs.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
-    hit = signs.select("node", F.explode("keys").alias("key")).join(small(shared), "key", "left_semi").select("node").distinct()
-    found = stored(signs.join(small(stored(hit, "hit-nodes")), "node", "left_semi"), "survivors")
+    shared = small(shared, BROADCAST_KEYS)
+    lines, blocks = signs.where("paragraph IS NOT NULL"), signs.where("paragraph IS NULL")
+    hit = lines.select("node", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("node").distinct()
+    lines = lines.join(small(stored(hit, "hit-lines"), BROADCAST_KEYS), "node", "left_semi")
+    blocks = blocks.withColumn("key", F.element_at("keys", 1)).join(shared, "key", "left_semi")
+    found = stored(lines.select(*signs.columns).unionByName(blocks.select(*signs.columns)), "survivors")
     discard(signs)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "text_hash", "paragraph", "start", "end")
     nodes = stored(found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("keys").alias("keys")), "nodes")

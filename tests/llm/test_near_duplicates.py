@@ -166,8 +166,8 @@ def test_no_link_of_a_bucket_is_lost(spark, monkeypatch):
         def links(self, pairs):
             return pairs.where("abs(a - b) <= 2")
 
-        def tokens(self, nodes):
-            return nodes.selectExpr("node", "explode(array(node - 1, node, node + 1)) AS h", "1L AS w")
+        def prefixes(self, nodes):
+            return nodes.selectExpr("node", "3L AS total", "posexplode(array(node - 1, node, node + 1)) AS (before, key)")
 
     got = {r.node: r.label for r in neardup.classes(nodes, Numbers()).collect()}
     assert {x: got.get(x, x) for x in numbers} == {1: 1, 2: 1, 4: 1, 6: 1, 20: 20, 21: 20, 40: 40, 60: 60, 62: 60, 64: 60, 66: 60, 68: 60}
