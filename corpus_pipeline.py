@@ -1,7 +1,8 @@
 """A corpus pipeline over ``documents``: language, near duplicates, decontamination, personal data, token ids.
 
 Every stage works on all rows that its predecessor kept and keeps their columns; rows with null or empty
-texts, without letters, are rejected by the first. ``run`` writes each stage's result as Parquet in the
+texts, without letters, are rejected by the first, repeated rows go with the near duplicates, an empty table
+stays empty, and further columns, whatever their names, are carried along up to the last stage. ``run`` writes each stage's result as Parquet in the
 shared folder and reads it back for the next.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.base import small, stored, table
+from docloom.llm.base import few, small, stored, table, unused
 from docloom.llm.decontaminate import contaminated
 from docloom.llm.langid import label_documents, trained_on
 from docloom.llm.minhash import near_duplicates
@@ -23,9 +24,10 @@ LANGUAGE_SHARE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts with a language that holds at least LANGUAGE_SHARE of their letters; a null lang gets the language found."""
-    labelled = label_documents(docs, trained_on(docs))
-    kept = labelled.where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LANGUAGE_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "_language.lang_pred")).select(*docs.columns)
+    found = unused(docs, "_language")
+    labelled = label_documents(docs, trained_on(docs), name=found)
+    kept = labelled.where((F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= LANGUAGE_SHARE))
+    return kept.withColumn("lang", F.coalesce("lang", f"{found}.lang_pred")).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +36,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = stored(near_duplicates(docs, keyed=True), "near-duplicates")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    kept = found.groupBy("class_key").agg(F.min(place).alias("k"), F.count("*").alias("_rows"))
-    kept = stored(kept.select(F.col("k.id").alias("_kept"), F.col("k.hash").alias("_hash"), "_rows"), "kept")
-    joined = docs.join(small(kept), docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(kept["_hash"]))
-    if kept.where("_rows > 1").isEmpty():
+    id_, hash_, rows = (unused(docs, name) for name in ("_kept", "_hash", "_rows"))
+    kept = found.groupBy("class_key").agg(F.min(place).alias("k"), F.count("*").alias(rows))
+    kept = stored(kept.select(F.col("k.id").alias(id_), F.col("k.hash").alias(hash_), rows), "kept")
+    joined = docs.join(few(kept), docs["doc_id"].cast("long").eqNullSafe(kept[id_]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(kept[hash_]))
+    if kept.where(F.col(rows) > 1).isEmpty():
         return joined.select(*docs.columns)
-    again = joined.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return joined.where("_rows = 1").select(*docs.columns).unionByName(again)
+    again = joined.where(F.col(rows) > 1).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return joined.where(F.col(rows) == 1).select(*docs.columns).unionByName(again)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,33 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def few(df: DataFrame) -> DataFrame:
+    """As ``small``, for tables that grow with the documents: only tiny ones are hinted, else Spark decides by size."""
+    return small(df, 20_000)
+
+
+def trimmed(rows):
+    """``rows`` (for mapInPandas or mapInArrow), giving a task's freed memory back to the system when it ends: idle workers stay small."""
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries give it back themselves
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def documents(df: DataFrame) -> DataFrame:
     """doc_id and text only: other columns, whatever their names, can't clash with ours."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import table, trimmed
 from .textarrays import chunks, code_points
 
 #: First and last code point of the scripts that are told apart; all other letters are script 0.
@@ -37,7 +37,7 @@ SWITCH = 25.0
 #: A language is a candidate for a script that has this share of its training letters.
 SCRIPT_SHARE = 0.01
 _OUT = -30.0
-VITERBI_CHARS = 4_000_000
+VITERBI_CHARS = 1_000_000
 
 
 @functools.lru_cache(1)
@@ -113,7 +113,7 @@ def fit(rows: DataFrame, n_docs: int = TRAINING_DOCS) -> Model:
                     seen = np.flatnonzero(n)
                     yield pd.DataFrame({"lang": lang, "bucket": np.append(seen, BUCKETS + np.arange(len(scripts))), "n": np.append(n[seen], scripts)})
 
-    found = sample.mapInPandas(counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInPandas(trimmed(counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sizes)
     table_ = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(languages)))
     table_[found["bucket"].to_numpy(np.int64), [languages.index(x) for x in found["lang"]]] = found["n"]
@@ -232,14 +232,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def label_documents(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """``docs`` with lang_pred, score and spans in a struct column ``_language``; all other columns stay as they are."""
+def label_documents(docs: DataFrame, model: Model, switch: float = SWITCH, name: str = "_language") -> DataFrame:
+    """``docs`` with lang_pred, score and spans in a struct column ``name``; all other columns stay as they are.
+
+    Null, empty and letterless texts get ``und``, 0 and no span; of languages with the same share of letters the first by
+    name counts. Repeated rows all stay. An empty table gives an empty result, a column called ``name`` before is replaced.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame(predict(shared.value, texts.tolist(), switch), columns=["lang_pred", "score", "spans"])
 
     @F.pandas_udf("lang_pred string, score double, spans string")
-    def label(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(predict(model, texts.tolist(), switch), columns=["lang_pred", "score", "spans"])
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from trimmed(rows)(batches)
 
-    return docs.withColumn("_language", label(F.col("text").cast("string")))
+    return docs.withColumn(name, label(F.col("text").cast("string")))
 
 
 def trained_on(docs: DataFrame) -> Model:

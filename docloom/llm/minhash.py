@@ -15,14 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, small, stored, table
+from .base import documents, few, stored, table, trimmed
 from .neardup import KEYS, SIMILARITY, Check, classes, signatures, weighted_shingles
 from .textarrays import chunks, words
 
 #: Document frequencies count down to this share of all documents.
 RARE = 1e-3
-#: Frequent words that go to every task, 16 bytes each; RARE is doubled until they are so few.
-FREQUENT_WORDS = 500_000
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,18 +41,16 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def word_idf(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """(hashes of frequent words, ascending; their IDFs; the IDF of all others), IDFs 1 + ln(n / df) in thousandths.
 
-    A text has T different words in the mean, so at most T / RARE words are frequent.
+    A text has T different words in the mean, so at most T / RARE words are frequent, however many texts there
+    are: 16 bytes each on the driver and in each task, 3 MB for texts of 200 different words.
     """
     n = docs.count()
-    counts = stored(docs.select("text").mapInPandas(_word_counts, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).where(F.col("df") > n * RARE), "word-counts")
-    share = RARE
-    while counts.where(F.col("df") > n * share).count() > FREQUENT_WORDS:
-        share *= 2
-    found = counts.where(F.col("df") > n * share).toPandas()
+    counts = stored(docs.select("text").mapInPandas(trimmed(_word_counts), "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).where(F.col("df") > n * RARE), "word-counts")
+    found = counts.toPandas()
     names = found["word"].to_numpy(np.int64).astype(np.uint64)
     order = np.argsort(names)
     value = np.round(1000 * (1 + np.log(max(n, 1) / np.maximum(found["df"].to_numpy(np.float64), 1)))).astype(np.int64)
-    return names[order], value[order], round(1000 * (1 + math.log(max(1, min(n, 1 / share)))))
+    return names[order], value[order], round(1000 * (1 + math.log(max(1, min(n, 1 / RARE)))))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, keyed: bool = False) -> DataFrame:
@@ -79,7 +75,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, keyed: bool
                 yield out.assign(doc_id=batch["doc_id"].iloc[a:b].astype("Int64").to_numpy(), text_hash=batch["text_hash"].iloc[a:b].to_numpy(), node=node)
 
     columns = ", ".join(f"{k} long" for k in KEYS)
-    signs = stored(docs.mapInPandas(signed, f"doc_id long, text_hash long, node long, {columns}"), "signatures")
+    signs = stored(docs.mapInPandas(trimmed(signed), f"doc_id long, text_hash long, node long, {columns}"), "signatures")
     one = F.struct("doc_id", "text_hash")
     first = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), one)), F.min(one))
     nodes = signs.where("node <> 0").groupBy("node").agg(first.alias("first"), *[F.min(k).alias(k) for k in KEYS])
@@ -87,7 +83,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, keyed: bool
 
     def texts_of(met: DataFrame) -> DataFrame:
         wanted = stored(nodes.select("node", "doc_id", "text_hash").join(met, "node", "left_semi"), "met")
-        return docs.join(small(wanted), docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])).select("node", "text").dropDuplicates(["node"])
+        return docs.join(few(wanted), docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])).select("node", "text").dropDuplicates(["node"])
 
     labels = classes(nodes.select("node", F.array(*KEYS).alias("keys")), Check(texts_of, lambda: idf.value, threshold))
     own = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

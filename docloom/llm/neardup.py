@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import small, stored
+from .base import few, stored, trimmed
 from .textarrays import chunks, mix, shingles
 
 SIMILARITY = 0.8
@@ -152,7 +152,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     both = stored(both, f"{name}-edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), name)
     while True:
-        known = small(labels)
+        known = few(labels)
         passed = both.join(known.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
         new = labels.select("node", "label", F.col("label").alias("old")).unionByName(passed.withColumn("old", F.lit(None).cast("long")))
         new = new.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
@@ -167,19 +167,19 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after the components that ``links`` (a, b) join have become one."""
     if links.isEmpty():
         return labels
-    known = small(labels.select(F.col("node").alias("n"), "label"))
+    known = few(labels.select(F.col("node").alias("n"), "label"))
     ends = links.join(known.withColumnsRenamed({"n": "a", "label": "la"}), "a", "left").join(known.withColumnsRenamed({"n": "b", "label": "lb"}), "b", "left")
     ends = stored(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "label-links")
     joined = components(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")), "label-components")
     new = ends.select(F.col("a").alias("node"), F.col("la").alias("label")).unionByName(ends.select(F.col("b").alias("node"), F.col("lb").alias("label")))
     every = labels.unionByName(new).distinct()
     joined = joined.withColumnsRenamed({"node": "old", "label": "new"})
-    return stored(every.join(small(joined), every["label"] == joined["old"], "left").select("node", F.coalesce("new", "label").alias("label")).distinct(), "labels")
+    return stored(every.join(few(joined), every["label"] == joined["old"], "left").select("node", F.coalesce("new", "label").alias("label")).distinct(), "labels")
 
 
 def labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
     """``met`` with the label of each node, its own number where it isn't linked."""
-    return met.join(small(labels.withColumnRenamed("label", "_l")), "node", "left").withColumn("label", F.coalesce("_l", "node")).drop("_l")
+    return met.join(few(labels.withColumnRenamed("label", "_l")), "node", "left").withColumn("label", F.coalesce("_l", "node")).drop("_l")
 
 
 def open_buckets(met: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def across(met: DataFrame, buckets: DataFrame, where: str = "true") -> DataFrame
 
     Two members that both have the bucket's main label are in one component, so one of each pair hasn't got it.
     """
-    own = stored(met.join(small(buckets.select("key", "main")), "key"), "bucket-open")
+    own = stored(met.join(few(buckets.select("key", "main")), "key"), "bucket-open")
     other = own.where("label <> main").alias("r")
     pairs = own.alias("l").join(other, F.col("l.key") == F.col("r.key")).where("l.label <> r.label AND (l.label = l.main OR l.node < r.node)").where(where)
     return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
@@ -210,10 +210,10 @@ def classes(nodes: DataFrame, check: "Check") -> DataFrame:
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x")).where("n > 1")
     buckets = stored(sizes.groupBy("n", "x").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
     degree = F.sum("n").over(Window.partitionBy("node")).alias("degree")
-    met = stored(members.join(small(buckets), "key").select("key", "node", degree), "bucket-members")
+    met = stored(members.join(few(buckets), "key").select("key", "node", degree), "bucket-members")
     check.bind(met.select("node").distinct())
     pivots = stored(met.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("pivot")), "pivots")
-    star = met.join(small(pivots), "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    star = met.join(few(pivots), "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     labels = components(check.links(star))
 
     now = stored(labelled(met.select("key", "node"), labels), "bucket-labels")
@@ -222,15 +222,15 @@ def classes(nodes: DataFrame, check: "Check") -> DataFrame:
     large = stored(opened.where(F.col("others") * F.col("n") > CLOSE).select("key"), "buckets-large")
     if large.isEmpty():
         return labels
-    lists = check.prefixes(stored(met.join(small(large), "key", "left_semi").select("node").distinct(), "crowded"))
+    lists = check.prefixes(stored(met.join(few(large), "key", "left_semi").select("node").distinct(), "crowded"))
     for alone in (True, False):
         now = stored(labelled(lists, labels), "prefix-labels")
         opened = stored(open_buckets(now), "prefixes-open")
         if opened.isEmpty():
             break
         if alone:  # each with the member that has least before the shingle: changed least
-            first = stored(now.join(small(opened.select("key")), "key", "left_semi").groupBy("key").agg(F.min(F.struct("before", "node", "label", "total")).alias("p")), "prefix-pivots")
-            star = now.join(small(first), "key").where("label <> p.label").where(may_match("before", "total", "p.before", "p.total", check.threshold))
+            first = stored(now.join(few(opened.select("key")), "key", "left_semi").groupBy("key").agg(F.min(F.struct("before", "node", "label", "total")).alias("p")), "prefix-pivots")
+            star = now.join(few(first), "key").where("label <> p.label").where(may_match("before", "total", "p.before", "p.total", check.threshold))
             pairs = star.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
         else:
             pairs = across(now, opened, may_match("l.before", "l.total", "r.before", "r.total", check.threshold))
@@ -245,8 +245,8 @@ def may_match(before_a: str, total_a: str, before_b: str, total_b: str, threshol
 
 def pairs_with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, text_a, text_b): many a meet few b. The texts of a go to those of b; a's are found by broadcast while pairs are few."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(small(pairs), "a")
-    right = texts.join(small(stored(pairs.select(F.col("b").alias("node")).distinct(), "partners")), "node", "left_semi")
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(few(pairs), "a")
+    right = texts.join(few(stored(pairs.select(F.col("b").alias("node")).distinct(), "partners")), "node", "left_semi")
     return left.join(right.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
 
@@ -273,7 +273,7 @@ class Check:
                     yield batch.iloc[i:j][["a", "b"]][near]
 
         pairs = stored(pairs, "pairs")
-        return stored(pairs_with_texts(pairs, self.texts).mapInPandas(rows, "a long, b long"), "links")
+        return stored(pairs_with_texts(pairs, self.texts).mapInPandas(trimmed(rows), "a long, b long"), "links")
 
     def prefixes(self, nodes: DataFrame) -> DataFrame:
         """(key, node, before, total) for each of ``nodes``: the shingles (key) that others have too and that may be the
@@ -283,7 +283,7 @@ class Check:
         count together: that changes the order and lengthens lists, never what is found.
         """
         idf, threshold = self.idf, self.threshold
-        wanted = stored(self.texts.join(small(nodes), "node", "left_semi"), "crowded-texts")
+        wanted = stored(self.texts.join(few(nodes), "node", "left_semi"), "crowded-texts")
 
         def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(COUNTERS, np.int64)
@@ -294,7 +294,7 @@ class Check:
             seen = np.flatnonzero(total)
             yield pd.DataFrame({"counter": seen, "n": total[seen]})
 
-        found = wanted.select("text").mapInPandas(counts, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+        found = wanted.select("text").mapInPandas(trimmed(counts), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
         dense = np.zeros(COUNTERS, np.int64)
         dense[found["counter"].to_numpy(np.int64)] = found["n"]
         numbers = nodes.sparkSession.sparkContext.broadcast(np.minimum(dense, (1 << 31) - 1).astype(np.int32))
@@ -314,4 +314,4 @@ class Check:
                     kept = np.flatnonzero((n > 1) & (before <= (1 - threshold) * total + 1e-6))
                     yield pd.DataFrame({"key": h[kept].astype(np.int64), "node": node[i:j][text[kept]], "before": before[kept], "total": total[kept]})
 
-        return stored(wanted.mapInPandas(rows, "key long, node long, before long, total long"), "prefixes")
+        return stored(wanted.mapInPandas(trimmed(rows), "key long, node long, before long, total long"), "prefixes")

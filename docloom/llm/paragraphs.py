@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import BROADCAST_KEYS, discard, documents, small, stored, table
+from .base import BROADCAST_KEYS, discard, documents, few, small, stored, table, trimmed
 from .neardup import BAND_ROWS, BANDS, SIMILARITY, Check, classes
 from .textarrays import chunks, code_points, mix, run_hashes, span_hashes, words
 
@@ -124,7 +124,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _classes(docs: DataFrame, min_words: int, threshold: float) -> DataFrame:
     """The units of ``docs`` that occur more than once, and keep: the first occurrence of their class."""
-    signs = stored(docs.mapInArrow(_signed(min_words), _SCHEMA), "units")
+    signs = stored(docs.mapInArrow(trimmed(_signed(min_words)), _SCHEMA), "units")
     shared = stored(signs.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
     shared = small(shared, BROADCAST_KEYS)
     lines, blocks = signs.where("paragraph IS NOT NULL"), signs.where("paragraph IS NULL")
@@ -145,8 +145,8 @@ def _classes(docs: DataFrame, min_words: int, threshold: float) -> DataFrame:
     labels = classes(nodes.select("node", "keys"), Check(texts_of, lambda: None, threshold))
     own = nodes.select("node", "n", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = own.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("label", "keep")
-    named = stored(own.select("node", "label").join(small(stored(groups, "groups")), "label").select("node", "keep"), "classes")
-    return stored(found.join(small(named), "node").withColumn("removed", place != F.col("keep")), "repeated-units")
+    named = stored(own.select("node", "label").join(few(stored(groups, "groups")), "label").select("node", "keep"), "classes")
+    return stored(found.join(few(named), "node").withColumn("removed", place != F.col("keep")), "repeated-units")
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = SIMILARITY) -> DataFrame:

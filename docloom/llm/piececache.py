@@ -8,7 +8,7 @@ import pandas as pd
 from .textarrays import code_points, span_hashes
 
 #: Distinct pieces whose ids a Python worker keeps before it forgets the rare ones.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 250_000
 
 
 class PieceCache:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import documents, table
+from .base import documents, table, trimmed
 from .piececache import PieceCache
 from .textarrays import chunks
 
@@ -315,7 +315,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids", "ids_crc32", "round_trip"],
                 )
 
-    return documents(docs).mapInArrow(rows, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")
+    return documents(docs).mapInArrow(trimmed(rows), "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
