@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_band
-from ..functions.text import digit_choice
+from ..functions.text import digit_choice, without_spaces
+from .glyphs import lines
 
 PAGE = ["doc_id", "page"]
 
@@ -33,6 +34,8 @@ class Bands:
     marker: tuple[float, float] = (28.0, 50.0)
     digit: tuple[float, float] = (32.0, 45.0)
     row: float = 4.0
+    cell_x: tuple[float, float] = (28.0, 48.0)
+    cell_below: tuple[float, float] = (-1.0, 22.0)
     digit_below: float = 15.0
     header: float = 140.0
     end: float = 10_000.0
@@ -94,6 +97,24 @@ def marked_choice(words: DataFrame, rows: DataFrame, form: Bands = FORM) -> Data
     return out.withColumn("has_marker", F.coalesce("has_marker", F.lit(False))).withColumn("choice", digit_choice(F.col("digit"))).drop("digit")
 
 
+def cell_choice(chars: DataFrame, maps: DataFrame, rows: DataFrame, word: str, form: Bands = FORM) -> DataFrame:
+    """``rows`` whose cell of unsized characters reads ``word`` under one of the page's fonts get it as choice.
+
+    Only rows without a marker and choice are looked at. ``chars`` has code; spaces don't count.
+    """
+    keys = [*PAGE, "qty_ord", "part_ord"]
+    lo, hi = form.cell_below
+    open_ = rows.where("NOT has_marker AND choice IS NULL").select(*keys, "qty_top")
+    unsized = chars.where((F.coalesce("size", F.lit(0)) == 0) & F.col("x0").between(*form.cell_x))
+    cells = unsized.join(open_, PAGE).where((F.col("top") >= F.col("qty_top") + lo) & (F.col("top") <= F.col("qty_top") + hi)).drop("qty_top")
+    fonts = cells.join(maps.select(*PAGE, "font_id").distinct(), PAGE).join(maps, [*PAGE, "font_id", "code"], "left")
+    read = lines(fonts, keys=[*keys, "font_id"]).groupBy(*keys, "font_id")
+    whole = read.agg(F.bool_and(F.col("text").isNotNull()).alias("whole"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+    text = without_spaces(F.array_join(F.transform("l", lambda x: x["text"]), ""))
+    found = whole.where(F.col("whole") & (text == without_spaces(F.lit(word)))).select(*keys).distinct().withColumn("_word", F.lit(word))
+    return rows.join(found, keys, "left").withColumn("choice", F.coalesce("choice", "_word")).drop("_word")
+
+
 def form_number(words: DataFrame, form: Bands = FORM) -> DataFrame:
     """doc_id, number: the first six digits in the header box, over pages and then words."""
     found = words.where(in_band(*form.number_x) & F.col("top").between(*form.number_y) & F.col("text").rlike(r"^\d{6}$"))

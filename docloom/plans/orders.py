@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import QUANTITY, anchored_name, capture, strip
+from ..functions.text import anchored_name, capture, number_before, strip
 
 
 @dataclass(frozen=True)
@@ -25,6 +25,20 @@ class Labels:
     customers: list[tuple[str, str]] = field(default_factory=lambda: [("ACME AVIONICS", "Acme Avionics Ltd"), ("ACME", "Acme Ltd"), ("NORTHWIND", "Northwind Traders")])
 
 
+#: What a value that stands before a label is made of.
+SHAPES = {
+    "count": "[0-9]+",
+    "item": r"[\w./-]+",  # a supplier's item number
+    "code": "[0-9A-Za-z-]+",  # a revision
+    "line": "[^\n]+?",  # all of a line up to the label
+}
+
+
+def value_before(text: Column, label: str, shape: str, gap: str = " ") -> Column:
+    """The first value of a shape that stands right before a label, NULL without one."""
+    return capture(text, f"(?U)({SHAPES[shape]}){gap}{label}")
+
+
 def chunks(texts: DataFrame, labels: Labels = Labels()) -> DataFrame:
     """doc_id, line_ord, chunk: the text after each line label, from 1; what stands before the first is the header."""
     parts = texts.select("doc_id", F.posexplode(F.split("text", labels.line, -1)).alias("line_ord", "chunk"))
@@ -36,9 +50,9 @@ def line_items(texts: DataFrame, labels: Labels = Labels()) -> DataFrame:
     parts = chunks(texts, labels).select(
         "doc_id",
         "line_ord",
-        capture(F.col("chunk"), rf"(?U)([\w.\-/]+) {labels.sku}").alias("sku"),
-        F.regexp_replace(capture(F.col("chunk"), f"{QUANTITY} {labels.quantity}"), ",", "").cast("double").alias("qty"),
-        capture(F.col("chunk"), rf"([A-Za-z0-9\-]+){labels.revision}").alias("revision"),
+        value_before(F.col("chunk"), labels.sku, "item").alias("sku"),
+        number_before(F.col("chunk"), labels.quantity).alias("qty"),
+        value_before(F.col("chunk"), labels.revision, "code", gap="").alias("revision"),
     )
     return parts.where("sku IS NOT NULL AND qty IS NOT NULL")
 
@@ -48,9 +62,9 @@ def headers(texts: DataFrame, labels: Labels = Labels()) -> DataFrame:
     text = F.col("text")
     return texts.select(
         "doc_id",
-        capture(text, rf"(\d+) {labels.number}").alias("number"),
-        strip(capture(text, rf"(?d)(.+?) {labels.buyer}")).alias("buyer"),
-        capture(text, rf"(\d+) {labels.lines}").cast("long").alias("declared"),
+        value_before(text, labels.number, "count").alias("number"),
+        strip(value_before(text, labels.buyer, "line")).alias("buyer"),
+        value_before(text, labels.lines, "count").cast("long").alias("declared"),
         anchored_name(text, labels.anchor, labels.customers).alias("customer"),
     )
 

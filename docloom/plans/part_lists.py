@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_at, header_cell
 
 #: Fixed column names of a part list, as normalised.
 COLUMNS = ("operation sequence", "component item", "qty")
+#: Fixed words of a title, as normalised; the part number follows the colon.
+TITLE = "part list for"
 FILE = ["doc_id", "file_ord"]
 
 
+def titled(cell: Column) -> Column:
+    """The part number that a cell names behind TITLE and a colon, up to a space or comma; NULL without one."""
+    after = F.slice(F.split(F.regexp_replace(F.trim(F.regexp_replace(cell, r"(?U)\s+", " ")), " ?: ?", ":"), f"(?i){TITLE}:", -1), 2, 1 << 30)
+    return F.try_element_at(F.filter(F.transform(after, lambda x: F.regexp_replace(x, "[ ,].*$", "")), lambda x: x != ""), F.lit(1))
+
+
 def scanned(cells: DataFrame) -> DataFrame:
     """``cells`` (doc_id, file_ord, row_idx, cells) with part_no, pn_row, header_row and at: the columns' places.
 
     The title is the first row with "Part List for: <part>"; the header is the first row from there on (the title
     itself may be it) whose normalised cells have all three names.
     """
-    title = F.try_element_at(F.filter(F.transform("cells", lambda c: F.regexp_extract(c, r"(?i)Part\s+List\s+for\s*:\s*([^\s,]+)", 1)), lambda x: x != ""), F.lit(1))
+    title = F.try_element_at(F.filter(F.transform("cells", titled), lambda x: x.isNotNull()), F.lit(1))
     names = F.transform("cells", header_cell)
     found = cells.withColumn("_title", title).withColumn("_at", F.array(*[F.array_position(names, c) for c in COLUMNS]))
     whole = Window.partitionBy(*FILE)

@@ -8,6 +8,7 @@ from ..functions.text import has_letters, logical_order, valid_date, without_spa
 from ..operators import bands as B
 from ..operators import glyphs as G
 from ..sources.derived import LINES_SQL, relation
+from ..sources.kept import kept
 from . import quotations as Q
 
 _PLACED = f"SELECT doc_id, ord, part, q, CAST((ord - 1) / 5 AS INT) AS page, CAST(150 + 60 * ((ord - 1) % 5) AS DOUBLE) AS t FROM ({LINES_SQL}) AS li".replace("(ord - 1) / 5", "floor((ord - 1) / 5.0)")
@@ -53,7 +54,7 @@ WITH raw AS ({WORDS_SQL}), words AS (
 
 
 def _words(spark, sf):
-    return relation(spark, sf, WORDS_SQL)
+    return kept(relation(spark, sf, WORDS_SQL), "words")
 
 
 def _clean(spark, sf):
@@ -177,6 +178,59 @@ def rtl_logical(spark, sf):
     return docs.select("item_id", logical_order(F.concat(F.lit("  "), F.regexp_replace("text", r"\s+", "  "))).alias("text"), without_spaces(F.col("text")).alias("packed"))
 
 
+#: Words of whole quotations: those of WORDS_SQL, a third of the orders without markers.
+FORMS_SQL = f"SELECT * FROM ({WORDS_SQL}) AS w WHERE NOT (text = 'FAI-' AND doc_id % 3 = 0)"
+#: The letters of a name for the digits of a number.
+_NAME = "concat('ab', translate(CAST(doc_id AS VARCHAR(12)), '0123456789', 'cdefghijkl'))"
+_DATE = "concat(lpad(CAST(1 + doc_id % 31 AS VARCHAR(2)), 2, '0'), '/', lpad(CAST(1 + doc_id % 12 AS VARCHAR(2)), 2, '0'), '/2024')"
+#: Texts of unsized characters on quotations: who, where, how they look; cells of orders without markers, but one in nine.
+GLYPHS_SQL = f"""
+SELECT doc_id, 0 AS page, 0 AS ord, concat(reverse(substr(name, 3)), ' ', reverse(substr(name, 1, 2))) AS t, 100.0 AS x, 5.0 AS step, 79.0 AS top FROM (SELECT DISTINCT doc_id, {_NAME} AS name FROM ({LINES_SQL}) AS li) AS n
+UNION ALL SELECT DISTINCT doc_id, 0, 100, {_DATE}, 284.0, 4.0, 179.0 FROM ({LINES_SQL}) AS lj WHERE doc_id % 13 <> 0
+UNION ALL SELECT doc_id, page, 1000 + ord * 100 + d * 40, 'ton', 29.0, 2.0, t + 20 * d + 3 FROM ({_TWO}) AS l WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0
+UNION ALL SELECT doc_id, page, 1000 + ord * 100 + d * 40 + 20, 'deriuqer', 29.0, 2.0, t + 20 * d + 10 FROM ({_TWO}) AS m WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0
+"""
+
+
+def _forms(spark, sf):
+    """Words, characters and font maps of whole quotations. The second font lacks a letter; the third, of some, makes names ambiguous."""
+    texts = relation(spark, sf, GLYPHS_SQL)
+    chars = texts.select("doc_id", "page", "ord", "x", "step", "top", F.posexplode(F.split("t", "")).alias("i", "c")).where("c NOT IN ('', ' ')")
+    chars = chars.select("doc_id", "page", (F.col("ord") + F.col("i")).alias("ord"), "c", (F.ascii("c") + 100).alias("code"), (F.col("x") + F.col("i") * F.col("step")).cast("double").alias("x0"), F.col("top").cast("double").alias("top"), F.lit(0.0).alias("size"))
+    chars = kept(chars, "chars")
+    codes = chars.select("doc_id", "page", "c", "code").distinct()
+    font = lambda n, glyph, where: codes.where(where).select("doc_id", "page", F.lit(n).alias("font_id"), "code", glyph.alias("glyph"))
+    maps = font(0, F.col("c"), "doc_id % 17 <> 0 OR page > 0").unionByName(font(1, F.col("c"), "c NOT IN ('a', '2', 'o')"))
+    maps = maps.unionByName(font(2, F.when(F.col("c") == "b", "z").otherwise(F.col("c")), "doc_id % 11 = 0"))
+    return kept(relation(spark, sf, FORMS_SQL), "words"), chars, kept(maps, "maps")
+
+
+def fai_cells(spark, sf):
+    """The choice of every delivery, from the marker's digit or the cell's characters."""
+    words, chars, maps = _forms(spark, sf)
+    return Q.deliveries(words, chars=chars, maps=maps).select("doc_id", "part_ord", "qty_ord", "has_marker", "choice")
+
+
+def rfq_buyers(spark, sf):
+    return Q.buyers(*_forms(spark, sf))
+
+
+def rfq_dates(spark, sf):
+    return Q.submission_dates(*_forms(spark, sf))
+
+
+def quotation_rows(spark, sf):
+    return Q.quotations(*_forms(spark, sf))[0]
+
+
+def quotation_errors(spark, sf):
+    return Q.quotations(*_forms(spark, sf))[1]
+
+
+def quotation_tsv(spark, sf):
+    return Q.export(Q.quotations(*_forms(spark, sf))[0])
+
+
 def valid_dates(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     day = (F.col("o_orderkey") % 33).cast("string")
@@ -189,6 +243,7 @@ QUERIES = {
     for f in (
         word_clean, part_semijoin, part_intervals, qty_range_join, weeks_first_match, fai_marker_digit, rfq_number, nearest_anchor, anchor_boxes, rfq_errors,
         rfq_nest, rfq_flatten, rfq_parent, glyph_lookup, glyph_decode, unique_candidate, glyph_lines, rtl_logical, valid_dates,
+        fai_cells, rfq_buyers, rfq_dates, quotation_rows, quotation_errors, quotation_tsv,
     )
 }
 
@@ -198,7 +253,46 @@ _ANCHOR = """, an AS (
 )"""
 _SPACED = "substr(c_name, 1, 9) || ' ' || substr(c_name, 10)"
 
+_FORMS = _W.replace(f"WITH raw AS ({WORDS_SQL})", f"WITH raw AS ({FORMS_SQL})").replace(
+    "CASE WHEN dig IN ('1', '2', '3') THEN 'FAI ' || dig END AS choice",
+    "CASE WHEN dig IN ('1', '2', '3') THEN 'FAI ' || dig WHEN m_top IS NULL AND doc_id % 3 = 0 AND doc_id % 9 <> 0 AND (page > 0 OR doc_id % 17 <> 0 OR doc_id % 11 = 0) THEN 'not required' END AS choice",
+).rstrip() + _ANCHOR + f""", docs AS (
+  SELECT DISTINCT doc_id, {_NAME} AS name, {_DATE} AS dated FROM ({LINES_SQL}) AS lk
+), fonts AS (
+  SELECT doc_id, 0 AS font_id FROM docs WHERE doc_id % 17 <> 0 UNION ALL SELECT doc_id, 1 FROM docs UNION ALL SELECT doc_id, 2 FROM docs WHERE doc_id % 11 = 0
+), boxed AS (
+  SELECT d.*, a.top AS mail FROM docs d JOIN an a ON a.doc_id = d.doc_id AND a.page = 0
+), buyer AS (
+  SELECT doc_id, substr(name, 1, 2) || ' ' || substr(name, 3) AS buyer FROM boxed JOIN fonts USING (doc_id) WHERE font_id = 0 AND 79 BETWEEN mail - 27 AND mail - 13
+  UNION ALL SELECT doc_id, 'az' || ' ' || substr(name, 3) FROM boxed JOIN fonts USING (doc_id) WHERE font_id = 2 AND 79 BETWEEN mail - 27 AND mail - 13
+), buyers AS (
+  SELECT doc_id, CASE WHEN count(DISTINCT buyer) = 1 THEN min(buyer) END AS buyer, CASE WHEN count(DISTINCT buyer) > 1 THEN 'ambiguous' END AS error FROM buyer GROUP BY doc_id
+), dates AS (
+  SELECT DISTINCT doc_id, dated AS due, NULL::VARCHAR AS error FROM boxed JOIN fonts USING (doc_id) WHERE font_id <> 1 AND doc_id % 13 <> 0 AND 179 BETWEEN mail + 73.5 AND mail + 86.5
+    AND NOT (1 + doc_id % 31 > CASE WHEN 1 + doc_id % 12 = 2 THEN 29 WHEN 1 + doc_id % 12 IN (4, 6, 9, 11) THEN 30 ELSE 31 END)
+), number AS (
+  SELECT doc_id, text AS number FROM words WHERE x0 = 130 AND length(text) = 6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page, ord) = 1
+), wrong AS (
+  SELECT doc_id, min(e) AS e FROM (
+    SELECT doc_id, CASE WHEN weeks IS NULL THEN 'no weeks for ' ELSE 'no FAI value for ' END || part_no AS e FROM done WHERE weeks IS NULL OR choice IS NULL
+    UNION ALL SELECT doc_id, 'no quantity for ' || part_no FROM iv WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.doc_id = iv.doc_id AND done.page = iv.page AND done.part_ord = iv.part_ord)) GROUP BY doc_id
+), judged AS (
+  SELECT d.doc_id, number, b.buyer, t.due, CASE WHEN number IS NULL THEN 'no number' WHEN b.buyer IS NULL THEN 'buyer ' || coalesce(b.error, 'missing')
+    WHEN t.due IS NULL THEN 'date missing' WHEN NOT EXISTS (SELECT 1 FROM iv WHERE iv.doc_id = d.doc_id) THEN 'no parts' ELSE e END AS error
+  FROM docs d LEFT JOIN number USING (doc_id) LEFT JOIN buyers b ON b.doc_id = d.doc_id LEFT JOIN dates t ON t.doc_id = d.doc_id LEFT JOIN wrong w ON w.doc_id = d.doc_id
+), wanted AS (
+  SELECT doc_id, row_no, number, buyer, due, part_no, quantity, weeks_aro, fai FROM flat JOIN judged USING (doc_id) WHERE error IS NULL
+)
+"""
+
 ORACLES = {
+    "fai_cells": _FORMS + "SELECT doc_id, part_ord, qty_ord, m_top IS NOT NULL AS has_marker, choice FROM done",
+    "rfq_buyers": _FORMS + "SELECT * FROM buyers",
+    "rfq_dates": _FORMS + "SELECT * FROM dates",
+    "quotation_rows": _FORMS + "SELECT * FROM wanted",
+    "quotation_errors": _FORMS + "SELECT doc_id, error FROM judged WHERE error IS NOT NULL",
+    "quotation_tsv": _FORMS + """SELECT doc_id, 'line' || chr(9) || 'order no' || chr(9) || 'buyer' || chr(9) || 'submit until' || chr(9) || 'part' || chr(9) || 'quantity' || chr(9) || 'weeks' || chr(9) || 'FAI' || chr(13) || chr(10)
+        || string_agg(concat_ws(chr(9), row_no, number, buyer, due, part_no, quantity, weeks_aro, fai) || chr(13) || chr(10), '' ORDER BY row_no) AS body FROM wanted GROUP BY doc_id""",
     "word_clean": _W + "SELECT doc_id, count(*) AS n_words, sum(top)::DOUBLE AS tops FROM words GROUP BY doc_id",
     "part_semijoin": _W + "SELECT doc_id, page, ord, text FROM part_w",
     "part_intervals": _W + "SELECT doc_id, page, part_no, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM iv",

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import lzma
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,7 +102,7 @@ def sheets_of(raw: bytes, budget: Budget = Budget()) -> list[tuple[str, str, byt
             if not own:
                 raise ValueError(f"no sheet in {_name(report)}")
             found += own
-    except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError) as error:
+    except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, OSError, NotImplementedError, RuntimeError, EOFError) as error:
         raise ValueError("not a ZIP") from error
     if not found:
         raise ValueError("no report")
@@ -112,12 +115,13 @@ def archive_sheets(uploads: DataFrame, budget: Budget = Budget()) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["doc_id", "file_ord", "report", "sheet", "payload", "error"]
         for batch in batches:
+            found = []
             for doc_id, raw in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
-                    found = [(doc_id, i, *x, None) for i, x in enumerate(sheets_of(raw or b"", budget))]
+                    found += [(doc_id, i, *x, None) for i, x in enumerate(sheets_of(raw or b"", budget))]
                 except ValueError as error:
-                    found = [(doc_id, None, None, None, None, str(error))]
-                yield pd.DataFrame(found, columns=columns).astype({"file_ord": "Int32"})
+                    found.append((doc_id, None, None, None, None, str(error)))
+            yield pd.DataFrame(found, columns=columns).astype({"file_ord": "Int32"})
 
     kind = dict(uploads.dtypes)["doc_id"]
     return uploads.select("doc_id", "content").mapInPandas(rows, f"doc_id {kind}, file_ord int, report string, sheet string, payload binary, error string")

@@ -1,4 +1,5 @@
 import io
+import io
 import zipfile
 
 import pytest
@@ -35,6 +36,25 @@ def zipped(files):
     return raw.getvalue()
 
 
+def damaged(files):
+    """An archive whose first member's deflate stream is broken."""
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, content in files.items():
+            archive.writestr(name, content)
+    out = bytearray(raw.getvalue())
+    start = 30 + len(next(iter(files)))
+    out[start : start + 4] = b"\xff\xff\xff\xff"
+    return bytes(out)
+
+
+def test_a_damaged_archive_is_an_error_row(spark):
+    good = zipped({"data/files/PLReport_1.zip": zipped({"a.xls": b"1"})})
+    bad = damaged({"data/files/PLReport_1.zip": zipped({"a.xls": b"1" * 500})})
+    rows = archive_sheets(spark.createDataFrame([(1, good), (2, bad)], "doc_id long, content binary")).collect()
+    assert [(r.doc_id, r.sheet, r.error) for r in sorted(rows, key=lambda r: r.doc_id)] == [(1, "a.xls", None), (2, None, "not a ZIP")]
+
+
 def test_archives(spark):
     report = zipped({"a.xls": b"1", "b.xlsx": b"2", "c.XLS": b"3"})
     product = zipped({"data/files/PLReport_1.zip": report, "./data/files/plreport2.ZIP": report, "data/files/other.zip": b"x"})
