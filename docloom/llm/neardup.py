@@ -151,16 +151,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stored(both, f"{name}-edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), name)
+    old = labels
     while True:
-        known = few(labels)
-        passed = both.join(known.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
-        new = labels.select("node", "label", F.col("label").alias("old")).unionByName(passed.withColumn("old", F.lit(None).cast("long")))
-        new = new.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        new = new.join(known.select(F.col("node").alias("at"), F.col("label").alias("next")), F.col("label") == F.col("at"), "left")
-        new = stored(new.select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), name)
-        labels = new.select("node", "label")
-        if new.where("label < old").isEmpty():
+        for known in (few(labels), None):  # two rounds for each table that is written
+            known = labels if known is None else known
+            passed = both.join(known.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
+            least = labels.unionByName(passed).groupBy("node").agg(F.min("label").alias("label"))
+            ahead = known.select(F.col("node").alias("at"), F.col("label").alias("next"))
+            labels = least.join(ahead, F.col("label") == F.col("at"), "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"))
+        labels = stored(labels, name)
+        if labels.join(old.withColumnRenamed("label", "before"), "node").where("label < before").isEmpty():
             return labels
+        old = labels
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -246,7 +248,7 @@ def may_match(before_a: str, total_a: str, before_b: str, total_b: str, threshol
 def pairs_with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, text_a, text_b): many a meet few b. The texts of a go to those of b; a's are found by broadcast while pairs are few."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(few(pairs), "a")
-    right = texts.join(few(stored(pairs.select(F.col("b").alias("node")).distinct(), "partners")), "node", "left_semi")
+    right = texts.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
     return left.join(right.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
 
