@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, few, stored, table, trimmed
+from .base import documents, small, stored, table, trimmed
 from .neardup import KEYS, SIMILARITY, Check, classes, signatures, weighted_shingles
 from .textarrays import chunks, words
 
@@ -83,9 +83,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, keyed: bool
 
     def texts_of(met: DataFrame) -> DataFrame:
         wanted = stored(nodes.select("node", "doc_id", "text_hash").join(met, "node", "left_semi"), "met")
-        return docs.join(few(wanted), docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])).select("node", "text").dropDuplicates(["node"])
+        return docs.join(small(wanted), docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])).select("node", "text").dropDuplicates(["node"])
 
-    labels = classes(nodes.select("node", F.array(*KEYS).alias("keys")), Check(texts_of, lambda: idf.value, threshold))
+    labels = classes(nodes.select("node", F.array(*KEYS).alias("keys")), Check(texts_of, lambda: idf.value, threshold, small))
     own = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     named = stored(own.join(least, "label").select("node", "class_id", "label"), "classes")

@@ -245,18 +245,21 @@ def may_match(before_a: str, total_a: str, before_b: str, total_b: str, threshol
     return f"least({total_a} - {before_a}, {total_b} - {before_b}) * {1 + threshold} + 1e-6 >= {threshold} * ({total_a} + {total_b})"
 
 
-def pairs_with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, text_a, text_b): many a meet few b. The texts of a go to those of b; a's are found by broadcast while pairs are few."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(few(pairs), "a")
+def pairs_with_texts(pairs: DataFrame, texts: DataFrame, hint: Callable[[DataFrame], DataFrame] = few) -> DataFrame:
+    """(a, b, text_a, text_b): many a meet few b. The texts of a go to those of b; a's are found by broadcast while ``hint`` says so."""
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(hint(pairs), "a")
     right = texts.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
     return left.join(right.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
 
 class Check:
-    """Compares nodes by their texts. ``texts_of`` gives (node, text) of some nodes, ``idf`` the weights of words."""
+    """Compares nodes by their texts. ``texts_of`` gives (node, text) of some nodes, ``idf`` the weights of words.
 
-    def __init__(self, texts_of: Callable[[DataFrame], DataFrame], idf: Callable, threshold: float):
-        self.texts_of, self.idf, self.threshold = texts_of, idf, threshold
+    ``hint`` says which tables of pairs are broadcast: more of them pay where texts are long.
+    """
+
+    def __init__(self, texts_of: Callable[[DataFrame], DataFrame], idf: Callable, threshold: float, hint: Callable[[DataFrame], DataFrame] = few):
+        self.texts_of, self.idf, self.threshold, self.hint = texts_of, idf, threshold, hint
 
     def bind(self, nodes: DataFrame) -> None:
         """Tells once which nodes may be compared: those in a bucket with others."""
@@ -275,7 +278,7 @@ class Check:
                     yield batch.iloc[i:j][["a", "b"]][near]
 
         pairs = stored(pairs, "pairs")
-        return stored(pairs_with_texts(pairs, self.texts).mapInPandas(trimmed(rows), "a long, b long"), "links")
+        return stored(pairs_with_texts(pairs, self.texts, self.hint).mapInPandas(trimmed(rows), "a long, b long"), "links")
 
     def prefixes(self, nodes: DataFrame) -> DataFrame:
         """(key, node, before, total) for each of ``nodes``: the shingles (key) that others have too and that may be the
@@ -285,7 +288,7 @@ class Check:
         count together: that changes the order and lengthens lists, never what is found.
         """
         idf, threshold = self.idf, self.threshold
-        wanted = stored(self.texts.join(few(nodes), "node", "left_semi"), "crowded-texts")
+        wanted = stored(self.texts.join(few(nodes), "node", "left_semi").repartition("node"), "crowded-texts")  # groups of copies lie together
 
         def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(COUNTERS, np.int64)
