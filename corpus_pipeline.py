@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.base import few, small, stored, table, unused
+from docloom.llm.base import small, stored, table, unused
 from docloom.llm.decontaminate import contaminated
 from docloom.llm.langid import label_documents, trained_on
 from docloom.llm.minhash import near_duplicates
@@ -39,7 +39,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id_, hash_, rows = (unused(docs, name) for name in ("_kept", "_hash", "_rows"))
     kept = found.groupBy("class_key").agg(F.min(place).alias("k"), F.count("*").alias(rows))
     kept = stored(kept.select(F.col("k.id").alias(id_), F.col("k.hash").alias(hash_), rows), "kept")
-    joined = docs.join(few(kept), docs["doc_id"].cast("long").eqNullSafe(kept[id_]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(kept[hash_]))
+    joined = docs.join(small(kept), docs["doc_id"].cast("long").eqNullSafe(kept[id_]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(kept[hash_]))
     if kept.where(F.col(rows) > 1).isEmpty():
         return joined.select(*docs.columns)
     again = joined.where(F.col(rows) > 1).select(*docs.columns).dropDuplicates(["doc_id", "text"])
