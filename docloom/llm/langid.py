@@ -248,7 +248,8 @@ def label_documents(docs: DataFrame, model: Model, switch: float = SWITCH, name:
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from trimmed(rows)(batches)
 
-    return docs.withColumn(name, label(F.col("text").cast("string")))
+    # Called nondeterministic, it is run once: else Spark runs it in a filter on its fields and once more for the rows kept.
+    return docs.withColumn(name, label.asNondeterministic()(F.col("text").cast("string")))
 
 
 def trained_on(docs: DataFrame) -> Model:
