@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.base import small, stored, table, unused
+from docloom.llm.base import short_batches, small, stored, table, unused
 from docloom.llm.decontaminate import contaminated
 from docloom.llm.langid import label_documents, trained_on
 from docloom.llm.minhash import near_duplicates
@@ -24,6 +24,7 @@ LANGUAGE_SHARE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts with a language that holds at least LANGUAGE_SHARE of their letters; a null lang gets the language found."""
+    short_batches(spark)
     found = unused(docs, "_language")
     labelled = label_documents(docs, trained_on(docs), name=found)
     kept = labelled.where((F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= LANGUAGE_SHARE))
@@ -34,6 +35,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class: the least doc_id, of rows without one or with the same the
     least hash of the text, and one of equal rows. Rows without a doc_id stay only in classes without any other.
     """
+    short_batches(spark)
     found = stored(near_duplicates(docs, keyed=True), "near-duplicates")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     id_, hash_, rows = (unused(docs, name) for name in ("_kept", "_hash", "_rows"))
@@ -59,6 +61,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents, with personal data masked; n_chars is counted anew."""
+    short_batches(spark)
     masked = mask_pii(docs)
     return masked.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else masked
 
@@ -67,6 +70,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_crc32 and round_trip of every document, under the 32,000-piece model."""
     import public_tokenizers
 
+    short_batches(spark)
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

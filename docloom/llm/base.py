@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: The same for a single column of longs: some tens of MB.
 BROADCAST_KEYS = 2_000_000
+#: Rows of one Arrow batch under ``short_batches``.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,13 @@ def few(df: DataFrame) -> DataFrame:
     return small(df, 20_000)
 
 
+def _give_back() -> None:
+    """Gives freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries give it back themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def trimmed(rows):
     """``rows`` (for mapInPandas or mapInArrow), giving a task's freed memory back to the system when it ends: idle workers stay small."""
 
@@ -75,13 +84,18 @@ def trimmed(rows):
         try:
             yield from rows(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries give it back themselves
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            _give_back()
 
     return run
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Sends at most BATCH_ROWS rows at once to Python from now on: Spark's default of 10,000 whole texts takes much memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until ``df`` has no such column (in any case)."""
     taken = {c.lower() for c in df.columns}

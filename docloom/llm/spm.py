@@ -21,13 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .base import documents, table, trimmed
 from .piececache import PieceCache
-from .textarrays import chunks
+from .textarrays import chunks, slices
 
 _SPACE = "▁"
+#: Characters of texts, and of new pieces, that are handled at a time; each text and each piece whole.
+TEXT_CHARS, LEARNT_CHARS = 500_000, 100_000
 
 
 class _Lookup:
@@ -81,7 +84,7 @@ class Transducer(PieceCache):
         by_text = dict(zip(texts, ids, strict=True))
         self.longest = max(map(len, texts), default=1)
         chars = sorted({c for x in texts for c in x})
-        self.code = np.zeros(0x110000, np.int64)  # of each character in a piece, from 1
+        self.code = np.zeros(0x110000, np.int32)  # of each character in a piece, from 1
         self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.code[ord(" ")] = self.code[ord(_SPACE)]
         number = {c: i + 1 for i, c in enumerate(chars)}
@@ -190,14 +193,19 @@ class Transducer(PieceCache):
         found = self.allowed(key)
         new = np.unique(key[(found < 0) & ~free])
         if len(new):
-            good = np.concatenate([self._pairs(x // self.size, x % self.size) for x in np.array_split(new, len(new) // 20_000 + 1)])
+            good = np.concatenate([self._pairs(x // self.size, x % self.size) for x in np.array_split(new, len(new) // 5_000 + 1)])
             self.allowed.add(new, good.astype(np.int64))
             found = self.allowed(key)
         return free | (found > 0)
 
     def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, of LEARNT_CHARS characters at a time: a lattice takes some hundred bytes for each."""
+        parts = [self._shortest(pieces[a:b]) for a, b in chunks(pieces, LEARNT_CHARS)]
+        return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+
+    def _shortest(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Composes the transducer with many inputs at once and takes each one's shortest path."""
-        if len(self.allowed.keys) > 3_000_000:
+        if len(self.allowed.keys) > 500_000:
             self.allowed = _Lookup(np.zeros(0, np.int64), np.zeros(0, np.int64))
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -288,6 +296,27 @@ def transducer_of(path: str) -> Transducer:
     return Transducer(path)
 
 
+def id_batches(encoder: Transducer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``encode_decode``'s rows of record batches with doc_id and text."""
+    for batch in batches:
+        keys, column = batch.column("doc_id"), batch.column("text")
+        for a, b in slices(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), TEXT_CHARS):
+            texts = column.slice(a, b - a).to_pylist()
+            ids, at = encoder(texts)
+            back = encoder.decode(ids, at)
+            raw = memoryview(ids.astype("<u4").tobytes())
+            yield pa.record_batch(
+                [
+                    keys.slice(a, b - a),
+                    pa.array(np.diff(at)),
+                    pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)),
+                    pa.array([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()),
+                    pa.array([x == (y or "") for x, y in zip(back, texts, strict=True)]),
+                ],
+                names=["doc_id", "n_tokens", "ids", "ids_crc32", "round_trip"],
+            )
+
+
 def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_crc32 and round_trip (the ids decode to the text) for every document.
 
@@ -297,23 +326,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = transducer_of(model_path)
-        for batch in batches:
-            keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                ids, at = encoder(texts[a:b])
-                back = encoder.decode(ids, at)
-                raw = memoryview(ids.astype("<u4").tobytes())
-                yield pa.record_batch(
-                    [
-                        keys.slice(a, b - a),
-                        pa.array(np.diff(at)),
-                        pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)),
-                        pa.array([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()),
-                        pa.array([x == (y or "") for x, y in zip(back, texts[a:b], strict=True)]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids", "ids_crc32", "round_trip"],
-                )
+        yield from id_batches(transducer_of(model_path), batches)
 
     return documents(docs).mapInArrow(trimmed(rows), "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")
 

@@ -54,17 +54,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(texts: list, limit: int = CHUNK_CHARS):
-    """Slices (start, end) of ``texts`` of at most about ``limit`` characters, one text at least."""
+def slices(sizes: list, limit: int):
+    """Slices (start, end) of items of these sizes with about ``limit`` in all at most, one item at least."""
     start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text or "")
+    for i, n in enumerate(sizes):
         if i > start and size + n > limit:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def chunks(texts: list, limit: int = CHUNK_CHARS):
+    """Slices (start, end) of ``texts`` of at most about ``limit`` characters, one text at least."""
+    return slices([len(text or "") for text in texts], limit)
 
 
 def code_points(texts: list) -> tuple[np.ndarray, np.ndarray]:
