@@ -41,6 +41,17 @@ def overlap_area(a: str, b: str) -> Column:
     return F.greatest(width, F.lit(0.0)) * F.greatest(height, F.lit(0.0))
 
 
+def nearest_point(x: Column, y: Column, box: str = "") -> tuple[Column, Column]:
+    """The point of the box that is nearest to (x, y): the point itself where it lies inside."""
+    return F.least(F.greatest(x, F.col(f"{box}x0")), F.col(f"{box}x1")), F.least(F.greatest(y, F.col(f"{box}y0")), F.col(f"{box}y1"))
+
+
+def edge_distance(x: Column, y: Column, box: str = "") -> Column:
+    """How far (x, y) is from the box; 0 inside."""
+    px, py = nearest_point(x, y, box)
+    return F.hypot(px - x, py - y)
+
+
 def clockwise(dx: Column, dy: Column) -> Column:
     """Angle from 12 o'clock, clockwise, in [0, 2 pi); pi at the centre itself."""
     angle = F.atan2(dx, -dy)

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import drawing as D
-from ..functions.geometry import border_label, center, clockwise, micro_angle, title_block
+from ..functions.geometry import border_label, center, clockwise, edge_distance, micro_angle, nearest_point, normalised_box, overlap_area, overlaps, title_block
+from ..functions.text import strip
+from .pages import by_groups
 
 PAGE = ["doc_id", "page"]
 CLUSTER_DISTANCE = 450.0
@@ -81,18 +83,30 @@ def merged_spans(spans: DataFrame, y_gap: float = 1.5, x_gap: float = 6.0) -> Da
     """Neighbours on a line joined, by centre y, then x: ord (of the first), text, box.
 
     A span joins the one before if its centre is within ``y_gap`` and it begins 0 to ``x_gap`` right of it; the
-    comparison is with what has been merged so far, whose box grows. So this is a fold over a page's spans.
+    comparison is with what has been merged so far, whose box grows. So this is a fold over a page's spans; its
+    state is one box, and boxes and texts of the runs that it finds are put together afterwards.
     """
-    item = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("cy"), "x0", "ord", "text", "y0", "x1", "y1")
-    grouped = spans.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("s"))
-    kind = "array<struct<ord: int, text: string, x0: double, y0: double, x1: double, y1: double>>"
-    one = "named_struct('ord', s.ord, 'text', s.text, 'x0', s.x0, 'y0', s.y0, 'x1', s.x1, 'y1', s.y1)"
-    last = "element_at(acc, -1)"
-    joins = f"abs(s.cy - ({last}.y0 + {last}.y1) / 2) <= {y_gap} AND s.x0 - {last}.x1 BETWEEN 0 AND {x_gap}"
-    grown = f"named_struct('ord', {last}.ord, 'text', concat({last}.text, ' ', s.text), 'x0', least({last}.x0, s.x0), 'y0', least({last}.y0, s.y0), 'x1', greatest({last}.x1, s.x1), 'y1', greatest({last}.y1, s.y1))"
-    fold = f"""aggregate(s, cast(array() AS {kind}), (acc, s) -> CASE WHEN size(acc) > 0 AND coalesce({joins}, false)
-        THEN concat(slice(acc, 1, size(acc) - 1), array({grown})) ELSE concat(acc, array({one})) END)"""
-    return grouped.select(*PAGE, F.inline(F.expr(fold)))
+
+    def run_starts(boxes: list[tuple[float, ...]], begins: set[int]) -> list[int]:
+        out, top, right, bottom = [], 0.0, 0.0, 0.0
+        for i, (cy, x0, y0, x1, y1) in enumerate(boxes):
+            if i not in begins and abs(cy - (top + bottom) / 2) <= y_gap and 0 <= x0 - right <= x_gap:
+                top, right, bottom = min(top, y0), max(right, x1), max(bottom, y1)
+            else:
+                out.append(i)
+                top, right, bottom = y0, x1, y1
+        return out
+
+    def pages(rows: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        boxes = list(zip(*(rows[c].tolist() for c in ("_cy", "x0", "y0", "x1", "y1")), strict=True))
+        start = run_starts(boxes, set(cuts))
+        texts, ends = rows["text"].tolist(), [*start[1:], len(rows)]
+        out = rows.iloc[start][[*PAGE, "ord"]].assign(text=[texts[a] if b == a + 1 else " ".join(texts[a:b]) for a, b in zip(start, ends, strict=True)])
+        return out.assign(**{c: take.reduceat(rows[c].to_numpy(), start) for c, take in (("x0", np.minimum), ("y0", np.minimum), ("x1", np.maximum), ("y1", np.maximum))})
+
+    sorted_ = spans.select(*PAGE, F.col("ord").cast("int").alias("ord"), "text", "x0", "y0", "x1", "y1", ((F.col("y0") + F.col("y1")) / 2).alias("_cy"))
+    kinds = ", ".join(f"{c} {t}" for c, t in sorted_.select(*PAGE).dtypes)
+    return by_groups(sorted_, PAGE, ["_cy", "x0", "ord"], pages, f"{kinds}, ord int, text string, x0 double, y0 double, x1 double, y1 double")
 
 
 def dimensions(spans: DataFrame) -> DataFrame:
@@ -113,24 +127,6 @@ def near_pairs(items: DataFrame, distance: float = CLUSTER_DISTANCE) -> DataFram
     return a.join(b, PAGE).where((F.col("a") < F.col("b")) & (dx * dx + dy * dy <= distance * distance)).select(*PAGE, "a", "b")
 
 
-def by_pages(items: DataFrame, order: str, handle, schema: str) -> DataFrame:
-    """``handle(rows, cuts)`` over runs of whole pages, each sorted; page i is rows cuts[i] to cuts[i + 1]."""
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            new = (rows["doc_id"].to_numpy()[1:] != rows["doc_id"].to_numpy()[:-1]) | (rows["page"].to_numpy()[1:] != rows["page"].to_numpy()[:-1])
-            cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
-            if len(cuts) > 1:
-                yield handle(rows.iloc[: cuts[-1]], cuts)
-            held = rows.iloc[cuts[-1] :]
-        if held is not None and len(held):
-            yield handle(held, [0, len(held)])
-
-    return items.repartition(*PAGE).sortWithinPartitions(*PAGE, order).mapInPandas(run, schema)
-
-
 def clustered(items: DataFrame, distance: float = CLUSTER_DISTANCE) -> DataFrame:
     """``items`` with cluster: the least ord of the items linked with it by steps of at most ``distance`` on its page.
 
@@ -161,7 +157,7 @@ def clustered(items: DataFrame, distance: float = CLUSTER_DISTANCE) -> DataFrame
         return rows.assign(cluster=np.concatenate([label(rows.iloc[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes)
-    return by_pages(items, "ord", pages, f"{schema}, cluster int")
+    return by_groups(items, PAGE, ["ord"], pages, f"{schema}, cluster {dict(items.dtypes)['ord']}")
 
 
 def numbered(items: DataFrame) -> DataFrame:
@@ -176,63 +172,138 @@ def numbered(items: DataFrame) -> DataFrame:
     return placed.withColumn("balloon", number).drop("cx", "cy", "mx", "my", "head")
 
 
-RADIUS, STEP, REACH, GAP = 10.0, 5.0, 60.0, 2.0
-
-
-def placed_balloons(items: DataFrame) -> DataFrame:
-    """doc_id, page, balloon, bx, by, leader: where each balloon's circle goes, in order, each avoiding the ones before.
-
-    Dimensions try the 5-point grid within 60 points of their box and the page: overlap with boxes of items and
-    earlier balloons costs 500 a square point, distance its square, and a place level with or above the box
-    saves 500; the first of the best wins. Notes stand 20 points left of their text, moved up by 22 points (at
-    most 40 times) until free. leader tells whether the balloon is more than 25 points from the box's centre.
+# Measures of balloons in points and the weights of a place's score.
+RADIUS, GAP = 10.0, 2.0
+#: Half a balloon's square, and the distance of centres from which two balloons don't collide.
+HALF, CLEAR = RADIUS + 2.0, 2 * RADIUS + GAP
+#: The grid of places: its step, and how far around the box it reaches.
+STEP, REACH = 5.0, 60.0
+#: What a square point of overlap costs, and what a place level with the box or above or below it saves.
+OVERLAP_COST, BAND_GAIN = 500.0, 500.0
+#: A balloon farther than this from its box's centre has a leader.
+LEADER_DISTANCE = 25.0
+#: Notes stand so far left of their text; a place without a grid is so far right of the box; steps that a note moves at most.
+NOTE_LEFT, ASIDE, NOTE_MOVES = 20.0, 16.0, 40
+
+
+def _grid(low: float, high: float, size: float) -> np.ndarray:
+    first, last = max(HALF, low - REACH), min(size - HALF, high + REACH)
+    return first + STEP * np.arange(max(0, math.floor((last + 1e-9 - first) / STEP) + 1))
+
+
+def _covered(centres: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How much of each interval (rows) a balloon's square at each centre (columns) covers."""
+    return np.clip(np.minimum(centres + HALF, high[:, None]) - np.maximum(centres - HALF, low[:, None]), 0, None)
+
+
+def _dimension_place(box: np.ndarray, texts: np.ndarray, earlier: np.ndarray, w: float, h: float) -> tuple[float, float]:
+    x0, y0, x1, y1 = box
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    xs, ys = _grid(x0, x1, w), _grid(y0, y1, h)
+    if not len(xs) or not len(ys):
+        return max(HALF, x1 + ASIDE), max(HALF, my)
+    near = (texts[:, 0] <= xs[-1] + HALF) & (texts[:, 2] >= xs[0] - HALF) & (texts[:, 1] <= ys[-1] + HALF) & (texts[:, 3] >= ys[0] - HALF)
+    boxes = np.vstack([texts[near], box])
+    # Overlap with all boxes at all places: widths times heights, summed over boxes.
+    overlap = _covered(xs, boxes[:, 0], boxes[:, 2]).T @ _covered(ys, boxes[:, 1], boxes[:, 3])
+    close = earlier[(earlier[:, 0] > xs[0] - CLEAR) & (earlier[:, 0] < xs[-1] + CLEAR) & (earlier[:, 1] > ys[0] - CLEAR) & (earlier[:, 1] < ys[-1] + CLEAR)]
+    for px, py in close:
+        overlap += CLEAR * CLEAR * (np.hypot((xs - px)[:, None], ys - py) < CLEAR)
+    band = ((ys >= y0) & (ys <= y1)) | ((xs >= x0) & (xs <= x1))[:, None]
+    cost = overlap * OVERLAP_COST + ((xs - mx) ** 2)[:, None] + (ys - my) ** 2 - BAND_GAIN * band
+    i, j = np.unravel_index(cost.argmin(), cost.shape)  # columns of places from left to right, each from top to bottom
+    return float(xs[i]), float(ys[j])
+
+
+def _note_place(box: np.ndarray, earlier: np.ndarray, w: float, h: float) -> tuple[float, float]:
+    bx = max(HALF, min(w - HALF, box[0] - NOTE_LEFT))
+    by = max(HALF, min(h - HALF, (box[1] + box[3]) / 2))
+    level = earlier[np.abs(earlier[:, 0] - bx) < CLEAR]
+    for _ in range(NOTE_MOVES):
+        if not (np.hypot(level[:, 0] - bx, level[:, 1] - by) < CLEAR).any():
+            break
+        by = max(HALF, min(h - HALF, by - CLEAR))
+    return bx, by
+
+
+def placed_balloons(items: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, balloon, bx, by, leader: where the balloons of ``items`` (numbered, with w, h) go, one after another.
+
+    Dimensions try the grid of places within REACH of their box on the page. A place costs its squared
+    distance from the box's centre, and OVERLAP_COST for each square point of overlap with the boxes of ``spans`` (all
+    texts of the page), with the item's box once more, and with a square of CLEAR for each earlier balloon nearer
+    than that; BAND_GAIN is saved in line with the box. The least cost wins, of equal ones the leftmost, then the topmost
+    place. Without a place on the page a balloon goes to the right of its box. Notes stand left of their text
+    and move up, at most NOTE_MOVES times and not beyond the page, until no earlier balloon is near. leader tells whether a
+    dimension's balloon is more than LEADER_DISTANCE from its box's centre. Pages of ``spans`` without items have no row;
+    without ``spans`` the items' boxes stand for them.
     """
-
-    def page(rows: pd.DataFrame) -> list[tuple]:
-        boxes = rows[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        w, h = float(rows["w"].iloc[0]), float(rows["h"].iloc[0])
-        taken = [*map(tuple, boxes)]
-        out = []
-        for kind, (x0, y0, x1, y1) in zip(rows["kind"], boxes, strict=True):
-            mx, my = (x0 + x1) / 2, (y0 + y1) / 2
-            around = np.array(taken)
-            if kind == "Note":
-                bx, by = min(max(x0 - 20.0, RADIUS), w - RADIUS), min(max(my, RADIUS), h - RADIUS)
-                earlier = np.array(taken[len(boxes) :]).reshape(-1, 4)
-                for _ in range(40):
-                    hit = (earlier[:, 0] < bx + RADIUS) & (earlier[:, 2] > bx - RADIUS) & (earlier[:, 1] < by + RADIUS) & (earlier[:, 3] > by - RADIUS)
-                    if not hit.any() or by - 2 * RADIUS - GAP < RADIUS:
-                        break
-                    by -= 2 * RADIUS + GAP
-            else:
-                xs = np.arange(max(x0 - REACH, RADIUS), min(x1 + REACH, w - RADIUS) + 1e-9, STEP)
-                ys = np.arange(max(y0 - REACH, RADIUS), min(y1 + REACH, h - RADIUS) + 1e-9, STEP)
-                if not len(xs) or not len(ys):
-                    bx, by = min(max(mx, RADIUS), max(w - RADIUS, RADIUS)), min(max(my, RADIUS), max(h - RADIUS, RADIUS))
-                else:
-                    gy, gx = np.meshgrid(ys, xs, indexing="ij")
-                    gx, gy = gx.ravel(), gy.ravel()
-                    cost = (gx - mx) ** 2 + (gy - my) ** 2
-                    for a, b, c, d in around:
-                        cost += 500.0 * np.clip(np.minimum(gx + RADIUS, c) - np.maximum(gx - RADIUS, a), 0, None) * np.clip(np.minimum(gy + RADIUS, d) - np.maximum(gy - RADIUS, b), 0, None)
-                    cost -= 500.0 * (((gy >= y0) & (gy <= y1)) | ((gx >= x0) & (gx <= x1)))
-                    best = int(cost.argmin())
-                    bx, by = gx[best], gy[best]
-            taken.append((bx - RADIUS - GAP / 2, by - RADIUS - GAP / 2, bx + RADIUS + GAP / 2, by + RADIUS + GAP / 2))
-            out.append((bx, by, math.hypot(bx - mx, by - my) > 2.5 * RADIUS))
-        return out
+    spans = items if spans is None else spans
+    corners = ["x0", "y0", "x1", "y1"]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("balloon", "long"), ("kind", "string"), ("w", "double"), ("h", "double"))]
+    both = items.select(*PAGE, *corners, F.col("balloon").cast("long").alias("balloon"), "kind", F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h"))
+    both = both.unionByName(spans.join(items.select(*PAGE).distinct(), PAGE, "left_semi").select(*PAGE, *corners, *none))
+
+    def page(kinds: list, boxes: np.ndarray, size: np.ndarray, n_texts: int) -> tuple[np.ndarray, list[bool]]:
+        texts, placed, leaders = boxes[:n_texts], np.empty((len(boxes) - n_texts, 2)), []
+        for k in range(len(placed)):
+            box, (w, h) = boxes[n_texts + k], size[n_texts + k]
+            note = kinds[n_texts + k] == "Note"
+            placed[k] = _note_place(box, placed[:k], w, h) if note else _dimension_place(box, texts, placed[:k], w, h)
+            far = math.hypot(placed[k, 0] - (box[0] + box[2]) / 2, placed[k, 1] - (box[1] + box[3]) / 2)
+            leaders.append(not note and far > LEADER_DISTANCE)
+        return placed, leaders
 
     def pages(rows: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
-        out = [x for a, b in zip(cuts[:-1], cuts[1:], strict=True) for x in page(rows.iloc[a:b])]
-        return rows[["doc_id", "page", "balloon"]].assign(bx=[x[0] for x in out], by=[x[1] for x in out], leader=[x[2] for x in out])
+        boxes, size, kinds = rows[corners].to_numpy(float), rows[["w", "h"]].to_numpy(float), rows["kind"].tolist()
+        is_item = rows["balloon"].notna().to_numpy()
+        found = [page(kinds[a:b], boxes[a:b], size[a:b], int((~is_item[a:b]).sum())) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = rows.loc[is_item, [*PAGE, "balloon"]]
+        places = np.concatenate([x for x, _ in found])
+        return out.assign(balloon=out["balloon"].astype("int64"), bx=places[:, 0], by=places[:, 1], leader=[x for _, own in found for x in own])
 
-    return by_pages(items, "balloon", pages, "doc_id long, page int, balloon long, bx double, by double, leader boolean")
+    return by_groups(both, PAGE, ["balloon"], pages, "doc_id long, page int, balloon long, bx double, by double, leader boolean")
 
 
 def leader_lines(placed: DataFrame, items: DataFrame) -> DataFrame:
     """From the rim of each balloon with a leader to the nearest point of its box, where that is farther than the rim."""
     joined = placed.where("leader").join(items.select(*PAGE, "balloon", "x0", "y0", "x1", "y1"), [*PAGE, "balloon"])
-    joined = joined.withColumn("tx", F.least(F.greatest("bx", "x0"), "x1")).withColumn("ty", F.least(F.greatest("by", "y0"), "y1"))
-    far = F.hypot(F.col("tx") - F.col("bx"), F.col("ty") - F.col("by"))
-    joined = joined.withColumn("far", far).where(F.col("far") > RADIUS + 0.5)
+    tx, ty = nearest_point(F.col("bx"), F.col("by"))
+    joined = joined.withColumn("tx", tx).withColumn("ty", ty).withColumn("far", edge_distance(F.col("bx"), F.col("by"))).where(F.col("far") > RADIUS + 0.5)
     return joined.select(*PAGE, "balloon", (F.col("bx") + (F.col("tx") - F.col("bx")) * RADIUS / F.col("far")).alias("sx"), (F.col("by") + (F.col("ty") - F.col("by")) * RADIUS / F.col("far")).alias("sy"), "tx", "ty")
+
+
+def span_boxes(pages: DataFrame) -> DataFrame:
+    """Spans of nested ``pages``: doc_id, page, blocks (kind, lines (spans (text, x0, y0, x1, y1, size))), in reading order as ord.
+
+    Blocks of a kind other than 0 hold no text. Texts are trimmed, blank ones are left out and don't count in ord;
+    null arrays hold nothing. The page's arrays are unnested three times by position, so ord is
+    the place among the page's spans whatever the rows' order.
+    """
+    blocks = pages.select(*PAGE, F.posexplode("blocks").alias("b", "block")).where("block.kind = 0")
+    lines = blocks.select(*PAGE, "b", F.posexplode("block.lines").alias("l", "line"))
+    found = lines.select(*PAGE, "b", "l", F.posexplode("line.spans").alias("s", "span"))
+    found = found.select(*PAGE, "b", "l", "s", strip(F.col("span.text")).alias("text"), "span.x0", "span.y0", "span.x1", "span.y1", F.coalesce("span.size", F.lit(0.0)).alias("size")).where("text <> ''")
+    order = Window.partitionBy(*PAGE).orderBy("b", "l", "s")
+    return found.select(*PAGE, (F.row_number().over(order) - 1).alias("ord"), "text", "x0", "y0", "x1", "y1", "size")
+
+
+def page_boxes(spans: DataFrame, drawings: DataFrame, sizes: DataFrame) -> DataFrame:
+    """doc_id, page, kind (text, drawing), ord, box: all boxes of a page in one relation, those of ``drawings`` put in order.
+
+    Drawings that are dots or frame the page are left out, thin ones are widened (``normalised_box``).
+    """
+    keep, box = normalised_box()
+    shapes = on_pages(drawings, sizes).where(keep).select(*PAGE, F.lit("drawing").alias("kind"), "ord", box.alias("b")).select(*PAGE, "kind", "ord", "b.*")
+    return spans.select(*PAGE, F.lit("text").alias("kind"), "ord", "x0", "y0", "x1", "y1").unionByName(shapes)
+
+
+def crossed_texts(boxes: DataFrame) -> DataFrame:
+    """For each text of ``page_boxes``: how many drawings touch its box, their area on it, and how near the nearest touching one's edge is to the text's centre."""
+
+    def side(name: str, kind: str) -> DataFrame:
+        return boxes.where(F.col("kind") == kind).select(*PAGE, *(F.col(c).alias(f"{name}_{c}") for c in ("ord", "x0", "y0", "x1", "y1")))
+
+    met = side("t", "text").join(side("d", "drawing"), PAGE).where(overlaps("t", "d"))
+    away = edge_distance(center("t_x0", "t_x1"), center("t_y0", "t_y1"), "d_")
+    return met.groupBy(*PAGE, F.col("t_ord").alias("ord")).agg(F.count("*").alias("n"), F.sum(overlap_area("t", "d")).alias("area"), F.min(away).alias("nearest"))

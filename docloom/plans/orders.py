@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import anchored_name, capture, number_before, strip
+from ..functions.text import anchored_name, blank_sentinel, capture, number_before, strip
+from ..sinks import number_text
 
 
 @dataclass(frozen=True)
@@ -107,3 +108,22 @@ def orders(texts: DataFrame, labels: Labels = Labels(), fallback=None) -> tuple[
     rows = summed(inherit_last_revision(items))
     named = rows.join(good.select("doc_id", "number", F.coalesce("customer", F.lit("")).alias("customer"), "buyer"), "doc_id")
     return named.select("doc_id", "no", "sku", "qty", "revision", "number", "customer", "buyer"), rest
+
+
+#: Labels of the three lines above an exported order, and of its columns.
+EXPORT_HEAD = {"number": "order no", "customer": "customer", "buyer": "to"}
+EXPORT_COLUMNS = {"sku": "supplier item", "qty": "required quantity", "revision": "revision"}
+
+
+def export_lines(heads: DataFrame, items: DataFrame, sentinel: str = "-", head: dict[str, str] = EXPORT_HEAD, columns: dict[str, str] = EXPORT_COLUMNS) -> DataFrame:
+    """doc_id, line_no, line: the text of each order for ``write_documents``: labelled head, empty line, columns, one line per item as it was read.
+
+    The head's lines end with line feeds, the others as the writer ends them. A revision that is missing, or the ``sentinel``
+    for a missing one, is left empty. Orders without items have no lines.
+    """
+    labelled = F.concat_ws("\n", *[F.concat(F.lit(f"{label}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c, label in head.items()])
+    top = heads.join(items.select("doc_id").distinct(), "doc_id", "left_semi")
+    top = top.select("doc_id", F.lit(0).alias("line_no"), F.concat(labelled, F.lit("\n\n" + "\t".join(columns.values()))).alias("line"))
+    shown = items.withColumn("qty", number_text(F.col("qty"))).withColumn("revision", F.coalesce(blank_sentinel(F.col("revision"), sentinel), F.lit("")))
+    cells = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return top.unionByName(shown.select("doc_id", F.col("line_ord").cast("int").alias("line_no"), cells.alias("line")))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_at, header_cell
+from ..sources.adapters import CELLS, Decoder, decoded
+from ..sources.archive import Budget, archive_sheets
+from ..sources.kept import kept
 
 #: Fixed column names of a part list, as normalised.
 COLUMNS = ("operation sequence", "component item", "qty")
@@ -53,17 +56,49 @@ def errors(found: DataFrame) -> DataFrame:
     return files.select(*FILE, error.alias("error")).where("error IS NOT NULL")
 
 
-def part_list(cells: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, counts, errors) of archives; ``parents`` has doc_id and parent. An archive with an error gives no rows.
-
-    Files of the parent part (in any case; a blank parent is none's) come first, both halves in file order.
-    """
-    found = scanned(cells)
-    bad = errors(found)
+def _listed(found: DataFrame, bad: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts) of the scanned files of archives that aren't in ``bad``."""
     good = found.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").join(parents, "doc_id", "left")
     matched = F.coalesce((F.upper("part_no") == F.upper("parent")) & (F.col("parent") != ""), F.lit(False))
     good = good.withColumn("matched", matched)
     counts = good.groupBy("doc_id").agg(F.count_distinct("file_ord").alias("n_files"), F.count_distinct(F.when(F.col("matched"), F.col("file_ord"))).alias("n_matched"))
     rows = components(good).join(good.select(*FILE, "matched").distinct(), FILE)
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("matched"), "file_ord", "row_idx")).cast("long")
-    return rows.select("doc_id", number.alias("row_no"), "part_no", "operation_sequence", "component_item", "qty", "matched"), counts, bad
+    return rows.select("doc_id", number.alias("row_no"), "part_no", "operation_sequence", "component_item", "qty", "matched"), counts
+
+
+def part_list(cells: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, counts, errors) of archives; ``parents`` has doc_id and parent. An archive with an error gives no rows.
+
+    Files of the parent part (in any case; a blank parent is none's) come first, both halves in file order. The scanned
+    cells are written once in the shared folder: errors, counts and rows read them.
+    """
+    found = kept(scanned(cells), "part-list-scan")
+    bad = errors(found)
+    rows, counts = _listed(found, bad, parents)
+    return rows, counts, bad
+
+
+def archive_part_lists(uploads: DataFrame, parents: DataFrame, decoder: Decoder, budget: Budget = Budget()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, counts, errors) from uploads (doc_id, content) to numbered component rows, the parent part's files first.
+
+    ``decoder`` turns a sheet's bytes into CELLS; ``parents`` has doc_id and parent, for instance the first parts of the quotations.
+    An upload fails as a whole, with all errors of the first stage that has any: first its archives (a bad report doesn't hide
+    another), then its sheets, read and scanned (a bad sheet doesn't hide another). counts: n_reports, n_files (sheets), n_matched.
+    errors: doc_id, file (report/sheet, NULL for the archives' errors, which name their report), error.
+    Archives are opened and sheets decoded once; the cells are written in the shared folder and all else reads them.
+    """
+    sheets = archive_sheets(uploads, budget)
+    cells = kept(decoded(sheets, decoder, CELLS, "payload"), "part-list-cells")
+    file = F.concat_ws("/", F.element_at(F.split("report", "/"), -1), F.element_at(F.split("sheet", "/"), -1))
+    in_archive = cells.where("error IS NOT NULL").select("doc_id", F.lit(None).cast("string").alias("file"), "error")
+    opened = cells.where("error IS NULL").join(in_archive.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("file", file)
+    unread = opened.where("decode_error IS NOT NULL").select("doc_id", "file", F.col("decode_error").alias("error"))
+    # A sheet without any row has one without cells: it lacks its part number.
+    grid = opened.where("decode_error IS NULL").select(*FILE, "report", "file", F.coalesce("row_idx", F.lit(0)).alias("row_idx"), F.coalesce("cells", F.array().cast("array<string>")).alias("cells"))
+    found = kept(scanned(grid), "part-list-scan")
+    in_grid = errors(found).join(found.select(*FILE, "file").distinct(), FILE).select("doc_id", "file", "error")
+    bad = kept(in_archive.unionByName(unread).unionByName(in_grid), "part-list-errors")
+    rows, counts = _listed(found, bad, parents)
+    reports = found.groupBy("doc_id").agg(F.count_distinct("report").alias("n_reports"))
+    return rows, counts.join(reports, "doc_id").select("doc_id", "n_reports", "n_files", "n_matched"), bad

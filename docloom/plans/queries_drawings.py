@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import drawing as D
 from ..functions.geometry import border_label, title_block
 from ..operators import spans as S
+from ..sinks import csv_body
 from ..sources.derived import LINES_SQL, relation
 from . import drawings as P
 
@@ -22,6 +23,29 @@ FROM ({LINES_SQL}) AS li
 """
 SIZES_SQL = "SELECT o_orderkey AS doc_id, page, 1000.0 AS w, CAST(800.0 + page AS DOUBLE) AS h FROM orders CROSS JOIN (SELECT 0 AS page UNION ALL SELECT 1 AS page) AS p "
 
+#: Shapes drawn on the same pages: some with corners the wrong way round, thin lines, dots, and the page's frame.
+DRAWINGS_SQL = f"""
+SELECT doc_id, page, ord, CASE WHEN ord % 3 = 0 THEN x1 + 15 WHEN ord % 11 = 5 THEN 10.0 ELSE x0 - 15 END AS x0, CASE WHEN ord % 11 = 5 THEN 5.0 ELSE y0 + 2 END AS y0,
+  CASE WHEN ord % 3 = 0 THEN x0 - 15 WHEN ord % 7 = 4 THEN x0 - 14.75 WHEN ord % 11 = 5 THEN 980.0 ELSE x1 + 60 END AS x1,
+  CASE WHEN ord % 7 = 4 THEN y0 + 2.25 WHEN ord % 5 = 2 THEN y0 + 2 WHEN ord % 11 = 5 THEN 790.0 ELSE y0 - 40 END AS y1
+FROM ({SPANS_SQL}) AS sp
+"""
+#: Spans with a tolerance table beside each fifth order's: a header low on the page, and rows of a label and values.
+TABLED_SQL = f"""
+SELECT * FROM ({SPANS_SQL}) AS sp
+UNION ALL SELECT doc_id, 0, 500, 'General tolerances', 300.0, 600.0, 380.0, 608.0, 8.0 FROM (SELECT DISTINCT doc_id FROM ({SPANS_SQL}) AS sq) AS d WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, 0, 510 + ord * 10, CASE ord % 3 WHEN 0 THEN 'X.XX' WHEN 1 THEN 'ANGLES' ELSE 'A' END, 300.0, 610.0 + 12 * ord, 325.0, 618.0 + 12 * ord, 8.0 FROM ({SPANS_SQL}) AS sr WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, 0, 511 + ord * 10, CASE part % 3 WHEN 0 THEN '±0.1' WHEN 1 THEN '25' ELSE '0.01' END, 320.0 + supp % 4 * 5, 611.0 + 12 * ord, 350.0, 619.0 + 12 * ord, 8.0
+  FROM (SELECT s.doc_id, s.ord, li.part, li.supp FROM ({SPANS_SQL}) AS s JOIN ({LINES_SQL}) AS li ON li.doc_id = s.doc_id AND li.ord = s.ord) AS st WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, 0, 512 + ord * 10, '10.5', 360.0, 609.0 + 12 * ord, 390.0, 617.0 + 12 * ord, 8.0 FROM ({SPANS_SQL}) AS su WHERE doc_id % 5 = 0 AND ord % 2 = 0
+"""
+#: The place of each span in nested pages: its block, the block's kind, its line, and its text with blanks around it or blank.
+NESTED_SQL = f"""
+SELECT doc_id, page, CAST(ord % 3 AS INT) AS b, CASE WHEN (doc_id + ord % 3) % 5 = 0 THEN 1 ELSE 0 END AS kind, CAST(floor(ord / 3.0) % 2 AS INT) AS l, ord,
+  CASE WHEN ord % 11 = 3 THEN '  ' ELSE concat(' ', text, CASE WHEN ord % 2 = 0 THEN ' ' ELSE '' END) END AS text, x0, y0, x1, y1, CAST(size AS DOUBLE) AS size
+FROM ({SPANS_SQL}) AS sp
+"""
+
 _S = f"""
 WITH RECURSIVE spans AS ({SPANS_SQL}), full_spans AS (
   SELECT *, 1000.0 AS w, 800.0 + page AS h, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM spans
@@ -96,7 +120,9 @@ def tol_rows(spark, sf):
 
 
 def tol_items(spark, sf):
-    return S.tolerance_items(S.banded_rows(_block(spark, sf).where("in_block"))).select("doc_id", "page", "ord", "text")
+    every = S.on_pages(relation(spark, sf, TABLED_SQL), relation(spark, sf, SIZES_SQL))
+    block = S.in_tolerance_block(every, S.tolerance_anchor(every)).where("in_block")
+    return S.tolerance_items(S.banded_rows(block)).select("doc_id", "page", "ord", "text")
 
 
 def notes_until_gap(spark, sf):
@@ -151,20 +177,58 @@ def clockwise_number(spark, sf):
     return items.select("doc_id", "page", "balloon", "kind", "text", "tolerance")
 
 
+def number_spans(spark, sf):
+    """All spans as items: numbered clockwise, clusters first."""
+    items = S.clustered(_spans(spark, sf), 100.0)
+    return S.numbered(S.on_pages(items, relation(spark, sf, SIZES_SQL)))
+
+
+def number_clockwise(spark, sf):
+    return number_spans(spark, sf).select("doc_id", "page", "ord", "balloon")
+
+
+def inspection_csv(spark, sf):
+    nominal, tolerance = D.split_tolerance(F.col("text"))
+    rows = number_spans(spark, sf).select("doc_id", "balloon", nominal.alias("text"), D.dimension_kind(F.col("text")).alias("kind"), tolerance.alias("tolerance"))
+    return csv_body(rows, "doc_id", "balloon", P.EXPORT)
+
+
 def placement_rows(spark, sf):
-    return S.placed_balloons(P.inspection(_spans(spark, sf), relation(spark, sf, SIZES_SQL)))
+    return P.balloons(_spans(spark, sf), relation(spark, sf, SIZES_SQL))[1]
 
 
 def leader_lines(spark, sf):
-    items = P.inspection(_spans(spark, sf), relation(spark, sf, SIZES_SQL))
-    return S.leader_lines(S.placed_balloons(items), items)
+    items, placed = P.balloons(_spans(spark, sf), relation(spark, sf, SIZES_SQL))
+    return S.leader_lines(placed, items)
+
+
+def span_unnest(spark, sf):
+    nested = relation(spark, sf, NESTED_SQL)
+    span = F.struct("ord", "text", "x0", "y0", "x1", "y1", "size")
+    lines = nested.groupBy("doc_id", "page", "b", "kind", "l").agg(F.struct(F.array_sort(F.collect_list(span)).alias("spans")).alias("line"))
+    blocks = lines.groupBy("doc_id", "page", "b", "kind").agg(F.array_sort(F.collect_list(F.struct("l", "line"))).alias("ls"))
+    block = F.struct("b", F.struct("kind", F.transform("ls", lambda x: x["line"]).alias("lines")).alias("block"))
+    pages = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(block)).alias("bs"))
+    return S.span_boxes(pages.select("doc_id", "page", F.transform("bs", lambda x: x["block"]).alias("blocks")))
+
+
+def _boxes(spark, sf):
+    return S.page_boxes(_spans(spark, sf), relation(spark, sf, DRAWINGS_SQL), relation(spark, sf, SIZES_SQL))
+
+
+def page_boxes(spark, sf):
+    return _boxes(spark, sf)
+
+
+def crossed_texts(spark, sf):
+    return S.crossed_texts(_boxes(spark, sf)).select("doc_id", "page", "ord", "n", "area", F.round("nearest", 6).alias("nearest"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         span_filter, tol_header, tol_rows, tol_items, notes_until_gap, bbox_antijoin, span_merge, tol_split, dim_classify, pair_distance,
-        components, centroid, inspection_items, clockwise_number, placement_rows, leader_lines,
+        components, centroid, inspection_items, clockwise_number, number_clockwise, inspection_csv, placement_rows, leader_lines, span_unnest, page_boxes, crossed_texts,
     )
 }
 
@@ -186,11 +250,32 @@ WITH RECURSIVE s AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM ({S
 )
 """
 
+_NUMBERED = _NEAR.rstrip() + """, heart AS (
+  SELECT doc_id, page, cluster, avg(cx) AS mx, avg(cy) AS my, min(ord) AS head FROM s JOIN comp USING (doc_id, page, ord) GROUP BY ALL
+), away AS (
+  SELECT s.*, cluster, head, mx - 500 AS px, my - (800 + page) / 2 AS py, cx - mx AS ix, cy - my AS iy FROM s JOIN comp USING (doc_id, page, ord) JOIN heart USING (doc_id, page, cluster)
+), turned AS (
+  SELECT *, CASE WHEN px = 0 AND py = 0 THEN pi() WHEN atan2(px, -py) < 0 THEN atan2(px, -py) + 2 * pi() ELSE atan2(px, -py) END AS macro,
+    CASE WHEN atan2(iy, ix) + pi() / 2 < 0 THEN atan2(iy, ix) + 2.5 * pi() WHEN ix = 0 AND iy = 0 THEN pi() / 2 ELSE atan2(iy, ix) + pi() / 2 END AS micro FROM away
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, round(macro, 9), round(sqrt(px * px + py * py), 6), head, round(micro, 9), round(sqrt(ix * ix + iy * iy), 6), ord) AS balloon FROM turned
+)
+"""
+_BOXES = f"""
+WITH shapes AS (
+  SELECT doc_id, page, ord, least(x0, x1) AS a, least(y0, y1) AS b, greatest(x0, x1) AS c, greatest(y0, y1) AS d FROM ({DRAWINGS_SQL})
+), boxes AS (
+  SELECT doc_id, page, 'text' AS kind, ord, x0, y0, x1, y1 FROM ({SPANS_SQL}) UNION ALL
+  SELECT doc_id, page, 'drawing', ord, CASE WHEN c - a < 0.5 THEN a - 0.5 ELSE a END, CASE WHEN d - b < 0.5 THEN b - 0.5 ELSE b END, CASE WHEN c - a < 0.5 THEN c + 0.5 ELSE c END, CASE WHEN d - b < 0.5 THEN d + 0.5 ELSE d END
+  FROM shapes WHERE (c - a >= 0.5 OR d - b >= 0.5) AND (c - a < 900 OR d - b < 0.9 * (800 + page))
+)
+"""
+
 ORACLES = {
     "span_filter": _S + "SELECT doc_id, ord, border, title FROM flags",
     "tol_header": _S + "SELECT doc_id, page, b.x AS hx, b.y AS hy FROM head",
     "tol_rows": _S + "SELECT doc_id, page, ord, row_no::BIGINT AS row_no FROM rows_",
-    "tol_items": _S + "SELECT doc_id, page, v.o AS ord, v.t AS text FROM tol",
+    "tol_items": _S.replace(f"spans AS ({SPANS_SQL})", f"spans AS ({TABLED_SQL})", 1) + "SELECT doc_id, page, v.o AS ord, v.t AS text FROM tol",
     "notes_until_gap": _S + "SELECT doc_id, page, ord, text FROM notes",
     "bbox_antijoin": _S + "SELECT doc_id, page, count(*) AS n, sum(ord)::BIGINT AS ords FROM free GROUP BY ALL",
     "span_merge": _S + "SELECT * FROM merged",
@@ -198,5 +283,14 @@ ORACLES = {
     "dim_classify": f"WITH {_TABLE} SELECT doc_id, ord, stamp, hint, good, kind FROM ({SPANS_SQL}) JOIN known USING (text)",
     "pair_distance": _NEAR + "SELECT doc_id, page, a, b FROM edge WHERE a < b",
     "components": _NEAR + "SELECT doc_id, page, ord, cluster FROM comp",
+    "number_clockwise": _NUMBERED + "SELECT doc_id, page, ord, balloon FROM numbered",
+    "inspection_csv": _NUMBERED.replace("WITH RECURSIVE", f"WITH RECURSIVE {_TABLE},", 1) + """SELECT doc_id, '"no","text","kind","tolerance","found"' || chr(13) || chr(10) ||
+        string_agg('"' || balloon || '","' || nominal || '","' || kind || '","' || tolerance || '",""' || chr(13) || chr(10), '' ORDER BY balloon) AS body FROM numbered JOIN known USING (text) GROUP BY doc_id""",
+    "span_unnest": f"""SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY b, l, ord) - 1)::INTEGER AS ord, trim(text) AS text, x0, y0, x1, y1, size::DOUBLE AS size
+        FROM ({NESTED_SQL}) WHERE kind = 0 AND trim(text) <> ''""",
+    "page_boxes": _BOXES + "SELECT * FROM boxes",
+    "crossed_texts": _BOXES + """SELECT t.doc_id, t.page, t.ord, count(*) AS n, sum((least(t.x1, d.x1) - greatest(t.x0, d.x0)) * (least(t.y1, d.y1) - greatest(t.y0, d.y0))) AS area,
+        round(min(sqrt(greatest(d.x0 - (t.x0 + t.x1) / 2, (t.x0 + t.x1) / 2 - d.x1, 0) ** 2 + greatest(d.y0 - (t.y0 + t.y1) / 2, (t.y0 + t.y1) / 2 - d.y1, 0) ** 2)), 6) AS nearest
+        FROM boxes t JOIN boxes d ON d.doc_id = t.doc_id AND d.page = t.page AND t.kind = 'text' AND d.kind = 'drawing' AND d.x0 <= t.x1 AND t.x0 <= d.x1 AND d.y0 <= t.y1 AND t.y0 <= d.y1 GROUP BY ALL""",
     "centroid": _NEAR + "SELECT doc_id, page, cluster, round(avg(cx), 6) AS mx, round(avg(cy), 6) AS my, min(x0) AS left, max(y1) AS bottom FROM s JOIN comp USING (doc_id, page, ord) GROUP BY ALL",
 }

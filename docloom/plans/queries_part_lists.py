@@ -125,7 +125,7 @@ def archive_sheets(spark, sf):
 
 
 def archive_errors(spark, sf):
-    return A.archive_sheets(_uploads(spark, sf)).where("error IS NOT NULL").select("doc_id", F.regexp_extract("error", "^(not a ZIP|no sheet)", 1).alias("error"))
+    return A.archive_sheets(_uploads(spark, sf)).where("error IS NOT NULL").select("doc_id", F.regexp_extract("error", "^(not a ZIP|no sheet)", 1).alias("error")).distinct()
 
 
 QUERIES = {f.__name__: f for f in (plr_header_scan, plr_rows, plr_parent_first, plr_counts, plr_errors, plr_export, path_filter, budget_running, archive_sheets, archive_errors)}

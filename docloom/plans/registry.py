@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_drawings, queries_orders, queries_part_lists, queries_quotations
+from . import queries_drawings, queries_files, queries_orders, queries_part_lists, queries_quotations
 
-_MODULES = (queries_orders, queries_quotations, queries_part_lists, queries_drawings)
+_MODULES = (queries_orders, queries_quotations, queries_part_lists, queries_drawings, queries_files)
 
 
 def queries():

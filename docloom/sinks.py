@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import safe_cell
@@ -60,3 +60,31 @@ def write_tsv(rows: DataFrame, path: str, charset: str = "windows-1255") -> None
 def write_csv(rows: DataFrame, path: str) -> None:
     """Rows as files with every field quoted."""
     rows.write.options(quoteAll=True, escape='"', lineSep="\r\n", header=True, emptyValue="", nullValue="").csv(path)
+
+
+def csv_body(rows: DataFrame, key: str, order: str, columns: dict[str, str]) -> DataFrame:
+    """One text body per key: a header of the column labels and rows in order, every field in quotes, CRLF after every line.
+
+    A label without a column of that name in ``rows`` stays empty in all rows. A key is one document, whose size is bounded.
+    """
+    cells = rows.select(key, F.col(order).alias("_o"), *[F.col(c).cast("string").alias(c) if c in rows.columns else F.lit("").alias(c) for c in columns])
+    lines = cells.select(key, F.struct(F.col("_o").alias("o"), quoted_csv_line(list(columns)).alias("line")).alias("row"))
+    gathered = lines.groupBy(key).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    head = ",".join('"' + label.replace('"', '""') + '"' for label in columns.values()) + "\r\n"
+    return gathered.select(key, F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["line"]), "")).alias("body"))
+
+
+def write_documents(lines: DataFrame, path: str, key: str, order: list[str], line: str = "line", charset: str = "utf-8", mark: bool = False) -> None:
+    """One file per key below ``path``, in a folder ``key=value``: its lines in order, each ended by CRLF.
+
+    Lines are dealt by key and sorted, so a file is written as it streams by and no document is gathered in one
+    cell. A line may hold line feeds of its own. ``mark`` puts a byte order mark before the first line; a ``charset``
+    other than UTF-8 writes ? for what it doesn't have.
+    """
+    use_legacy_charsets(lines.sparkSession)
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
+    text = F.concat(F.when(first & F.lit(mark), "\ufeff").otherwise(""), F.coalesce(F.col(line), F.lit("")))
+    raw = F.encode(text, charset).cast("string")  # the bytes as they are: the text writer passes them on
+    # By a hash of our own: Spark drops a shuffle by the key that a union or join below has been dealt by, and may split that one.
+    dealt = lines.repartition(F.xxhash64(key)).select(key, *order, raw.alias("value")).sortWithinPartitions(key, *order)
+    dealt.select(key, "value").write.partitionBy(key).option("lineSep", "\r\n").text(path)

@@ -10,6 +10,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +36,21 @@ def bounded_files(spark: SparkSession, path: str, glob: str = "*", limit: int =
     return files.where(good).select("path", "length", "content"), errors
 
 
+def listed_files(spark: SparkSession, paths: str | list[str], glob: str = "*", limit: int = MAX_FILE) -> tuple[DataFrame, DataFrame]:
+    """(files, errors): path, length and content of files of 1 to ``limit`` bytes; path and error of every other one.
+
+    ``paths`` is a file, a folder or a list of them, in any store that Spark reads. Spark lists empty files but doesn't
+    scan them: those that its listing has and a scan of names and lengths (no content is read) lacks are empty. The
+    listing is Spark's own, which the driver holds anyway.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(paths)
+    # The listing escapes names and spells an empty authority; the path column does neither.
+    listed = spark.createDataFrame([(re.sub("^([^:/]+):///", r"\1:/", unquote(name)),) for name in files.inputFiles()], "path string").distinct()
+    large = files.where(F.col("length") > limit).select("path", F.lit("too large").alias("error"))
+    empty = listed.join(files.where("length > 0").select("path"), "path", "left_anti").select("path", F.lit("empty").alias("error"))
+    return files.where(F.col("length").between(1, limit)).select("path", "length", "content"), large.unionByName(empty)
+
+
 def normal_path(path: Column) -> Column:
     """Slashes forward and no leading ``./``."""
     return F.regexp_replace(F.translate(path, "\\", "/"), r"^(?:\./)+", "")
@@ -83,34 +99,54 @@ def _name(member: zipfile.ZipInfo) -> str:
     return re.sub(r"^(?:\./)+", "", member.filename.replace("\\", "/"))
 
 
-def sheets_of(raw: bytes, budget: Budget = Budget()) -> list[tuple[str, str, bytes]]:
+class BadArchive(ValueError):
+    """An upload that gives nothing, with all that is wrong with it."""
+
+    def __init__(self, messages: list[str]):
+        super().__init__("; ".join(messages))
+        self.messages = messages
+
+
+#: What reading a damaged archive raises.
+_DAMAGED = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, OSError, NotImplementedError, RuntimeError, EOFError)
+
+
+def sheets_of(raw: bytes, budget: Budget = Budget(), limit: int = MAX_FILE) -> list[tuple[str, str, bytes]]:
     """(report, sheet, payload) of an upload: an only member *_PRODUCT.ZIP is unwrapped, then reports, then *.xls.
 
-    ValueError where an archive is none, holds no sheet or breaks the budget.
+    Reports that are no archive or hold no sheet are all collected before the upload fails with them (BadArchive); ValueError
+    where the upload itself is too large, no archive, without reports, or breaks the budget.
     """
-    walk = _Walk(budget)
+    if len(raw) > limit:
+        raise ValueError("too large")
+    walk, found, wrong = _Walk(budget), [], []
     try:
         archive, members = walk.open(raw)
         if len(members) == 1 and members[0].filename.upper().endswith("_PRODUCT.ZIP"):
             archive, members = walk.open(walk.read(archive, members[0]))
-        found = []
-        for report in members:
-            if not _REPORT.match(_name(report)):
-                continue
-            inner, sheets = walk.open(walk.read(archive, report))
-            own = [(_name(report), x.filename, walk.read(inner, x)) for x in sheets if x.filename.lower().endswith(".xls")]
-            if not own:
-                raise ValueError(f"no sheet in {_name(report)}")
-            found += own
-    except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, OSError, NotImplementedError, RuntimeError, EOFError) as error:
+        reports = [(_name(x), walk.read(archive, x)) for x in members if _REPORT.match(_name(x))]
+    except _DAMAGED as error:
         raise ValueError("not a ZIP") from error
-    if not found:
+    if not reports:
         raise ValueError("no report")
+    for name, content in reports:
+        try:
+            inner, sheets = walk.open(content)
+            own = [(name, x.filename, walk.read(inner, x)) for x in sheets if x.filename.lower().endswith(".xls")]
+        except _DAMAGED:
+            wrong.append(f"not a ZIP: {name}")
+            continue
+        if own:
+            found += own
+        else:
+            wrong.append(f"no sheet in {name}")
+    if wrong:
+        raise BadArchive(wrong)
     return found
 
 
 def archive_sheets(uploads: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """doc_id, file_ord, report, sheet, payload, error of uploads (doc_id, content): one row with an error for a bad one."""
+    """doc_id, file_ord, report, sheet, payload, error of uploads (doc_id, content): a bad one has a row for each error and no other."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["doc_id", "file_ord", "report", "sheet", "payload", "error"]
@@ -119,6 +155,8 @@ def archive_sheets(uploads: DataFrame, budget: Budget = Budget()) -> DataFrame:
             for doc_id, raw in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
                     found += [(doc_id, i, *x, None) for i, x in enumerate(sheets_of(raw or b"", budget))]
+                except BadArchive as error:
+                    found += [(doc_id, None, None, None, None, message) for message in error.messages]
                 except ValueError as error:
                     found.append((doc_id, None, None, None, None, str(error)))
             yield pd.DataFrame(found, columns=columns).astype({"file_ord": "Int32"})
