@@ -46,6 +46,23 @@ SELECT doc_id, page, CAST(ord % 3 AS INT) AS b, CASE WHEN (doc_id + ord % 3) % 5
 FROM ({SPANS_SQL}) AS sp
 """
 
+#: Whole drawings for the inspection: every span on a line of its own, some with a tolerance table.
+SHEETS_SQL = f"""
+SELECT * FROM ({TABLED_SQL}) AS ta WHERE ord >= 500
+UNION ALL SELECT doc_id, page, ord, text, x0, 30.0 + ord * 62 + y0 % 5 * 4 AS y0, x1, 38.0 + ord * 62 + y0 % 5 * 4 AS y1, 8.0 AS size FROM ({SPANS_SQL}) AS tb
+"""
+_PREFIXES, _NUMBERS, _UNITS, _TOLERANCES = ["", "R", "Ø ", "M", "#", "DIA ", "SECRET ", "Ra "], ["7", "12", "12.5", "3,25", "1/4-20"], ["", "°", " DEG", " TYP", " x 3", " UNC", " mm"], ["", " ±0.1", " +0.2/-0.1", "±2"]
+
+
+def _choice(by: str, values: list[str]) -> str:
+    return f"CASE {by} % {len(values)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(values)) + " END"
+
+
+#: Texts put together from a prefix, a number, a unit and a tolerance.
+GRAMMAR_SQL = f"""
+SELECT doc_id, ord, {_choice("part", _PREFIXES)} AS prefix, {_choice("(part * 7 + supp)", _NUMBERS)} AS number, {_choice("(supp * 3 + ord)", _UNITS)} AS unit, {_choice("(q + part * 5)", _TOLERANCES)} AS tol FROM ({LINES_SQL}) AS li
+"""
+
 _S = f"""
 WITH RECURSIVE spans AS ({SPANS_SQL}), full_spans AS (
   SELECT *, 1000.0 AS w, 800.0 + page AS h, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM spans
@@ -153,6 +170,20 @@ def dim_classify(spark, sf):
     return _spans(spark, sf).select("doc_id", "ord", D.stamp(text).alias("stamp"), D.dimension_hint(text).alias("hint"), D.classifiable(nominal).alias("good"), D.dimension_kind(text).alias("kind"))
 
 
+def dim_grammar(spark, sf):
+    """What texts of a grammar are, all its rules at once."""
+    text = F.col("text")
+    nominal, tolerance = D.split_tolerance(text)
+    texts = relation(spark, sf, GRAMMAR_SQL).select("doc_id", "ord", F.concat("prefix", "number", "unit", "tol").alias("text"))
+    return texts.select("doc_id", "ord", nominal.alias("nominal"), tolerance.alias("tolerance"), D.stamp(text).alias("stamp"), D.dimension_hint(text).alias("hint"), D.classifiable(nominal).alias("good"), D.dimension_kind(text).alias("kind"))
+
+
+def inspection_rows(spark, sf):
+    """Whole drawings to numbered notes, dimensions and general tolerances."""
+    items = P.inspection(relation(spark, sf, SHEETS_SQL), relation(spark, sf, SIZES_SQL))
+    return items.select("doc_id", "page", "balloon", "kind", "text", "tolerance")
+
+
 def pair_distance(spark, sf):
     return S.near_pairs(_spans(spark, sf), 100.0)
 
@@ -227,7 +258,7 @@ def crossed_texts(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        span_filter, tol_header, tol_rows, tol_items, notes_until_gap, bbox_antijoin, span_merge, tol_split, dim_classify, pair_distance,
+        span_filter, tol_header, tol_rows, tol_items, notes_until_gap, bbox_antijoin, span_merge, tol_split, dim_classify, dim_grammar, inspection_rows, pair_distance,
         components, centroid, inspection_items, clockwise_number, number_clockwise, inspection_csv, placement_rows, leader_lines, span_unnest, page_boxes, crossed_texts,
     )
 }
@@ -250,7 +281,7 @@ WITH RECURSIVE s AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM ({S
 )
 """
 
-_NUMBERED = _NEAR.rstrip() + """, heart AS (
+_CLOCK = """, heart AS (
   SELECT doc_id, page, cluster, avg(cx) AS mx, avg(cy) AS my, min(ord) AS head FROM s JOIN comp USING (doc_id, page, ord) GROUP BY ALL
 ), away AS (
   SELECT s.*, cluster, head, mx - 500 AS px, my - (800 + page) / 2 AS py, cx - mx AS ix, cy - my AS iy FROM s JOIN comp USING (doc_id, page, ord) JOIN heart USING (doc_id, page, cluster)
@@ -261,6 +292,21 @@ _NUMBERED = _NEAR.rstrip() + """, heart AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, round(macro, 9), round(sqrt(px * px + py * py), 6), head, round(micro, 9), round(sqrt(ix * ix + iy * iy), 6), ord) AS balloon FROM turned
 )
 """
+_NUMBERED = _NEAR.rstrip() + _CLOCK
+#: Notes, dimensions and tolerances of the sheets, linked up to 450 apart; their ord is their place on the page.
+_SHEETS = _S.replace(f"spans AS ({SPANS_SQL})", f"{_TABLE}, spans AS ({SHEETS_SQL})", 1).rstrip() + """, found AS (
+  SELECT doc_id, page, 0 AS src, ord, trim(text) AS text, x0, y0, x1, y1, 'Note' AS kind, '' AS tolerance FROM notes
+  UNION ALL SELECT m.doc_id, m.page, 1, m.ord, nominal, x0, y0, x1, y1, kind, tolerance FROM merged m JOIN known USING (text) WHERE NOT stamp AND hint AND good
+  UNION ALL SELECT doc_id, page, 2, f.ord, v.t, x0, y0, x1, y1, 'GeneralTolerance', '' FROM tol JOIN full_spans f USING (doc_id, page) WHERE f.ord = v.o
+), s AS (
+  SELECT * EXCLUDE (ord), row_number() OVER (PARTITION BY doc_id, page ORDER BY src, ord) AS ord, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM found
+), link AS (
+  SELECT a.doc_id, a.page, a.ord AS a, b.ord AS b FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.page = b.page AND (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= 202500
+), reach AS (
+  SELECT doc_id, page, ord AS a, ord AS b FROM s UNION SELECT r.doc_id, r.page, r.a, e.b FROM reach r JOIN link e ON e.doc_id = r.doc_id AND e.page = r.page AND e.a = r.b
+), comp AS (
+  SELECT doc_id, page, a AS ord, min(b) AS cluster FROM reach GROUP BY ALL
+)""" + _CLOCK
 _BOXES = f"""
 WITH shapes AS (
   SELECT doc_id, page, ord, least(x0, x1) AS a, least(y0, y1) AS b, greatest(x0, x1) AS c, greatest(y0, y1) AS d FROM ({DRAWINGS_SQL})
@@ -283,6 +329,11 @@ ORACLES = {
     "dim_classify": f"WITH {_TABLE} SELECT doc_id, ord, stamp, hint, good, kind FROM ({SPANS_SQL}) JOIN known USING (text)",
     "pair_distance": _NEAR + "SELECT doc_id, page, a, b FROM edge WHERE a < b",
     "components": _NEAR + "SELECT doc_id, page, ord, cluster FROM comp",
+    "dim_grammar": f"""SELECT doc_id, ord, trim(prefix || number || unit) AS nominal, trim(tol) AS tolerance, prefix = 'SECRET ' AS stamp,
+        prefix IN ('R', 'Ø ', 'M', '#', 'Ra ') OR number <> '7' OR unit IN ('°', ' TYP', ' x 3') OR tol IN (' ±0.1', ' +0.2/-0.1') OR (tol = '±2' AND unit = '') AS hint,
+        number IN ('12.5', '3,25') OR prefix IN ('R', 'Ø ', 'DIA ', 'M', '#') OR unit = '°' OR (number = '1/4-20' AND unit = ' UNC') AS good,
+        CASE WHEN prefix IN ('Ø ', 'DIA ') THEN 'Diameter' WHEN prefix = 'R' THEN 'Radius' WHEN unit IN ('°', ' DEG') THEN 'Angle' WHEN unit = ' UNC' OR prefix = 'M' THEN 'Thread' ELSE 'Linear' END AS kind FROM ({GRAMMAR_SQL})""",
+    "inspection_rows": _SHEETS + "SELECT doc_id, page, balloon, kind, text, tolerance FROM numbered",
     "number_clockwise": _NUMBERED + "SELECT doc_id, page, ord, balloon FROM numbered",
     "inspection_csv": _NUMBERED.replace("WITH RECURSIVE", f"WITH RECURSIVE {_TABLE},", 1) + """SELECT doc_id, '"no","text","kind","tolerance","found"' || chr(13) || chr(10) ||
         string_agg('"' || balloon || '","' || nominal || '","' || kind || '","' || tolerance || '",""' || chr(13) || chr(10), '' ORDER BY balloon) AS body FROM numbered JOIN known USING (text) GROUP BY doc_id""",
