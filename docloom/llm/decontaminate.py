@@ -27,8 +27,8 @@ from .base import BROADCAST_ROWS, documents, stored, table
 
 THRESHOLD = 0.8
 RADIUS = 23
-#: Positions that the fingerprint's counters hold.
-LONGEST_ITEM = 30_000
+#: Shingles up to which 16-bit counters do for a fingerprint; longer items take 32-bit ones.
+SHORT_ITEM = 30_000
 #: Shingles of a text that are handled in one row.
 SEGMENT = 1024
 #: All changes of at most two bits in a block.
@@ -46,12 +46,14 @@ def shingled(df: DataFrame, key: str) -> DataFrame:
     return sized.select(key, F.expr("transform(slice(h, 1, n), (x, i) -> xxhash64(x, h[i + 1], h[i + 2], h[i + 3], h[i + 4]))").alias("s"))
 
 
-def _with_fingerprint(df: DataFrame, array: str, name: str) -> DataFrame:
-    """Adds the SimHash of an array of hashes: bit i is set if more than half of them have it.
+def _with_fingerprint(df: DataFrame, array: str, name: str, longest: int) -> DataFrame:
+    """Adds the SimHash of an array of hashes, ``longest`` at most: bit i is set if more than half of them have it.
 
-    Bits are counted in lanes of longs, eight of 8 bits for up to 127 hashes and four of 16 bits for more; a
-    lane's high bit tells after an addition whether its count is over half.
+    Bits are counted in lanes of longs, eight of 8 bits for up to 127 hashes and four of 16 bits (two of 32 where
+    arrays are longer than SHORT_ITEM) for more; a lane's high bit tells after an addition whether its count is over half.
     """
+    many = 16 if longest <= SHORT_ITEM else 32
+
     def lane_sum(bits: int, k: int):
         return F.aggregate(array, F.lit(0).cast("long"), lambda t, x: t + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(_ones(bits))))
 
@@ -59,8 +61,8 @@ def _with_fingerprint(df: DataFrame, array: str, name: str) -> DataFrame:
         return F.array(*[lane_sum(bits, k) for k in range(bits)])
 
     small_ = F.when(F.size(array) <= 127, sums(8))
-    large = F.when(F.size(array) > 127, sums(16))
-    summed = df.select("*", small_.alias("_l8"), large.alias("_l16"), F.size(array).alias("_n"))
+    large = F.when(F.size(array) > 127, sums(many))
+    summed = df.select("*", small_.alias("_l8"), large.alias("_large"), F.size(array).alias("_n"))
 
     def bits_of(lanes: str, bits: int) -> str:
         wide = _ones(2 * bits)
@@ -69,7 +71,7 @@ def _with_fingerprint(df: DataFrame, array: str, name: str) -> DataFrame:
         parts = [f"((((({lanes}[{k}] >>> {s}) & {mask}L) + {add}) >>> {bits - 1}) & {wide}L) << {s + k}" for k in range(bits) for s in (0, bits)]
         return " | ".join(f"({p})" for p in parts)
 
-    return summed.select(*df.columns, F.when(F.col("_n") <= 127, F.expr(bits_of("_l8", 8))).otherwise(F.expr(bits_of("_l16", 16))).alias(name))
+    return summed.select(*df.columns, F.when(F.col("_n") <= 127, F.expr(bits_of("_l8", 8))).otherwise(F.expr(bits_of("_large", many))).alias(name))
 
 
 def _ones(bits: int) -> int:
@@ -82,24 +84,22 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     ``docs`` has doc_id and text, ``items`` item_id and text. similarity (at least ``threshold``) is rounded to
     six digits; word is the window's first word, counted from 0, the least of equals. Items and texts of fewer
     than five words, empty and null ones, match nothing. Repeated rows of a doc_id or item_id give one row.
-    Empty tables give an empty result; other columns are left out. An item of more than LONGEST_ITEM shingles
-    is an error.
+    Empty tables give an empty result; other columns are left out. Items may be of any length; a row holds twice the longest.
     """
     items = shingled(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "item_id")
     items = stored(items.where("size(s) > 0").distinct(), "items")
     parts = items.select("item_id", F.explode(F.array_distinct("s")).alias("x")).distinct()
     n = items.select("item_id").distinct().count()
     longest = items.agg(F.max(F.size("s"))).first()[0] or 0
-    if longest > LONGEST_ITEM:
-        raise ValueError(f"an item has {longest} shingles")
     weight = parts.groupBy("x").agg(F.count("*").alias("df")).select("x", (F.log(1 + F.lit(n) / F.col("df")) / F.log(1 + F.lit(max(n, 1)))).alias("w"))
     weighed = parts.join(weight, "x").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("x", "w"))).alias("own"))
-    index = _with_fingerprint(items, "s", "item_print").join(weighed, "item_id")
+    index = _with_fingerprint(items, "s", "item_print", longest).join(weighed, "item_id")
     index = index.select("item_id", F.size("s").alias("m"), "item_print", "own", F.expr("aggregate(own, 0D, (t, o) -> t + o.w)").alias("total"))
     index = stored(index, "item-index")
-    # Every broadcast below has at most a few rows for each item shingle, whose number is checked.
+    # Each broadcast below has at most a row for each item shingle or one for each item and block value: both numbers are checked.
     few = parts.count() <= BROADCAST_ROWS
     hint = F.broadcast if few else lambda df: df
+    hint_blocks = F.broadcast if few and index.count() * 8 * len(_FLIPS) <= BROADCAST_ROWS else lambda df: df
 
     starts = index.select("m", F.explode("own.x").alias("x")).distinct()
     # Long texts go in segments with the longest item's length on both sides, so that no row holds much.
@@ -108,12 +108,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     places = segments.select("doc_id", "n", "i", "off", "seg", F.posexplode_outer(F.expr(f"slice(seg, i - off + 1, {SEGMENT})")).alias("p", "x"))
     hits = places.join(hint(starts), "x").withColumn("word", F.expr("greatest(0, least(i + p, n - m))"))
     windows = hits.select("doc_id", "m", "word", F.expr("slice(seg, word - off + 1, m)").alias("win"))
-    windows = _with_fingerprint(windows, "win", "print")
+    windows = _with_fingerprint(windows, "win", "print", longest)
     probes = windows.select("*", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.expr(f"cast((print >>> {8 * b}) & 255 as int)").alias("value")) for b in range(8)])).alias("probe"))
     probes = probes.select("doc_id", "m", "word", "win", "print", "probe.block", "probe.value")
     blocks = index.select("item_id", "m", "item_print", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.expr(f"cast((item_print >>> {8 * b}) & 255 as int)").alias("value")) for b in range(8)])).alias("own"))
     blocks = blocks.select("item_id", "m", "item_print", "own.block", F.explode(F.array(*[F.col("own.value").bitwiseXOR(F.lit(f)) for f in _FLIPS])).alias("value"))
-    met = probes.join(hint(blocks), ["m", "block", "value"])
+    met = probes.join(hint_blocks(blocks), ["m", "block", "value"])
     met = met.where(f"bit_count(print ^ item_print) <= {RADIUS}")
     first = "CASE " + " ".join(f"WHEN bit_count(((print ^ item_print) >>> {8 * b}) & 255) <= 2 THEN {b}" for b in range(8)) + " END"
     met = met.where(f"block = {first}").select("doc_id", "item_id", "m", "word", "win")

@@ -24,6 +24,8 @@ from .base import documents, stored, table
 ROW = 64
 #: Rows of a frame that ``encode`` writes; longer payloads become more frames.
 FRAME_ROWS = 1024
+#: Pixels of a canvas or frame that are decoded: 256 MB as RGBA.
+MAX_PIXELS = 1 << 26
 DELAY_CS = 10
 _GREY = bytes(x for i in range(256) for x in (i, i, i))
 _BASE = [bytes([i]) for i in range(256)]
@@ -187,22 +189,24 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
     return colours, at + 3 * n
 
 
-def decode(data: bytes) -> list[Frame]:
-    """All frames of a GIF87a or GIF89a file; ValueError if it isn't one.
+def frames_of(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[Frame]:
+    """The frames of a GIF87a or GIF89a file, one after another; ValueError if it isn't one or is larger than ``max_pixels``.
 
     A frame is drawn on the canvas that the frame before left by its disposal: as it was drawn (0, 1), with
     its rectangle cleared (2) or as it was before (3). Transparent samples and those outside the canvas
-    leave the canvas as it is; missing samples count as 0. A file that breaks off gives the frames it holds.
+    leave the canvas as it is; missing samples count as 0. A file that breaks off gives the frames it holds. A canvas, or a
+    frame, of more than ``max_pixels`` pixels is an error where it is met: sizes are declared and cost no bytes in the file.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack("<HHB", data[6:11])
+    if width * height > max_pixels:
+        raise ValueError("too many pixels")
     at = 13
     shared = np.zeros((256, 3), np.uint8)
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     disposal = delay = 0
     transparent = -1
     while at < len(data):
@@ -216,6 +220,8 @@ def decode(data: bytes) -> list[Frame]:
         elif kind == 0x2C and at + 10 < len(data):
             left, top, w, h, own = struct.unpack("<HHHHB", data[at + 1 : at + 10])
             at += 10
+            if w * h > max_pixels:
+                raise ValueError("too many pixels")
             colours = shared
             if own & 0x80:
                 colours, at = _palette(data, at, own)
@@ -235,7 +241,7 @@ def decode(data: bytes) -> list[Frame]:
             seen = samples[: part.shape[0], : part.shape[1]]
             drawn = np.dstack((colours[seen], np.full(seen.shape, 255, np.uint8)))
             part[:] = np.where((seen == transparent)[..., None], part, drawn) if transparent >= 0 else drawn
-            frames.append(Frame(left, top, samples, 10 * delay, canvas.copy()))
+            yield Frame(left, top, samples, 10 * delay, canvas.copy())
             if disposal == 2:
                 part[:] = 0
             elif before is not None:
@@ -243,7 +249,11 @@ def decode(data: bytes) -> list[Frame]:
             disposal, delay, transparent = 0, 0, -1
         else:  # the end, or bytes that are no block
             break
-    return frames
+
+
+def decode(data: bytes, max_pixels: int = MAX_PIXELS) -> list[Frame]:
+    """All frames of a file, see ``frames_of``."""
+    return list(frames_of(data, max_pixels))
 
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
@@ -256,21 +266,27 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
 def gif_frames(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """One row per frame: key, frame, delay_ms, width, height, rgba (the composed canvas), histogram, error.
 
-    A null, empty or broken file gives one row with an error and no picture. Other columns are left out;
-    repeated keys stay apart only by their frames.
+    A null, empty or broken file, one without a frame and one of more than MAX_PIXELS pixels give a row with an error and
+    no picture; frames before an error stay. Frames are decoded one by one. Other columns are left out; repeated keys stay apart
+    only by their frames. An empty table gives an empty result.
     """
 
+    def row(name, i=None, delay=None, width=None, height=None, rgba=None, counts=None, error=None) -> pd.DataFrame:
+        return pd.DataFrame({"_key": [name], "frame": [i], "delay_ms": [delay], "width": [width], "height": [height], "rgba": [rgba], "histogram": [counts], "error": [error]})
+
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["_key"], batch["_media"], strict=True):
+                i = 0
                 try:
-                    found = decode(data or b"")
+                    for x in frames_of(data or b""):
+                        h, w = x.canvas.shape[:2]
+                        yield row(name, i, x.delay_ms, w, h, x.canvas.tobytes(), histogram(x.canvas))
+                        i += 1
+                    if not i:
+                        yield row(name, error="no frame")
                 except ValueError as error:
-                    yield pd.DataFrame({"_key": [name], "frame": [None], "delay_ms": [None], "width": [None], "height": [None], "rgba": [None], "histogram": [None], "error": [str(error)]})
-                    continue
-                for i, x in enumerate(found):
-                    h, w = x.canvas.shape[:2]
-                    yield pd.DataFrame({"_key": [name], "frame": [i], "delay_ms": [x.delay_ms], "width": [w], "height": [h], "rgba": [x.canvas.tobytes()], "histogram": [histogram(x.canvas)], "error": [None]})
+                    yield row(name, error=str(error))
 
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key).alias("_key"), F.col(media).alias("_media"))
@@ -279,7 +295,11 @@ def gif_frames(df: DataFrame, key: str = "doc_id", media: str = "media") -> Data
 
 
 def text_gifs(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each text's UTF-8 bytes, filled with zeros to a positive multiple of 64, as a GIF."""
+    """doc_id, n_bytes and media: each text's UTF-8 bytes, filled with zeros to a positive multiple of 64, as a GIF.
+
+    A null text has no bytes, like an empty one, and is stored as 64 zeros. Repeated rows and rows without a doc_id all stay; equal texts
+    have equal media; an empty table gives an empty result; other columns are left out.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -296,18 +316,21 @@ def gif_features(gifs: DataFrame) -> DataFrame:
     """Decodes stored GIFs (doc_id, n_bytes, media): digests of the samples read back, and a feature string.
 
     The feature has the number of frames, their time in ms and, for the pictures as composed, the counts of
-    the 64 histogram bins that aren't empty.
+    the 64 histogram bins that aren't empty. Frames are decoded one by one; a row of ``gifs`` gives a row, an empty table none. ``media`` that is
+    null or no GIF is an error: ``text_gifs`` stores none.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for name, n_bytes, media in zip(batch["doc_id"], batch["n_bytes"], batch["media"], strict=True):
-                frames = decode(media)
-                payload = b"".join(x.samples.tobytes() for x in frames)
-                total = sum(histogram(x.canvas) for x in frames)
+                parts, total, n, ms = [], np.zeros(64, np.int64), 0, 0
+                for x in frames_of(media):
+                    parts.append(x.samples.tobytes())
+                    total, n, ms = total + histogram(x.canvas), n + 1, ms + x.delay_ms
+                payload = b"".join(parts)
                 bins = ",".join(f"{i}:{total[i]}" for i in np.flatnonzero(total).tolist())
-                feature = f"frames={len(frames)};ms={sum(x.delay_ms for x in frames)};bins={bins}"
+                feature = f"frames={n};ms={ms};bins={bins}"
                 out.append((name, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             made = pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))

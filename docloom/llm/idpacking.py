@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import documents, stored, table
+from .base import documents, small, stored, table
 from .piececache import PieceCache
 from .textarrays import chunks
 
@@ -140,7 +140,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0) -> D
         if keys:
             yield block()
 
-    ordered = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows with the same doc_id, or none, are dealt by their texts too: no partition need hold all of them.
+    ordered = documents(docs).withColumn("tie", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     packed = ordered.mapInPandas(blocks, BLOCK_SCHEMA).withColumn("file", F.spark_partition_id().cast("long"))
     return stored(packed.select("file", "block", "width", "doc_ids", "offsets", "payload"), "token-blocks")
 
@@ -153,7 +155,7 @@ def with_first(blocks: DataFrame) -> DataFrame:
     within = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.select("file", "block", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("in_file"))
     first = placed.join(F.broadcast(files), "file").select("file", "block", (F.col("file_first") + F.col("in_file")).alias("first"))
-    return blocks.join(F.broadcast(first), ["file", "block"])  # three numbers for each 2 ** 17 ids
+    return blocks.join(small(stored(first, "block-firsts")), ["file", "block"])  # three numbers for each 2 ** 17 ids
 
 
 def read_ids(blocks: DataFrame) -> DataFrame:

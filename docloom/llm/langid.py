@@ -98,7 +98,7 @@ def fit(rows: DataFrame, n_docs: int = TRAINING_DOCS) -> Model:
     for lang, n in sizes.items():
         if n > n_docs:
             share = F.when(F.col("lang") == lang, F.lit(n_docs / n)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.ceil(share * (1 << 40)))
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, _, script = _letters()

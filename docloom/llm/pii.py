@@ -8,9 +8,11 @@ small labelled table: LABELLED, and runs of a bounded sample of documents with t
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,10 @@ KINDS = ("email", "ip", "card", "phone")
 TRAINING_DOCS = 1000
 #: Documents, in units of TRAINING_DOCS, among which those with a candidate are looked for.
 CONSIDERED = 10
+#: Runs of a training document and words of a run that are taken: what bounds the labelled rows.
+RUNS, RUN_WORDS = 20, 64
+#: Features of a word.
+N_COLUMNS = 10
 N_FEATURES = 1 << 12
 #: Labels: outside, then first and later word of each kind.
 LABELS = ["O"] + [f"{p}-{kind}" for kind in KINDS for p in "BI"]
@@ -204,7 +210,7 @@ def _sequences(text: str, spans: list[tuple[str, int, int]], skip: list[tuple[in
         if any(a < run[-1][1] and run[0][0] < b for a, b in skip):
             continue
         labels, last = [], None
-        for a, b in run[:64]:
+        for a, b in run[:RUN_WORDS]:
             own = next((s for s in spans if s[1] < b and a < s[2]), None)
             labels.append(0 if own is None else 1 + 2 * KINDS.index(own[0]) + (own == last))
             last = own
@@ -213,28 +219,44 @@ def _sequences(text: str, spans: list[tuple[str, int, int]], skip: list[tuple[in
 
 def _padded(sequences: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(x) for x in sequences], np.int64)
-    out = np.zeros((len(sequences), int(lengths.max(initial=1)), 10), np.int64)
+    out = np.zeros((len(sequences), int(lengths.max(initial=1)), N_COLUMNS), np.int64)
     for row, x in zip(out, sequences, strict=True):
         row[: len(x)] = x
     return out, lengths
 
 
+def _sample_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The labelled runs of each text, at most RUNS of it: the features and labels of their words one after another."""
+    for batch in batches:
+        out = []
+        for text in batch["text"]:
+            dropped: list = []
+            spans = base_spans(text, dropped)
+            own = list(islice(_sequences(text, spans, dropped), RUNS))
+            out.append(([x for words, _ in own for word in words for x in word], [x for _, labels in own for x in labels], [len(words) for words, _ in own]))
+        yield pd.DataFrame(out, columns=["features", "labels", "lengths"])
+
+
 def train(docs: DataFrame, n_docs: int = TRAINING_DOCS) -> Crf:
     """The CRF fitted on LABELLED and on the runs of at most ``n_docs`` documents with base labels.
 
-    A run with a match that failed its check is left out: the patterns don't tell what it is. An empty
-    table leaves LABELLED alone.
+    The labelled rows are bounded: RUNS runs of a document and RUN_WORDS words of a run. A run with a match that failed its
+    check is left out: the patterns don't tell what it is. What reaches the driver are the features of these words, no
+    texts. An empty table leaves LABELLED alone.
     """
     docs = documents(docs)
     share = min(1.0, CONSIDERED * n_docs / max(1, docs.count()))  # so that tasks send few rows more than are used
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(math.ceil(share * (1 << 40))))
     candidates = chosen.where(F.col("text").rlike("[0-9@+]"))
-    sample = candidates.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(n_docs).collect()
+    sample = candidates.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(n_docs).select("text")
+    sample = sample.mapInPandas(_sample_runs, "features array<long>, labels array<long>, lengths array<long>").toPandas()
     found = [x for text, spans in _labelled_rows() * 3 for x in _sequences(text, spans)]
-    for row in sample:
-        dropped: list = []
-        spans = base_spans(row.text, dropped)
-        found += list(_sequences(row.text, spans, dropped))[:20]
+    for row in sample.itertuples(index=False):
+        words = np.asarray(row.features, np.int64).reshape(-1, N_COLUMNS).tolist()
+        at = 0
+        for n in row.lengths:
+            found.append((words[at : at + n], [int(x) for x in row.labels[at : at + n]]))
+            at += n
     batch, lengths = _padded([x for x, _ in found])
     labels = np.zeros(batch.shape[:2], np.int64)
     for row, (_, own) in zip(labels, found, strict=True):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import documents, stored, table
+from .base import documents, stored, table, unused
 
 
 def byte_shards(rows: DataFrame, n_shards: int, order: list[str], size: str = "size") -> DataFrame:
@@ -19,30 +19,34 @@ def byte_shards(rows: DataFrame, n_shards: int, order: list[str], size: str = "s
     A row goes to the shard in whose byte range its middle lies, so a shard's bytes are within one row of
     its target on either side. Sizes must be positive; a row larger than a target leaves shards empty.
     Nulls in ``order`` come first, ties are broken by the other columns of ``order`` and are otherwise
-    interchangeable. An empty table gives an empty result. Other columns are carried along unchanged.
+    interchangeable. An empty table gives an empty result. Other columns are carried along unchanged, whatever their names: a
+    ``shard`` or ``slot`` of the input stays, and the new column's name then begins with an underscore.
     """
-    ordered = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    part, bytes_, rows_, before_bytes, before_rows, whole_, sum_, row_, at_, first_, shard, slot = (
+        unused(rows, name) for name in ("_part", "_bytes", "_rows", "_bytes_before", "_rows_before", "_total", "_sum", "_row", "_at", "_first", "shard", "slot")
+    )
+    ordered = rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
     ordered = stored(ordered, "shard-rows")  # the partition numbers must not change between the two uses
-    totals = ordered.groupBy("_part").agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    totals = ordered.groupBy(part).agg(F.sum(size).alias(bytes_), F.count("*").alias(rows_))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = totals.select(
-        "_part",
-        F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes_before"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
+        part,
+        F.coalesce(F.sum(bytes_).over(before), F.lit(0)).alias(before_bytes),
+        F.coalesce(F.sum(rows_).over(before), F.lit(0)).alias(before_rows),
     )
-    whole = totals.agg(F.sum("_bytes").alias("_total"))
-    within = Window.partitionBy("_part").orderBy(*order)
+    whole = totals.agg(F.sum(bytes_).alias(whole_))
+    within = Window.partitionBy(part).orderBy(*order)
     placed = (
-        ordered.withColumn("_sum", F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_row", F.row_number().over(within) - 1)
-        .join(F.broadcast(offsets), "_part")  # one row a partition
+        ordered.withColumn(sum_, F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn(row_, F.row_number().over(within) - 1)
+        .join(F.broadcast(offsets), part)  # one row a partition
         .join(F.broadcast(whole))  # one row
     )
     # In whole numbers: twice the middle over twice the total.
-    placed = placed.withColumn("shard", F.least(F.lit(n_shards - 1), F.expr(f"({n_shards} * (2 * (_bytes_before + _sum) - {size})) div (2 * _total)")).cast("int"))
-    placed = placed.withColumn("_at", F.col("_rows_before") + F.col("_row"))
-    first = placed.groupBy("shard").agg(F.min("_at").alias("_first"))  # one row a shard
-    return placed.join(F.broadcast(first), "shard").withColumn("slot", (F.col("_at") - F.col("_first")).cast("long")).select(*rows.columns, "shard", "slot")
+    placed = placed.withColumn(shard, F.least(F.lit(n_shards - 1), F.expr(f"({n_shards} * (2 * (`{before_bytes}` + `{sum_}`) - `{size}`)) div (2 * `{whole_}`)")).cast("int"))
+    placed = placed.withColumn(at_, F.col(before_rows) + F.col(row_))
+    first = placed.groupBy(shard).agg(F.min(at_).alias(first_))  # one row a shard
+    return placed.join(F.broadcast(first), shard).withColumn(slot, (F.col(at_) - F.col(first_)).cast("long")).select(*rows.columns, shard, slot)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import stored, table
+from .base import stored, table, unused
 
 #: (verdict, host, path): a rule fits the host and its subdomains where the path starts with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -68,21 +68,23 @@ def listed_urls(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """``pages`` (with a column ``canonical``) and a boolean ``is_listed``: its canonical URL is in ``listed`` (url).
 
     Null and empty URLs are never listed; repeated pages stay; repeated, null or empty list entries count
-    once or not at all; an empty list marks nothing. The Bloom filter is broadcast while it has at most
+    once or not at all; an empty list marks nothing. Other columns of ``pages`` stay, whatever their names: where one is
+    called ``is_listed``, the new one's name begins with an underscore. The Bloom filter is broadcast while it has at most
     BROADCAST_BLOCKS blocks and shuffled beyond. Only possible hits meet the list in an exact join.
     """
     listed = stored(listed.select(F.col("url").cast("string")).where("url <> ''").distinct(), "listed-urls")
     n_blocks = max(1, math.ceil(listed.count() * BITS_PER_URL / 256))
     filter_rows = bloom(listed, n_blocks)
-    filter_rows = F.broadcast(filter_rows) if n_blocks <= BROADCAST_BLOCKS else filter_rows
-    probe = pages.select("*", F.pmod(F.xxhash64("canonical"), F.lit(n_blocks)).alias("block"), *_bit_columns("canonical"))
+    block, hit, maybe, listed_, *bits = (unused(pages, name) for name in ("block", "hit", "possible", "is_listed", "b0", "b1", "b2", "b3"))
+    probe = pages.select("*", F.pmod(F.xxhash64("canonical"), F.lit(n_blocks)).alias(block), *[c.alias(n) for c, n in zip(_bit_columns("canonical"), bits, strict=True)])
+    filter_ = filter_rows.toDF(block, *[unused(probe, f"f{i}") for i in range(4)])
     possible = F.lit(True)
-    for i in range(4):
-        possible = possible & (F.col(f"b{i}").bitwiseAND(F.col(f"f{i}")) == F.col(f"b{i}"))
-    probe = probe.join(filter_rows, "block", "left").withColumn("possible", F.coalesce(possible & (F.col("canonical") != ""), F.lit(False)))
-    rest = probe.where("NOT possible").select(*pages.columns, F.lit(False).alias("is_listed"))
-    hits = probe.where("possible").join(listed.select(F.col("url").alias("canonical"), F.lit(True).alias("hit")), "canonical", "left")
-    return rest.unionByName(hits.select(*pages.columns, F.coalesce("hit", F.lit(False)).alias("is_listed")))
+    for own, name in zip(bits, filter_.columns[1:], strict=True):
+        possible = possible & (F.col(own).bitwiseAND(F.col(name)) == F.col(own))
+    probe = probe.join(F.broadcast(filter_) if n_blocks <= BROADCAST_BLOCKS else filter_, block, "left").withColumn(maybe, F.coalesce(possible & (F.col("canonical") != ""), F.lit(False)))
+    rest = probe.where(~F.col(maybe)).select(*pages.columns, F.lit(False).alias(listed_))
+    hits = probe.where(F.col(maybe)).join(listed.select(F.col("url").alias("canonical"), F.lit(True).alias(hit)), "canonical", "left")
+    return rest.unionByName(hits.select(*pages.columns, F.coalesce(hit, F.lit(False)).alias(listed_)))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

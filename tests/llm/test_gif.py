@@ -72,3 +72,12 @@ def test_query(spark, sf, odd_docs):
     odd = gif_features(text_gifs(odd_docs)).collect()
     assert len(odd) == 12 and [r.payload_bytes for r in odd if r.doc_id in (3, 4)] == [64, 64]
     assert len({r.feature for r in odd if r.doc_id in (1, 2)}) == 1
+
+
+def test_files_without_a_frame_and_huge_canvases(spark):
+    header = b"GIF89a" + struct.pack("<HHBBB", 2, 1, 0, 0, 0)
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b";"
+    wide = _gif(_frame([1, 2], 0), _frame([1, 2], 0, w=65535, h=65535))
+    rows = spark.createDataFrame([(1, header), (2, header + b";"), (3, huge), (4, wide), (None, _gif(_frame([1, 2], 0)))], "doc_id long, media binary")
+    out = sorted(((r.doc_id, r.frame, r.error) for r in gif_frames(rows).collect()), key=str)
+    assert out == sorted([(1, None, "no frame"), (2, None, "no frame"), (3, None, "too many pixels"), (4, 0, None), (4, None, "too many pixels"), (None, 0, None)], key=str)

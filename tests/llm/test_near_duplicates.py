@@ -5,7 +5,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
-from docloom.llm import minhash, neardup, paragraphs
+from docloom.llm import decontaminate, minhash, neardup, paragraphs
 from docloom.llm.decontaminate import contaminated
 from docloom.llm.registry import oracle_sql, queries
 
@@ -252,3 +252,14 @@ def test_links_beside_a_large_pivot(spark, monkeypatch):
     held = spark.createDataFrame(list(texts.items()), "node long, text string")
     got = {r.node: r.label for r in neardup.classes(nodes, neardup.Check(lambda met: held, lambda: None, 0.8)).collect()}
     assert {x: got.get(x, x) for x in texts} == {x: {2: 1, 4: 3, 6: 5}.get(x, x) for x in texts}
+
+
+def test_items_longer_than_the_short_counters(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHORT_ITEM", 200)
+    item = sentence(31, 700)
+    edited = item.split()
+    edited[350] = "changed"
+    docs = spark.createDataFrame([(1, "x y z " + " ".join(edited) + " end"), (2, sentence(32, 900)), (3, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, sentence(33, 40))], "item_id long, text string")
+    got = sorted(tuple(r) for r in contaminated(docs, items).collect())
+    assert got == [(1, 1, round(691 / 701, 6), 3), (3, 1, 1.0, 0)]

@@ -57,3 +57,28 @@ def test_listed_urls_are_exact(spark):
     assert not any(r.is_listed for r in listed_urls(pages, listed.limit(0)).collect())
     spelled = spark.createDataFrame([("www.a.com:80", "/x/index.html"), ("m.a.com", "/x/")], "h string, p string")
     assert [r[0] for r in spelled.select(canonical(F.col("h"), F.col("p"))).collect()] == ["a.com/x", "a.com/x"]
+
+
+def test_shards_beside_columns_of_the_same_names(spark):
+    names = ["shard", "slot", "_part", "_bytes", "_sum", "_row", "_at", "_first", "_total"]
+    rows = spark.createDataFrame([(i, 2 + i % 3, *["keep"] * len(names)) for i in range(40)], "doc_id long, size long, " + ", ".join(f"{n} string" for n in names))
+    out = byte_shards(rows, 3, ["doc_id"])
+    assert out.columns == [*rows.columns, "_shard", "_slot"]
+    plain = {r.doc_id: (r.shard, r.slot) for r in byte_shards(rows.select("doc_id", "size"), 3, ["doc_id"]).collect()}
+    found = out.collect()
+    assert {r.doc_id: (r["_shard"], r["_slot"]) for r in found} == plain and all(r[n] == "keep" for r in found for n in names)
+
+
+def test_equal_sizes_are_cut_evenly(spark):
+    rows = spark.createDataFrame([(i, 7) for i in range(24)], "doc_id long, size long")
+    assert sorted((r.doc_id, r.shard, r.slot) for r in byte_shards(rows, 4, ["doc_id"]).collect()) == [(i, i // 6, i % 6) for i in range(24)]
+
+
+def test_listed_urls_beside_columns_of_the_same_names(spark):
+    names = ["block", "b0", "f0", "hit", "possible", "is_listed", "url"]
+    pages = spark.createDataFrame([(i, f"h/{i}", *["keep"] * len(names)) for i in range(50)], "page_id long, canonical string, " + ", ".join(f"{n} string" for n in names))
+    listed = spark.createDataFrame([(f"h/{i}",) for i in range(0, 50, 4)], "url string")
+    out = listed_urls(pages, listed)
+    assert out.columns == [*pages.columns, "_is_listed"]
+    assert {r.page_id: r["_is_listed"] for r in out.collect()} == {i: i % 4 == 0 for i in range(50)} and out.where("block = 'keep' AND is_listed = 'keep' AND url = 'keep'").count() == 50
+    assert listed_urls(pages.limit(0), listed).collect() == []
