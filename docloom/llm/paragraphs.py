@@ -7,7 +7,8 @@ BLOCK_WORDS + ANCHOR_WORDS - 1 words, wherever their lines break, have a block i
 MinHash over their five-word shingles: lines in 8 bands of 3 samples, which meet with probability 0.997 at
 similarity 0.8, and blocks, of which a passage has several and one is enough, in a single band of 4, in which equal ones
 always meet. Exact Jaccard similarity takes what collides by chance out again. Of each class of similar units the first occurrence (least doc_id, then
-place) stays. Adjacent blocks that repeat the same place are one span.
+place) stays. Blocks that follow each other in both places are one span; words between two blocks are in it only
+where they are the same in both, which the hashes of these words tell. So each removed word is in a verified block or compared.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ MIN_WORDS = 20
 BLOCK_WORDS, ANCHOR_WORDS = 20, 32
 BLOCK_BANDS, BLOCK_ROWS = 1, 4
 
-_SCHEMA = "doc_id long, text_hash long, paragraph int, at int, start long, end long, n_words int, node long, keys array<long>"
+_SCHEMA = "doc_id long, text_hash long, paragraph int, at int, start long, end long, n_words int, step int, gap long, node long, keys array<long>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,7 +58,10 @@ def _signed(min_words: int):
     """The units of texts: lines with their number as paragraph and blocks without one, node and band keys."""
 
     def of_texts(texts: list):
-        """Arrays by unit: text, paragraph (-1: block), first word in its text, start, end, words, node; keys and how many each has."""
+        """Arrays by unit: text, paragraph (-1: block), first word in its text, start, end, words, step, gap, node; keys and how many each has.
+
+        step is how many words after a block the next one of the text begins (0: more than ANCHOR_WORDS, or none), gap a hash of the words between.
+        """
         word, at, first, end = words(texts)
         points, starts = code_points(texts)
         stop = np.flatnonzero(points == 10)
@@ -71,6 +75,9 @@ def _signed(min_words: int):
         run = span_hashes(word, block, block + BLOCK_WORDS)
         stay = _without_overlaps(block, run, owner)
         block, owner, run = block[stay], owner[stay], run[stay]
+        step = np.append(block[1:], -1)[: len(block)] - block
+        step[(np.append(owner[1:], -1)[: len(block)] != owner) | (step > ANCHOR_WORDS)] = 0
+        gap = span_hashes(word, block + BLOCK_WORDS, block + np.maximum(step, BLOCK_WORDS))
         # Least samples of the shingles of each unit: of pairs (first, end) reduceat gives the first ones' spans.
         spans = [np.stack((x, np.minimum(y, len(padded) - 1)), 1).ravel() for x, y in ((a[line], b[line] - 4), (block, block + BLOCK_WORDS - 4))]
         keys = [np.zeros((len(x) // 2, n), np.uint64) for x, n in zip(spans, (BANDS, BLOCK_BANDS), strict=True)]
@@ -93,6 +100,8 @@ def _signed(min_words: int):
             np.concatenate((begin[line] - starts[text], first[block] - starts[owner])),
             np.concatenate((stop[line] - starts[text], end[last] - starts[owner] if len(block) else last)),
             np.concatenate(((b - a)[line], np.full(len(block), BLOCK_WORDS))),
+            np.concatenate((np.zeros(len(line), np.int64), step)),
+            np.concatenate((np.zeros(len(line), np.uint64), gap)),
             np.concatenate((span_hashes(word, a[line], b[line]), mix(run + _STEP))),
             np.concatenate((keys[0].ravel(), keys[1].ravel())),
             np.concatenate((np.full(len(line), BANDS), np.full(len(block), BLOCK_BANDS))),
@@ -102,12 +111,12 @@ def _signed(min_words: int):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, j in chunks(texts):
-                text, number, at, start, end, n, node, keys, count = of_texts(texts[i:j])
+                text, number, at, start, end, n, step, gap, node, keys, count = of_texts(texts[i:j])
                 own = pa.array(i + text)
                 columns = [batch.column("doc_id").take(own), batch.column("text_hash").take(own)]
-                columns += [pa.array(number, pa.int32(), mask=number < 0), pa.array(at, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n, pa.int32()), pa.array(node.astype(np.int64))]
+                columns += [pa.array(number, pa.int32(), mask=number < 0), pa.array(at, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n, pa.int32()), pa.array(step, pa.int32()), pa.array(gap.astype(np.int64)), pa.array(node.astype(np.int64))]
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(keys.astype(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "paragraph", "at", "start", "end", "n_words", "node", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "paragraph", "at", "start", "end", "n_words", "step", "gap", "node", "keys"])
 
     return rows
 
@@ -133,7 +142,7 @@ def _classes(docs: DataFrame, min_words: int, threshold: float) -> DataFrame:
     blocks = blocks.withColumn("key", F.element_at("keys", 1)).join(shared, "key", "left_semi")
     found = stored(lines.select(*signs.columns).unionByName(blocks.select(*signs.columns)), "survivors")
     discard(signs)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "text_hash", "paragraph", "start", "end")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "text_hash", "paragraph", "start", "end", "step", "gap")
     nodes = stored(found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("keys").alias("keys")), "nodes")
 
     def texts_of(met: DataFrame) -> DataFrame:
@@ -165,12 +174,14 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold:
     columns = ["doc_id", "paragraph", "start", "end", "n_words", "keep_doc_id", "keep_paragraph", "keep_start", "removed"]
     kept = [F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), F.col("keep.start").alias("keep_start")]
     lines = found.where("paragraph IS NOT NULL").select("doc_id", "paragraph", "start", "end", "n_words", *kept, "removed")
-    # Blocks that follow each other in both places, at most a window apart, are one span.
+    # Blocks that follow each other in both places are one span if they meet or the words between are the same there.
     apart = f"NOT (removed AND doc_id <=> keep.doc_id AND text_hash = keep.text_hash AND at < keep.at + {BLOCK_WORDS})"
-    blocks = found.where("paragraph IS NULL").where(apart).select("doc_id", "text_hash", "at", "start", "end", *kept, F.col("keep.text_hash").alias("_hash"), (F.col("at") - F.col("keep.at")).alias("_ahead"), "removed").distinct()
+    blocks = found.where("paragraph IS NULL").where(apart).withColumn("_joins", F.expr("step = keep.step AND gap = keep.gap")).select("doc_id", "text_hash", "at", "start", "end", "step", "_joins", *kept, F.col("keep.text_hash").alias("_hash"), (F.col("at") - F.col("keep.at")).alias("_ahead"), "removed").distinct()
     run = ["doc_id", "text_hash", "keep_doc_id", "_hash", "_ahead", "removed"]
     order = Window.partitionBy(*run).orderBy("at")
-    new = F.coalesce(F.col("at") - F.lag("at").over(order) > ANCHOR_WORDS, F.lit(True)).cast("int")
+    ahead = F.col("at") - F.lag("at").over(order)
+    joined = (ahead <= BLOCK_WORDS) | (F.lag("_joins").over(order) & (F.lag("step").over(order) == ahead))
+    new = (~F.coalesce(joined, F.lit(False))).cast("int")
     runs = blocks.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order)).groupBy(*run, "_run")
     spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + BLOCK_WORDS).alias("n_words"), F.min("keep_start").alias("keep_start"))
     spans = spans.withColumns({"paragraph": F.lit(None).cast("int"), "keep_paragraph": F.lit(None).cast("int")})

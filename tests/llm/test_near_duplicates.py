@@ -263,3 +263,35 @@ def test_items_longer_than_the_short_counters(spark, monkeypatch):
     items = spark.createDataFrame([(1, item), (2, sentence(33, 40))], "item_id long, text string")
     got = sorted(tuple(r) for r in contaminated(docs, items).collect())
     assert got == [(1, 1, round(691 / 701, 6), 3), (3, 1, 1.0, 0)]
+
+
+def test_only_compared_words_are_removed(spark):
+    """Copies of a long text with words of their own put in: none of these goes, and words of the text go where they were compared."""
+    base = sentence(41, 1200).split()
+    lines = lambda words_, n: "\n".join(" ".join(words_[i : i + n]) for i in range(0, len(words_), n))  # noqa: E731  (all too short to count as lines)
+    rows, own = [(0, lines(base, 13))], {}
+    for d, (step, kind) in enumerate([(23, "in"), (40, "in"), (57, "in"), (40, "for"), (90, "for"), (400, "for")], 1):
+        new = [f"own{d}x{k}" for k in range(len(base))]
+        text = [w for k, x in enumerate(base) for w in ([x] if k % step else [new[k]] if kind == "for" else [new[k], x])]
+        own[d] = set(new)
+        rows.append((d, lines(text, 11 + d)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = [set(shingles(" ".join(base[i : i + 20]))) for i in range(len(base) - 19)]
+
+    def verified(block):
+        """Whether 20 words are as similar to a block of the text as links are."""
+        x = set(shingles(" ".join(block)))
+        return any(len(x & y) >= 0.8 * len(x | y) for y in blocks)
+
+    gone = {d: 0 for d in own}
+    for r in paragraphs.repeated_paragraphs(docs).where("removed").collect():
+        taken = dict(rows)[r.doc_id][r.start : r.end].split()
+        gone[r.doc_id] += len(taken)
+        for p in (p for p, w in enumerate(taken) if w in own[r.doc_id]):  # only at the end of a block that was verified as a whole
+            assert any(verified(taken[i : i + 20]) for i in range(max(0, p - 19), min(p, len(taken) - 20) + 1)), (r, taken[p])
+    assert gone[6] > 1000 and gone[5] > 600 and gone[3] > 300, gone
+    left = {r.doc_id: r.text for r in paragraphs.remove_paragraphs(docs, paragraphs.repeated_paragraphs(docs)).collect()}
+    assert left[0] == rows[0][1]
+    for d in own:
+        before, after = dict(rows)[d].split(), left[d].split()
+        assert len(after) >= len(before) - gone[d] and len(own[d] & set(after)) >= 0.8 * len(own[d] & set(before))
