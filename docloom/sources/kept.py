@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of each application that has none of its own and runs on this machine only.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Without one: a temporary folder where Spark runs on this machine only, else an error."""
@@ -15,9 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[application]
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
