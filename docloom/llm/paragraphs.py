@@ -8,7 +8,9 @@ MinHash over their five-word shingles: lines in 8 bands of 3 samples, which meet
 similarity 0.8, and blocks, of which a passage has several and one is enough, in a single band of 4, in which equal ones
 always meet. Exact Jaccard similarity takes what collides by chance out again. Of each class of similar units the first occurrence (least doc_id, then
 place) stays. Blocks that follow each other in both places are one span; words between two blocks are in it only
-where they are the same in both, which the hashes of these words tell. So each removed word is in a verified block or compared.
+where they are the same in both, which the hashes of these words tell. Blocks are seeds: a removed span then grows word by
+word, at both ends, while the words are the same as those around the place that stays, or loses the words at an end that differ
+there. So each removed word is in a verified block or compared, and a repeated passage goes from its first word to its last.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ MIN_WORDS = 20
 #: Words of a block, and five-word runs of which the least begins one: any run of 51 words has a block in it.
 BLOCK_WORDS, ANCHOR_WORDS = 20, 32
 BLOCK_BANDS, BLOCK_ROWS = 1, 4
+#: Words that a common run can have before its first block or after its last one, and spans grow at an end.
+GROWTH = ANCHOR_WORDS - 1
+#: Words at an end of a span that it can lose where they differ: similar blocks can begin or end with one or, in a chain of links, a few.
+TRIM = 4
 
 _SCHEMA = "doc_id long, text_hash long, paragraph int, at int, start long, end long, n_words int, step int, gap long, node long, keys array<long>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -121,6 +127,71 @@ def _signed(min_words: int):
     return rows
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each span (at, n_words) of a text its first TRIM words and GROWTH before it, going back, and its last ones and those after it: short hashes, where the former start and the latter end."""
+    reach = np.arange(-TRIM, GROWTH)
+    for batch in batches:
+        texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+        for i, j in chunks(texts):
+            word, at, first, end = words(texts[i:j])
+            short = (word >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            zero = np.cumsum([0, *(len(x or "") + 1 for x in texts[i:j])])
+            text = np.repeat(np.arange(j - i), [len(x) for x in spans[i:j]])
+            begin = np.array([x["at"] for own in spans[i:j] for x in own], np.int64)
+            size = np.array([x["n_words"] for own in spans[i:j] for x in own], np.int64)
+            a, b = begin + at[text], begin + at[text] + size
+            columns = [batch.column("text_hash").take(pa.array(i + text)), pa.array(begin, pa.int32()), pa.array(size, pa.int32())]
+            for index, inside, edge in (
+                (a[:, None] - 1 - reach, reach < begin[:, None], first),
+                (b[:, None] + reach, reach < (at[text + 1] - b)[:, None], end),
+            ):
+                near = index[inside]
+                offsets = pa.array(np.append(0, np.cumsum(inside.sum(1))), pa.int32())
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(short[near])))
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(edge[near] - np.repeat(zero[text], inside.sum(1)), pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["text_hash", "at", "n_words", "before", "starts", "after", "ends"])
+
+
+def _grown(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` (stored; of runs of blocks) whose removed ones take in the words around them that are the same around what stays.
+
+    If there is none at an end, up to TRIM - 1 words of the span that differ there are left out.
+    Where both places are in one text the place that stays is left whole. Equal texts are looked at once.
+    """
+    same = F.expr("doc_id <=> keep_doc_id AND text_hash = _hash").alias("_same")
+    asked = spans.where("removed").select("text_hash", "at", "n_words", "_hash", "_ahead", same).distinct()
+    asked = stored(asked, "span-ends")
+    # Keepers are often asked for: their places are made distinct before texts meet them.
+    places = asked.select("text_hash", "at", "n_words").unionByName(asked.select(F.col("_hash").alias("text_hash"), F.expr("at - _ahead AS at"), "n_words")).distinct()
+    places = places.groupBy("text_hash").agg(F.collect_list(F.struct("at", "n_words")).alias("spans"))
+    held = spans.select("text_hash", "doc_id").unionByName(spans.select(F.col("_hash").alias("text_hash"), F.col("keep_doc_id").alias("doc_id"))).groupBy("text_hash").agg(F.min("doc_id").alias("_doc"))
+    wanted = stored(places.join(held, "text_hash").withColumnRenamed("text_hash", "_wanted"), "span-places")
+    one = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_doc"]) & (docs["text_hash"] == wanted["_wanted"])).select("text_hash", "text", "spans")
+    schema = "text_hash long, at int, n_words int, before array<int>, starts array<long>, after array<int>, ends array<long>"
+    ends = stored(one.mapInArrow(trimmed(_ends), schema), "ends").dropDuplicates(["text_hash", "at", "n_words"])
+    kept = ends.select(F.col("text_hash").alias("_hash"), F.col("at").alias("_at"), "n_words", F.col("before").alias("_before"), F.col("starts").alias("_starts"), F.col("after").alias("_after"))
+    met = asked.withColumn("_at", F.expr("at - _ahead")).join(ends, ["text_hash", "at", "n_words"]).join(kept, ["_hash", "_at", "n_words"])
+
+    def change(a: str, b: str):
+        """Words to take in at an end: the same ones before the first that isn't; or, negative, those to leave out."""
+        equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        outer = F.slice(equal, TRIM + 1, GROWTH)
+        stop, inner = F.array_position(outer, F.lit(False)), F.array_position(F.reverse(F.slice(equal, 1, TRIM)), F.lit(True))
+        more = F.when(stop == 0, F.size(outer)).otherwise(stop - 1)
+        return F.when((more > 0) | (inner == 0), more).otherwise(1 - inner).cast("int")
+
+    met = met.withColumns({"_back": change("before", "_before"), "_on": change("after", "_after")})
+    met = met.withColumn("_back", F.expr("if(_same, least(_back, greatest(_ahead - n_words, 0)), _back)"))
+    met = met.withColumn("_on", F.expr("if(_same, least(_on, greatest(_ahead - n_words - _back, 0)), _on)")).where("_back != 0 OR _on != 0")
+    # The end of a span as it is stands at TRIM - 1 of each list.
+    ends = [F.expr(f"{x}[{TRIM - 1} + {n}] AS {name}") for x, n, name in (("starts", "_back", "_start"), ("ends", "_on", "_end"), ("_starts", "_back", "_keep_start"))]
+    more = met.select("text_hash", "at", "n_words", "_hash", "_ahead", "_same", F.lit(True).alias("removed"), "_back", "_on", *ends)
+    by = ["text_hash", "at", "n_words", "_hash", "_ahead", "_same", "removed"]
+    out = spans.withColumn("_same", same).join(few(stored(more, "grown")), by, "left")
+    out = out.withColumns({"start": F.coalesce("_start", "start"), "end": F.coalesce("_end", "end"), "keep_start": F.coalesce("_keep_start", "keep_start")})
+    return out.withColumns({"n_words": F.expr("n_words + coalesce(_back + _on, 0)"), "at": F.expr("at - coalesce(_back, 0)")})
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) of the units of each text."""
     for batch in batches:
@@ -183,7 +254,12 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold:
     joined = (ahead <= BLOCK_WORDS) | (F.lag("_joins").over(order) & (F.lag("step").over(order) == ahead))
     new = (~F.coalesce(joined, F.lit(False))).cast("int")
     runs = blocks.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order)).groupBy(*run, "_run")
-    spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + BLOCK_WORDS).alias("n_words"), F.min("keep_start").alias("keep_start"))
+    size = (F.max("at") - F.min("at") + BLOCK_WORDS).cast("int").alias("n_words")
+    spans = stored(runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), size, F.min("keep_start").alias("keep_start"), F.min("at").alias("at")).drop("_run"), "runs")
+    # Spans that meet now they have grown are one.
+    before = F.max(F.expr("at + n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = _grown(docs, spans).withColumn("_run", F.sum((~F.coalesce(F.col("at") <= before, F.lit(False))).cast("int")).over(order))
+    spans = spans.groupBy(*run, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.expr("max(at + n_words) - min(at) AS n_words"), F.min("keep_start").alias("keep_start"))
     spans = spans.withColumns({"paragraph": F.lit(None).cast("int"), "keep_paragraph": F.lit(None).cast("int")})
     return lines.select(*columns).unionByName(spans.select(*columns))
 

@@ -295,3 +295,45 @@ def test_only_compared_words_are_removed(spark):
     for d in own:
         before, after = dict(rows)[d].split(), left[d].split()
         assert len(after) >= len(before) - gone[d] and len(own[d] & set(after)) >= 0.8 * len(own[d] & set(before))
+
+
+@pytest.mark.parametrize("n", [51, 60, 100, 200])
+def test_passages_go_whole_and_nothing_else(spark, n):
+    """Exact passages of n words in mid-line, and one twice in a text: all their words go but where they stand first, and no other word."""
+    rows, want = [], {}
+    for k in range(30):
+        passage = sentence(1000 + k, n)
+        for d in (2 * k, 2 * k + 1):
+            rows.append((d, f"{sentence(2000 + d, 90)} {passage} {sentence(3000 + d, 80)}"))
+        want[2 * k + 1] = passage
+    twice = sentence(900, n)
+    rows += [(100, f"{twice} {twice} {sentence(901, 70)}"), (101, sentence(902, 60) + " " + sentence(903, n).upper()), (None, sentence(903, n) + ". " + sentence(904, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {d: t.lower() for d, t in rows}
+    expected = {(d, p, n, d - 1, texts[d - 1].index(p)) for d, p in want.items()} | {(None, sentence(903, n), n, 101, texts[101].index(sentence(903, n)))}
+    got, gone = set(), defaultdict(set)
+    for r in paragraphs.repeated_paragraphs(docs).where("removed AND paragraph IS NULL").collect():
+        got.add((r.doc_id, texts[r.doc_id][r.start : r.end], r.n_words, r.keep_doc_id, r.keep_start))
+        gone[r.doc_id] |= set(range(r.start, r.end))
+    assert expected <= got  # blocks that are similar one word further along are rows too
+    spans = {d: set(range(texts[d].index(p), texts[d].index(p) + len(p))) for d, p in {**want, None: sentence(903, n)}.items()}
+    assert dict(gone) == {**spans, 100: set(range(len(twice) + 1, 2 * len(twice) + 1))}
+
+
+def test_share_of_repeated_words_that_go(spark):
+    """Of the words at sf0.01 in runs of 51 that an earlier document has too: what stays, over all and over documents that are half such words at most."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = dict(sorted(map(tuple, docs.select("doc_id", "text").where("text IS NOT NULL").collect())))
+    at, first, repeated = {}, {}, defaultdict(set)
+    for d, text in texts.items():
+        found = list(re.finditer(r"[^\W_]+", text.lower()))
+        at[d] = [m.span() for m in found]
+        for i in range(len(found) - 50):
+            if first.setdefault(hash(tuple(m.group() for m in found[i : i + 51])), d) != d:
+                repeated[d].update(range(i, i + 51))
+    gone = defaultdict(set)
+    for r in queries()["op2_paragraphs"](spark, "/root/testdata/sf0.01").where("removed").collect():
+        gone[r.doc_id] |= {i for i, (a, b) in enumerate(at[r.doc_id]) if r.start <= a and b <= r.end}
+    share = lambda ids: sum(len(repeated[d] & gone[d]) for d in ids) / sum(len(repeated[d]) for d in ids)
+    partial = [d for d, own in repeated.items() if 2 * len(own) <= len(at[d])]
+    assert partial and (share(list(repeated)), share(partial)) >= (0.98, 0.95) and share(partial) >= 0.95
