@@ -229,7 +229,7 @@ def _classes(docs: DataFrame, min_words: int, threshold: float) -> DataFrame:
     return stored(found.join(few(named), "node").withColumn("removed", place != F.col("keep")), "repeated-units")
 
 
-def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = SIMILARITY) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = SIMILARITY, blocks: bool = True) -> DataFrame:
     """Every paragraph and every run of blocks that occurs more than once, up to similarity ``threshold``.
 
     Returns doc_id, paragraph (line from 0; null for a run of blocks), start and end (code points), n_words, keep_doc_id,
@@ -237,23 +237,26 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold:
     Links are verified Jaccard similarities of shingle sets; classes are components of links. Null and empty texts have
     no unit; texts of fewer than 51 words have no block. A paragraph that occurs twice in one text counts twice; blocks
     that overlap the one they repeat don't. Repeated rows of a document are occurrences too, and the
-    rows of an occurrence that is kept are all kept; their runs of blocks are given once. An empty table gives an
-    empty result; other columns of ``docs`` are left out.
+    rows of an occurrence that is kept are all kept; their runs of blocks are given once. Removed runs reach from the first
+    to the last word that is the same around the kept place; rows that aren't removed give the blocks alone. An empty table
+    gives an empty result; other columns of ``docs`` are left out. Without ``blocks`` only lines are given.
     """
     docs = documents(docs).withColumn("text_hash", F.xxhash64("text"))
     found = _classes(docs, min_words, threshold)
     columns = ["doc_id", "paragraph", "start", "end", "n_words", "keep_doc_id", "keep_paragraph", "keep_start", "removed"]
     kept = [F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), F.col("keep.start").alias("keep_start")]
     lines = found.where("paragraph IS NOT NULL").select("doc_id", "paragraph", "start", "end", "n_words", *kept, "removed")
+    if not blocks:
+        return lines.select(*columns)
     # Blocks that follow each other in both places are one span if they meet or the words between are the same there.
     apart = f"NOT (removed AND doc_id <=> keep.doc_id AND text_hash = keep.text_hash AND at < keep.at + {BLOCK_WORDS})"
-    blocks = found.where("paragraph IS NULL").where(apart).withColumn("_joins", F.expr("step = keep.step AND gap = keep.gap")).select("doc_id", "text_hash", "at", "start", "end", "step", "_joins", *kept, F.col("keep.text_hash").alias("_hash"), (F.col("at") - F.col("keep.at")).alias("_ahead"), "removed").distinct()
+    parts = found.where("paragraph IS NULL").where(apart).withColumn("_joins", F.expr("step = keep.step AND gap = keep.gap")).select("doc_id", "text_hash", "at", "start", "end", "step", "_joins", *kept, F.col("keep.text_hash").alias("_hash"), (F.col("at") - F.col("keep.at")).alias("_ahead"), "removed").distinct()
     run = ["doc_id", "text_hash", "keep_doc_id", "_hash", "_ahead", "removed"]
     order = Window.partitionBy(*run).orderBy("at")
     ahead = F.col("at") - F.lag("at").over(order)
     joined = (ahead <= BLOCK_WORDS) | (F.lag("_joins").over(order) & (F.lag("step").over(order) == ahead))
     new = (~F.coalesce(joined, F.lit(False))).cast("int")
-    runs = blocks.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order)).groupBy(*run, "_run")
+    runs = parts.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order)).groupBy(*run, "_run")
     size = (F.max("at") - F.min("at") + BLOCK_WORDS).cast("int").alias("n_words")
     spans = stored(runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), size, F.min("keep_start").alias("keep_start"), F.min("at").alias("at")).drop("_run"), "runs")
     # Spans that meet now they have grown are one.

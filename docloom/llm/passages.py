@@ -135,4 +135,4 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repeated line (as op2_paragraphs gives it) and every repeated passage, whose paragraph is NULL."""
     docs = table(spark, sf_dir, "documents")
-    return repeated_paragraphs(docs).where("paragraph IS NOT NULL").unionByName(repeated_passages(docs), allowMissingColumns=True)
+    return repeated_paragraphs(docs, blocks=False).unionByName(repeated_passages(docs), allowMissingColumns=True)
