@@ -2,8 +2,10 @@
 
 from docloom.operators import bands as B
 from docloom.operators import glyphs as G
+from docloom.operators import spans as S
+from docloom.plans import part_lists as P
 from docloom.plans import queries_quotations as QQ
-from docloom.sources.derived import relation
+from docloom.sources.derived import LINES_SQL, relation
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +43,26 @@ def test_pages_are_read_without_columns_of_roles(spark):
     assert "partial_collect_list(CASE WHEN" in plan_of(pages)
     nothing = spark.createDataFrame([(1, 0, 1, "x", 1.0, 2.0, 5.0, 8.0)], "doc_id long, page int, ord int, text string, x0 double, x1 double, top double, size double")
     assert B.read_pages(nothing, "example.com").isEmpty()
+
+
+def test_lines_stay_with_their_document(spark):
+    lines = relation(spark, SF, LINES_SQL)
+    assert plan_of(lines.groupBy("doc_id", "ord").count()).count("Exchange hashpartitioning") == 1
+    plain = spark.sql(LINES_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{SF}/lineitem.parquet"))
+    assert lines.schema.simpleString() == plain.schema.simpleString() and lines.exceptAll(plain).isEmpty() and plain.exceptAll(lines).isEmpty()
+
+
+def test_patterns_run_on_cells_that_may_match(spark):
+    grid = [(1, 0, 0, ["x", "Part\n List  FOR : p7, b", None]), (1, 0, 1, ["qty 2", "a", "b"]), (1, 0, 2, [None, " QTY\t", "Component\r\nItem", "operation  sequence "]), (2, 0, 0, None), (3, 0, 0, ["part list for q"])]
+    found = P.scanned(spark.createDataFrame(grid, "doc_id long, file_ord int, row_idx int, cells array<string>"))
+    assert {(r.doc_id, r.part_no, r.pn_row, r.header_row, tuple(r["at"] or ())) for r in found.collect()} == {(1, "p7", 0, 2, (4, 3, 2)), (2, None, None, None, ()), (3, None, None, None, ())}
+    assert "contains(" in plan_of(found).lower()
+
+
+def test_clusters_of_small_and_large_pages_are_the_same(spark, monkeypatch):
+    items = spark.range(900).select(F.lit(1).alias("doc_id"), (F.col("id") % 50).cast("int").alias("page"), F.col("id").cast("int").alias("ord"), *[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000))).cast("double").alias(c) for k, c in enumerate(("x0", "y0"))])
+    items = items.withColumn("x1", F.col("x0") + 5).withColumn("y1", F.col("y0") + 7)
+    small = {tuple(r) for r in S.clustered(items, 180.0).collect()}
+    monkeypatch.setattr(S, "FEW", 0)
+    large = S.clustered(items, 180.0)
+    assert small == {tuple(r) for r in large.collect()} and 50 < len({(r[1], r[-1]) for r in small}) < 900
