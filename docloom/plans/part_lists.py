@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ FILE = ["doc_id", "file_ord"]
 def titled(cell: Column) -> Column:
     """The part number that a cell names behind TITLE and a colon, up to a space or comma; NULL without one."""
     after = F.slice(F.split(F.regexp_replace(F.trim(F.regexp_replace(cell, r"(?U)\s+", " ")), " ?: ?", ":"), f"(?i){TITLE}:", -1), 2, 1 << 30)
-    return F.try_element_at(F.filter(F.transform(after, lambda x: F.regexp_replace(x, "[ ,].*$", "")), lambda x: x != ""), F.lit(1))
+    part = F.try_element_at(F.filter(F.transform(after, lambda x: F.regexp_replace(x, "[ ,].*$", "")), lambda x: x != ""), F.lit(1))
+    return F.when(cell.contains(":"), part)  # most cells have no colon and need no pattern
 
 
 def scanned(cells: DataFrame) -> DataFrame:
@@ -31,7 +34,10 @@ def scanned(cells: DataFrame) -> DataFrame:
     """
     title = F.try_element_at(F.filter(F.transform("cells", titled), lambda x: x.isNotNull()), F.lit(1))
     names = F.transform("cells", header_cell)
-    found = cells.withColumn("_title", title).withColumn("_at", F.array(*[F.array_position(names, c) for c in COLUMNS]))
+    # A row without the one-word names anywhere in its cells is no header; the others are normalised.
+    holds = lambda c: F.exists("cells", lambda x: F.lower(x).contains(c))
+    at = F.when(reduce(Column.__and__, [holds(c) for c in COLUMNS if " " not in c]), F.array(*[F.array_position(names, c) for c in COLUMNS])).otherwise(F.array(*[F.lit(0).cast("long") for _ in COLUMNS]))
+    found = cells.withColumn("_title", title).withColumn("_at", at)
     whole = Window.partitionBy(*FILE)
     found = found.withColumn("pn_row", F.min(F.when(F.col("_title").isNotNull(), F.col("row_idx"))).over(whole))
     is_header = (F.col("row_idx") >= F.col("pn_row")) & F.forall("_at", lambda p: p > 0)
