@@ -1,9 +1,14 @@
 """Steps whose cost must grow no faster than their input."""
 
+import re
+
+from docloom.functions import drawing as D
+from docloom.functions.text import strip
 from docloom.operators import bands as B
 from docloom.operators import glyphs as G
 from docloom.operators import spans as S
 from docloom.plans import part_lists as P
+from docloom.plans import queries_drawings as QD
 from docloom.plans import queries_quotations as QQ
 from docloom.sources.derived import LINES_SQL, relation
 from pyspark.sql import functions as F
@@ -66,3 +71,28 @@ def test_clusters_of_small_and_large_pages_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(S, "FEW", 0)
     large = S.clustered(items, 180.0)
     assert small == {tuple(r) for r in large.collect()} and 50 < len({(r[1], r[-1]) for r in small}) < 900
+
+
+def longest_method(df, capsys):
+    capsys.readouterr()
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no code yet
+    df.explain("codegen")
+    df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))
+
+
+def test_rules_of_dimensions_are_compiled(spark, capsys):
+    """The JVM doesn't compile methods of more than 8,000 bytes."""
+    assert longest_method(QD.dim_grammar(spark, SF), capsys) < 8_000
+    spans = QD._spans(spark, SF)
+    assert longest_method(S.dimensions(spans), capsys) < 8_000
+    texts = spark.createDataFrame([("x",)], "text string")
+    assert longest_method(texts.where(D.tolerance_header(F.col("text")) | D.notes_header(F.col("text"))), capsys) < 8_000
+
+
+def test_strip_takes_all_white_space(spark):
+    signs = [chr(i) for i in range(1, 0x3100)] + ["a\n", "  b  ", "", None]
+    texts = spark.createDataFrame([(t,) for x in signs for t in ([x, f"{x}a b{x}{x}"] if x is not None else [None])], "t string")
+    assert texts.where(~strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).isEmpty()
+    parts = texts.select(*[c.alias(n) for n, c in zip("nt", D.split_tolerance(F.col("t")), strict=True)])
+    assert [tuple(r) for r in parts.where("n IS NULL").collect()] == [(None, "")]
