@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators.pages import by_groups
 from ..sinks import tsv_body
 from ..sources import archive as A
 from ..sources.derived import LINES_SQL, relation
@@ -87,36 +84,27 @@ def budget_running(spark, sf):
 def _uploads(spark, sf):
     """A ZIP of report ZIPs per order, wrapped once more for even orders; some broken, some without a sheet."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc_id, lines in zip(batch["doc_id"], batch["lines"], strict=True):
-                if doc_id % 13 == 0:
-                    out.append((doc_id, b"no archive"))
-                    continue
-                raw = io.BytesIO()
-                with zipfile.ZipFile(raw, "w") as archive:
-                    for line in lines:
-                        inner = io.BytesIO()
-                        with zipfile.ZipFile(inner, "w") as report:
-                            report.writestr("readme.txt", "x")
-                            if doc_id % 17:
-                                report.writestr("a.XLS", str(line["part"]))
-                            if line["q"] % 2 == 0:
-                                report.writestr("b.xls", str(line["q"]))
-                        archive.writestr(f"{'./' if line['q'] % 3 == 0 else ''}data/files/PLReport{line['ord']}.zip", inner.getvalue())
-                        archive.writestr(f"data/other{line['ord']}.zip", b"y")
-                content = raw.getvalue()
-                if doc_id % 2 == 0:
-                    outer = io.BytesIO()
-                    with zipfile.ZipFile(outer, "w") as archive:
-                        archive.writestr("77_1_product.zip", content)
-                    content = outer.getvalue()
-                out.append((doc_id, content))
-            yield pd.DataFrame(out, columns=["doc_id", "content"])
-
-    li = relation(spark, sf, LINES_SQL).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "part", "q"))).alias("lines"))
-    return li.mapInPandas(build, "doc_id long, content binary")
+    def build(rows: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        doc_ids, ords, parts, qs = (rows[c].tolist() for c in ("doc_id", "ord", "part", "q"))
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            doc_id = doc_ids[a]
+            if doc_id % 13 == 0:
+                out.append((doc_id, b"no archive"))
+                continue
+            members = []
+            for ord_, part, q in zip(ords[a:b], parts[a:b], qs[a:b], strict=True):
+                report = [("readme.txt", b"x")]
+                if doc_id % 17:
+                    report.append(("a.XLS", str(part).encode()))
+                if q % 2 == 0:
+                    report.append(("b.xls", str(q).encode()))
+                members += [(f"{'./' if q % 3 == 0 else ''}data/files/PLReport{ord_}.zip", A.stored_zip(report)), (f"data/other{ord_}.zip", b"y")]
+            content = A.stored_zip(members)
+            out.append((doc_id, A.stored_zip([("77_1_product.zip", content)]) if doc_id % 2 == 0 else content))
+        return pd.DataFrame(out, columns=["doc_id", "content"])
+
+    return by_groups(relation(spark, sf, LINES_SQL).select("doc_id", "ord", "part", "q"), ["doc_id"], ["ord"], build, "doc_id long, content binary")
 
 
 def archive_sheets(spark, sf):

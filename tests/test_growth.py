@@ -1,7 +1,10 @@
 """Steps whose cost must grow no faster than their input."""
 
+import io
 import re
+import zipfile
 
+import pytest
 from docloom.functions import drawing as D
 from docloom.functions.text import strip
 from docloom.operators import bands as B
@@ -9,7 +12,10 @@ from docloom.operators import glyphs as G
 from docloom.operators import spans as S
 from docloom.plans import part_lists as P
 from docloom.plans import queries_drawings as QD
+from docloom.plans import queries_files as QF
+from docloom.plans import queries_part_lists as QP
 from docloom.plans import queries_quotations as QQ
+from docloom.sources import archive as A
 from docloom.sources.derived import LINES_SQL, relation
 from pyspark.sql import functions as F
 
@@ -96,3 +102,25 @@ def test_strip_takes_all_white_space(spark):
     assert texts.where(~strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).isEmpty()
     parts = texts.select(*[c.alias(n) for n, c in zip("nt", D.split_tolerance(F.col("t")), strict=True)])
     assert [tuple(r) for r in parts.where("n IS NULL").collect()] == [(None, "")]
+
+
+def test_plain_archives_are_read_as_zipfile_does():
+    members = [("a.xls", b"1"), ("data/files/b.ZIP", b"\0" * 300), ("empty", b"")]
+    plain = A.stored_zip(members)
+    with zipfile.ZipFile(io.BytesIO(plain)) as archive:
+        assert archive.testzip() is None and [(x.filename, archive.read(x)) for x in archive.infolist()] == members
+    walk = A._Walk(A.Budget())
+    archive, found = walk.open(plain)
+    assert archive is plain and [(x.filename, walk.read(archive, x)) for x in found] == members
+    other = io.BytesIO()
+    with zipfile.ZipFile(other, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("é.txt", b"x" * 50)
+    for raw in (other.getvalue(), b"junk" + plain, plain + b"x", plain[:-1], b"", plain.replace(b"a.xls", b"b.xls", 1)):
+        assert A._plain_members(raw) is None
+    changed = plain.replace(b"1", b"2", 1)
+    with pytest.raises(zipfile.BadZipFile):
+        walk.read(*[(changed, m[0]) for m in [walk.open(changed)[1]]][0])
+
+
+def test_uploads_gather_no_lines(spark):
+    assert "collect_list" not in plan_of(QP._uploads(spark, SF)) + plan_of(QF._uploads(spark, SF))
