@@ -81,6 +81,22 @@ def test_what_a_page_says_is_found_without_nested_arrays(spark):
     assert sorted(map(tuple, anchors.collect())) == sorted(map(tuple, B.mail_anchor(words, "example.com").collect())) != []
 
 
+def test_cells_are_put_in_lines_once_for_all_fonts(spark):
+    rows = spark.createDataFrame([(d, 0, 1, 1, 10.0, False, None) for d in range(1, 6)], "doc_id long, page int, qty_ord int, part_ord int, qty_top double, has_marker boolean, choice string")
+    texts = {1: [("b", 12.0), ("a", 12.0), ("d", 20.0), ("c", 20.0)], 2: [("b", 12.0), ("a", 12.0), ("x", 20.0)], 3: [("c", 20.0), ("b a", 12.0), ("d", 20.0)], 4: [("dc", 20.0), ("b", 12.0), ("a", 13.0)], 5: [("b", 12.0), (" a", 12.0), ("d", 20.0), ("c", 20.0)]}
+    chars = [(d, 0, i, ord(t[0]) if t != "x" else None, 30.0 + i, top, 0.0) for d, found in texts.items() for i, (t, top) in enumerate(found)]
+    maps = [(d, 0, font, ord(t[0]), t if font == 0 else t.upper()) for d, found in texts.items() for t, _ in found if t != "x" for font in (0, 1)]
+    maps.append((1, 0, 2, ord("a"), "abcd"))
+    maps += [(2, 0, 3, ord("a"), "cd"), (2, 0, 3, ord("b"), "ab")]
+    chars = spark.createDataFrame(chars, "doc_id long, page int, ord int, code int, x0 double, top double, size double")
+    maps = spark.createDataFrame(maps, "doc_id long, page int, font_id int, code int, glyph string")
+    got = B.cell_choice(chars, maps, rows, "a bcd")
+    plan = plan_of(got)
+    # Without the font among its keys, the step of lines sees each character once.
+    assert "font_id" not in next(x for x in plan.splitlines() if "MapInPandas" in x)
+    assert {r.doc_id: r.choice for r in got.collect()} == {1: "a bcd", 2: None, 3: None, 4: "a bcd", 5: "a bcd"}
+
+
 def test_many_words_are_read_a_part_at_a_time():
     word = pa.struct([("ord", pa.int32()), ("text", pa.string()), *[(c, pa.float64()) for c in ("x0", "x1", "top")]])
     lists = pa.array([[], [{"ord": 2, "text": "123456", "x0": 130.0, "x1": 160.0, "top": 55.0}] * 3, None, [{"ord": 1, "text": "654321", "x0": 130.0, "x1": 160.0, "top": 55.0}]], pa.list_(word))
