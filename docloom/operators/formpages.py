@@ -37,7 +37,17 @@ def _ints(text: pa.Array) -> pa.Array:
     return pc.if_else(pc.less(value, 1 << 31), value, None).cast(pa.int32())
 
 
-class _Sorted:
+def bisected(top: np.ndarray, lo: np.ndarray, hi: np.ndarray, holds) -> np.ndarray:
+    """The first place of each range lo to hi at whose top ``holds`` is true, hi without one."""
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) >> 1
+        yes = holds(top[np.minimum(mid, len(top) - 1)])
+        hi = np.where(open_ & yes, mid, hi)
+        lo = np.where(open_ & ~yes, mid + 1, lo)
+    return lo
+
+
+class Sorted:
     """Words of one role by page and top, with the range of each page and the rank of each word."""
 
     def __init__(self, page: np.ndarray, top: np.ndarray, at: np.ndarray, n_pages: int, rank: np.ndarray | None = None):
@@ -48,13 +58,7 @@ class _Sorted:
 
     def first(self, page: np.ndarray, holds) -> np.ndarray:
         """The first place in each page at whose top ``holds`` is true: it is false before, and true after that."""
-        lo, hi = self.cuts[page], self.cuts[page + 1]
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            yes = holds(self.top[np.minimum(mid, len(self.top) - 1)])
-            hi = np.where(open_ & yes, mid, hi)
-            lo = np.where(open_ & ~yes, mid + 1, lo)
-        return lo
+        return bisected(self.top, self.cuts[page], self.cuts[page + 1], holds)
 
     def least(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The place of the least rank in each range, -1 in empty ones: minima of ranges of powers of two, of which two cover any."""
@@ -90,8 +94,14 @@ def _first_of_page(page: np.ndarray, at: np.ndarray, n_pages: int, *keys: pa.Arr
 def read(batch: pa.RecordBatch, domain: str, form) -> pa.RecordBatch:
     """doc_id, page, parts, number, mail of a batch of pages (doc_id, page, words), see ``bands.read_pages``."""
     lists, n = batch.column("words"), len(batch)
-    words = lists.flatten()
     page = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    *found, said = said_by(lists.flatten(), page, n, domain, form)
+    out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("page"), *found], ["doc_id", "page", "parts", "number", "mail"])
+    return out.filter(pa.array(said))
+
+
+def said_by(words: pa.StructArray, page: np.ndarray, n: int, domain: str, form) -> tuple[pa.ListArray, pa.StructArray, pa.StructArray, np.ndarray]:
+    """(parts, number, mail, said) of n pages from their words and the page of each: said tells of pages with a word that is read."""
     text, ords = words.field("text"), words.field("ord")
     x0, x1, top = (words.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "x1", "top"))
     with np.errstate(invalid="ignore"):
@@ -113,7 +123,7 @@ def read(batch: pa.RecordBatch, domain: str, form) -> pa.RecordBatch:
     mail = mail[pc.ends_with(text.take(pa.array(mail)), "@" + domain).to_numpy(zero_copy_only=False)]
     take = lambda array, at: array.take(pa.array(at))
 
-    def near(words_: _Sorted, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def near(words_: Sorted, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The range of those within a row of each word."""
         with np.errstate(invalid="ignore"):
             return words_.first(page[at], lambda t: t - top[at] >= -form.row), words_.first(page[at], lambda t: t - top[at] > form.row)
@@ -125,22 +135,22 @@ def read(batch: pa.RecordBatch, domain: str, form) -> pa.RecordBatch:
     part, each, quantity, weeks, marker, digit = (role[placed[role]] for role in (part, each, quantity, weeks, marker, digit))
 
     # Parts with an Each on their row, each up to the next one's row.
-    start, end = near(_Sorted(page, top, each, n), part)
+    start, end = near(Sorted(page, top, each, n), part)
     part = part[end > start]
     part = part[np.argsort(_rank(pa.array(page[part]), pa.array(top[part]), take(ords, part), take(text, part)))]
     following = np.append(np.where(page[part[1:]] == page[part[:-1]], top[part[1:]], form.end), form.end)[: len(part)]
     low, high = top[part] - form.row, following - form.row
 
     # Quantities with the first weeks and marker on their row, and the first digit below that marker.
-    q = _Sorted(page, top, quantity, n)
+    q = Sorted(page, top, quantity, n)
     week_values = _ints(take(text, weeks))
-    w = _Sorted(page, top, weeks, n, _rank(take(ords, weeks), week_values))
+    w = Sorted(page, top, weeks, n, _rank(take(ords, weeks), week_values))
     week = w.least(*near(w, q.at))
-    m = _Sorted(page, top, marker, n, _rank(take(ords, marker), pa.array(top[marker])))
+    m = Sorted(page, top, marker, n, _rank(take(ords, marker), pa.array(top[marker])))
     mark = m.least(*near(m, q.at))
     has = mark >= 0
     m_top = np.where(has, m.top[mark] if len(m.top) else np.nan, np.nan)[has]
-    d = _Sorted(page, top, digit, n, _rank(take(ords, digit), take(text, digit)))
+    d = Sorted(page, top, digit, n, _rank(take(ords, digit), take(text, digit)))
     found = np.full(len(q.at), -1)
     found[has] = d.least(d.first(page[q.at[has]], lambda t: t > m_top), d.first(page[q.at[has]], lambda t: t > m_top + form.digit_below))
 
@@ -166,8 +176,7 @@ def read(batch: pa.RecordBatch, domain: str, form) -> pa.RecordBatch:
     away = pa.array(np.abs(top - form.mail_top))
     box = [pa.array(x0), pa.array(x1), pa.array(top)]
     mails = pa.StructArray.from_arrays([away, ords, text, *box], ["away", "ord", "text", "x0", "x1", "top"]).take(_first_of_page(page, mail, n, away, ords, text, *box))
-    out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("page"), parts, numbers, mails], ["doc_id", "page", "parts", "number", "mail"])
-    return out.filter(pa.array(said))
+    return parts, numbers, mails, said
 
 
 def read_all(batches, domain: str, form, at_once: int = 500_000):

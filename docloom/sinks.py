@@ -16,6 +16,11 @@ def number_text(value: Column) -> Column:
     )
 
 
+def tsv_line(cells: list[Column]) -> Column:
+    """A line of tab-separated cells without quoting, CRLF behind it, NULL as an empty cell."""
+    return F.concat(F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells]), F.lit("\r\n"))
+
+
 def tsv_body(rows: DataFrame, key: str, order: str, columns: dict[str, str], safe: bool = False) -> DataFrame:
     """One text body per key: a header of the column labels, rows in order, tabs, CRLF after every line, no quoting.
 
