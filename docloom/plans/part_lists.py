@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, reduce
+from itertools import chain
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cell_at, header_cell
-from ..sources.adapters import CELLS, Decoder, decoded
-from ..sources.archive import Budget, archive_sheets
+from ..functions.text import SPACES, cell_at, header_cell
+from ..sources.adapters import Decoder
+from ..sources.archive import BadArchive, Budget, sheets_of
 from ..sources.kept import kept
 
 #: Fixed column names of a part list, as normalised.
@@ -85,26 +90,148 @@ def part_list(cells: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFram
     return rows, counts, bad
 
 
+_WHITE, _TITLE = re.compile(f"[{re.escape(SPACES)}]+"), re.compile(f"(?ai){TITLE}:")
+#: White space that squeezing would change.
+_ODD = re.compile(f"[{re.escape(SPACES.replace(' ', ''))}]|  ")
+_SINGLE = [c for c in COLUMNS if " " not in c]
+
+
+def _titled(cell: str) -> str | None:
+    """``titled`` of a cell with a colon."""
+    if _ODD.search(cell):
+        cell = _WHITE.sub(" ", cell)
+    for part in _TITLE.split(cell.strip(" ").replace(" :", ":").replace(": ", ":"))[1:]:
+        if found := part.partition(",")[0].partition(" ")[0]:
+            return found
+    return None
+
+
+@lru_cache(1 << 12)
+def _places(cells: tuple[str | None, ...]) -> list[int] | None:
+    """Where a header's columns are, None for a row that is no header."""
+    if all(any(c and name in c.lower() for c in cells) for name in _SINGLE):
+        names = [_WHITE.sub(" ", c or "").strip(SPACES).lower() for c in cells]
+        if all(c in names for c in COLUMNS):
+            return [names.index(c) for c in COLUMNS]
+    return None
+
+
+class Sheet(NamedTuple):
+    """A sheet as read: its part number, its component rows (the three cells), and what is wrong with it."""
+
+    part_no: str | None
+    rows: list[tuple[str, str, str]]
+    error: str | None
+
+
+def read_sheet(grid: list[tuple[int | None, list[str | None] | None]]) -> Sheet:
+    """What ``scanned``, ``components`` and ``errors`` find in the rows (row_idx, cells) of one sheet."""
+    part_no, at, found, last = None, None, [], None
+    for ordinal, cells in grid:
+        if last is not None and (ordinal or 0) < last:
+            return read_sheet(sorted(((n or 0, x) for n, x in grid), key=lambda row: row[0]))
+        last = ordinal or 0
+        if not cells:
+            continue
+        if at is not None:
+            n, (a, b, c) = len(cells), at
+            if b < n and cells[b]:
+                found.append((a < n and cells[a] or "", cells[b], c < n and cells[c] or ""))
+            continue
+        if part_no is None:
+            for cell in cells:
+                if cell and ":" in cell and (part_no := _titled(cell)):
+                    break
+        if part_no is not None:
+            at = _places(tuple(cells))
+    error = "no part number" if part_no is None else "no header" if at is None else None if found else "no rows"
+    return Sheet(part_no, found, error)
+
+
+class Upload(NamedTuple):
+    """An upload as read: its errors (file, error), or else its sheets with their reports, those of the parent part first."""
+
+    errors: list[tuple[str | None, str]]
+    sheets: list[tuple[bool, str, Sheet]]
+
+
+def read_upload(raw: bytes | None, parent: str | None, decoder: Decoder, budget: Budget = Budget()) -> Upload:
+    """An upload's sheets, or all errors of the first stage that has any: its archives, or its sheets, decoded and scanned."""
+    try:
+        files = sheets_of(raw or b"", budget)
+    except BadArchive as error:
+        return Upload([(None, message) for message in error.messages], [])
+    except ValueError as error:
+        return Upload([(None, str(error))], [])
+    errors, sheets, wanted = [], [], (parent or "").upper()
+    for report, name, payload in files:
+        try:
+            grid = [tuple(row) for row in decoder(payload)]
+        except Exception as failed:  # a bad file never fails the job
+            sheet = Sheet(None, [], str(failed) or type(failed).__name__)
+        else:
+            sheet = read_sheet(grid)
+        if sheet.error is not None:
+            errors.append((f"{report.rpartition('/')[2]}/{name.rpartition('/')[2]}", sheet.error))
+        elif not errors:
+            sheets.append((wanted != "" and sheet.part_no.upper() == wanted, report, sheet))
+    return Upload(errors, [] if errors else sorted(sheets, key=lambda x: not x[0]))
+
+
+def _of_uploads(uploads: DataFrame, rows: Callable[[Upload], Iterable[tuple]], schema: str, decoder: Decoder, budget: Budget, at_once: int = 20_000) -> DataFrame:
+    """doc_id and the ``rows`` of each upload (doc_id, content, parent), at most so many and those of one upload at once."""
+    kind = dict(uploads.dtypes)["doc_id"]
+    types = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    fields = [pa.field(name, types[t]) for name, t in (c.split() for c in schema.split(", "))]
+
+    def made(doc_ids: pa.Array, at: list[int], found: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*found, strict=True) if found else [[] for _ in fields]
+        return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(at, pa.int64())), *[pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)]], ["doc_id", *[f.name for f in fields]])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_ids, contents, parents = (batch.column(c) for c in ("doc_id", "content", "parent"))
+            at, found = [], []
+            for i, parent in enumerate(parents.to_pylist()):
+                own = list(rows(read_upload(contents[i].as_py(), parent, decoder, budget)))
+                at += [i] * len(own)
+                found += own
+                if len(found) >= at_once:
+                    yield made(doc_ids, at, found)
+                    at, found = [], []
+            yield made(doc_ids, at, found)
+
+    return uploads.select("doc_id", "content", F.col("parent").cast("string").alias("parent")).mapInArrow(read, f"doc_id {kind}, {schema}")
+
+
+def upload_rows(uploads: DataFrame, decoder: Decoder, budget: Budget = Budget()) -> DataFrame:
+    """doc_id, row_no, part_no, the three cells and matched of ``uploads`` (doc_id, content, parent), the parent part's files first."""
+
+    def rows(upload: Upload) -> list[tuple]:
+        every = chain.from_iterable(((sheet.part_no, *cells, matched) for cells in sheet.rows) for matched, _, sheet in upload.sheets)
+        return [(n, *row) for n, row in enumerate(every, 1)]
+
+    return _of_uploads(uploads, rows, "row_no long, part_no string, operation_sequence string, component_item string, qty string, matched boolean", decoder, budget)
+
+
+def upload_counts(uploads: DataFrame, decoder: Decoder, budget: Budget = Budget()) -> DataFrame:
+    """doc_id, n_reports, n_files (sheets), n_matched of ``uploads`` without an error."""
+    counts = lambda upload: [(len({report for _, report, _ in upload.sheets}), len(upload.sheets), sum(matched for matched, _, _ in upload.sheets))] if upload.sheets else []
+    return _of_uploads(uploads, counts, "n_reports long, n_files long, n_matched long", decoder, budget)
+
+
+def upload_errors(uploads: DataFrame, decoder: Decoder, budget: Budget = Budget()) -> DataFrame:
+    """doc_id, file (report/sheet, NULL for the archives' errors, which name their report), error of ``uploads``."""
+    return _of_uploads(uploads, lambda upload: upload.errors, "file string, error string", decoder, budget)
+
+
 def archive_part_lists(uploads: DataFrame, parents: DataFrame, decoder: Decoder, budget: Budget = Budget()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, counts, errors) from uploads (doc_id, content) to numbered component rows, the parent part's files first.
 
-    ``decoder`` turns a sheet's bytes into CELLS; ``parents`` has doc_id and parent, for instance the first parts of the quotations.
-    An upload fails as a whole, with all errors of the first stage that has any: first its archives (a bad report doesn't hide
-    another), then its sheets, read and scanned (a bad sheet doesn't hide another). counts: n_reports, n_files (sheets), n_matched.
-    errors: doc_id, file (report/sheet, NULL for the archives' errors, which name their report), error.
-    Archives are opened and sheets decoded once; the cells are written in the shared folder and all else reads them.
+    ``decoder`` turns a sheet's bytes into CELLS; ``parents`` has doc_id and parent, for instance the first parts of the quotations; a
+    blank parent is none's. An upload fails as a whole, with all errors of the first stage that has any: first its archives (a bad
+    report doesn't hide another), then its sheets, read and scanned (a bad sheet doesn't hide another).
+    Each upload is opened, decoded and scanned in one place, so that no sheet or cell is a row; the three read the uploads anew.
     """
-    sheets = archive_sheets(uploads, budget)
-    cells = kept(decoded(sheets, decoder, CELLS, "payload"), "part-list-cells")
-    file = F.concat_ws("/", F.element_at(F.split("report", "/"), -1), F.element_at(F.split("sheet", "/"), -1))
-    in_archive = cells.where("error IS NOT NULL").select("doc_id", F.lit(None).cast("string").alias("file"), "error")
-    opened = cells.where("error IS NULL").join(in_archive.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("file", file)
-    unread = opened.where("decode_error IS NOT NULL").select("doc_id", "file", F.col("decode_error").alias("error"))
-    # A sheet without any row has one without cells: it lacks its part number.
-    grid = opened.where("decode_error IS NULL").select(*FILE, "report", "file", F.coalesce("row_idx", F.lit(0)).alias("row_idx"), F.coalesce("cells", F.array().cast("array<string>")).alias("cells"))
-    found = kept(scanned(grid), "part-list-scan")
-    in_grid = errors(found).join(found.select(*FILE, "file").distinct(), FILE).select("doc_id", "file", "error")
-    bad = kept(in_archive.unionByName(unread).unionByName(in_grid), "part-list-errors")
-    rows, counts = _listed(found, bad, parents)
-    reports = found.groupBy("doc_id").agg(F.count_distinct("report").alias("n_reports"))
-    return rows, counts.join(reports, "doc_id").select("doc_id", "n_reports", "n_files", "n_matched"), bad
+    asked = uploads.join(parents.select("doc_id", "parent"), "doc_id", "left")
+    return upload_rows(asked, decoder, budget), upload_counts(asked, decoder, budget), upload_errors(asked, decoder, budget)
