@@ -1,6 +1,7 @@
 """Quotation forms laid out from batches of line items in Arrow: the words, characters and font maps that SQL describes in ``plans.queries_quotations``.
 
-A batch has doc_id, ord, part and q; none is NULL. A page has five lines.
+A batch has doc_id, ord, part and q. A page has five lines. Where SQL gives a word without a text or without a place for a NULL,
+which no form says anything by, there is none here.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ _SHIFTED = str.maketrans("0123456789", "cdefghijkl")
 
 class _Lines:
     def __init__(self, lines: pa.RecordBatch):
-        self.doc, self.ord, self.part, self.q = (lines.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "ord", "part", "q"))
+        self.doc, self.ord, self.part, self.q = (pc.fill_null(lines.column(c), 0).to_numpy().astype(np.int64) for c in ("doc_id", "ord", "part", "q"))
+        self.has_part, self.has_q = (lines.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("part", "q"))
         self.page = (self.ord - 1) // 5
         self.top = 150.0 + 60 * np.fmod(self.ord - 1, 5)
 
@@ -36,22 +38,24 @@ def words(batch: pa.RecordBatch, marked: Callable[[np.ndarray], np.ndarray] = la
         found.append((at, li.ord[at] * 20 + n, text, *[spread(v) for v in (x0, x1, top, size)]))
 
     join = lambda *texts: pc.binary_join_element_wise(*texts, "")
-    put(0, join("P", _text(10000 + li.part)), 735, 775, li.top)
-    at = np.flatnonzero(np.fmod(li.part, 13) != 0)
+    at = np.flatnonzero(li.has_part)
+    put(0, join("P", _text(10000 + li.part[at])), 735, 775, li.top[at], at)
+    put(4, join("u", _text(li.ord[at]), "@example.com"), 100, 180 + np.fmod(li.part[at], 50), 92 + np.fmod(li.part[at], 15), at)
+    at = np.flatnonzero(li.has_part & (np.fmod(li.part, 13) != 0))
     put(1, "Each", 500, 520, li.top[at] + 1.25, at)
-    at = np.flatnonzero(np.fmod(li.part, 5) == 0)
+    at = np.flatnonzero(li.has_part & (np.fmod(li.part, 5) == 0))
     put(2, "XPOTDP01", 735, 775, li.top[at] + 30, at)
     both = li.doc + li.ord
     put(3, join(_text(100000 + np.fmod(both, 900000)), pc.if_else(pa.array(np.fmod(both, 3) == 0), "7", "")), 130, 160, 55)
-    put(4, join("u", _text(li.ord), "@example.com"), 100, 180 + np.fmod(li.part, 50), 92 + np.fmod(li.part, 15))
     put(5, "é", 260, 280, li.top, size=0.0)
     with_marker = marked(li.doc)
     for d in (0, 1):
-        two, down = np.fmod(li.q, 2) >= d, li.top + 20 * d
+        two, down = li.has_q & (np.fmod(li.q, 2) >= d), li.top + 20 * d
         at = np.flatnonzero(two)
         put(6 + d, join(_text(li.q[at] + d), ".50"), 260, 280, down[at] + 0.5, at)
+        at = np.flatnonzero(two & li.has_part)
         put(12 + d, _text(np.fmod(np.fmod(li.part[at] + d, 31), 3) + 1 + 5 * (np.fmod(li.part[at], 37) == 0)), 35, 40, down[at] + 8.5, at)
-        at = np.flatnonzero(two & (np.fmod(li.part + d, 29) != 0))
+        at = np.flatnonzero(two & li.has_part & (np.fmod(li.part + d, 29) != 0))
         put(8 + d, _text(np.fmod(li.part[at], 20) + d), 360, 370, down[at] + 2.5, at)
         at = np.flatnonzero(two & with_marker)
         put(10 + d, "FAI-", 30, 45, down[at] - 0.5, at)
@@ -79,7 +83,7 @@ def characters(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
     dates = [f"{str(d).rjust(2, '0')[:2]}/{str(m).rjust(2, '0')[:2]}/2024" for d, m in zip((1 + np.fmod(dated, 31)).tolist(), (1 + np.fmod(dated, 12)).tolist(), strict=True)]
     put(dated, once(dated, 0), once(dated, 100), np.array(dates, np.str_), 284.0, 4.0, once(dated, 179.0))
     for d in (0, 1):
-        at = np.flatnonzero((np.fmod(li.q, 2) >= d) & (np.fmod(li.doc, 3) == 0) & (np.fmod(li.doc, 9) != 0))
+        at = np.flatnonzero(li.has_q & (np.fmod(li.q, 2) >= d) & (np.fmod(li.doc, 3) == 0) & (np.fmod(li.doc, 9) != 0))
         for text, more, down in (("ton", 0, 3), ("deriuqer", 20, 10)):
             put(li.doc[at], li.page[at], 1000 + li.ord[at] * 100 + d * 40 + more, np.full(len(at), text), 29.0, 2.0, li.top[at] + 20 * d + down)
     doc, page, ord_, letter, x0, top = (np.concatenate(v) for v in zip(*found, strict=True))

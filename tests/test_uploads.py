@@ -56,6 +56,10 @@ def test_a_sheet_is_read_as_tables_of_cells_are(spark):
     assert P.read_sheet([]).error == "no part number"
 
 
+def test_sheets_of_lines_with_nulls_have_no_rows():
+    assert [P.read_sheet([(i, line.split("\t")) for i, line in enumerate(QF._grid_text(*line).decode().split("\n"))]).error for line in ((None, 1), (5, None), (41, None), (5, 1))] == ["no rows", "no rows", "no part number", None]
+
+
 def test_many_rows_of_uploads_go_on_in_parts(spark):
     sheet = "\n".join(["Part List for: p", "qty\tcomponent item\toperation sequence", *[f"1\tc{i}\t{i}" for i in range(30)]]).encode()
     content = A.stored_zip([("data/files/PLReport_1.zip", A.stored_zip([("a.xls", sheet), ("b.xls", sheet.replace(b" p\n", b" Q\n"))]))])
